@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions.tokens import block_tokens
 from entitylink.operators.skew import attach, pair_join
+from entitylink.session import materialize
 
 
 def tag(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str) -> DataFrame:
@@ -79,6 +80,7 @@ def optimal_block_size(sizes: DataFrame) -> DataFrame:
 
 def purge(tokens: DataFrame, sizes: DataFrame, purging: bool = True) -> DataFrame:
     """Token rows of the kept blocks (1 < size <= optimal), with the block counts."""
+    sizes = materialize(sizes, "sizes")
     on = F.col("size") > 1
     if purging:
         on = on & (F.col("size") <= optimal_block_size(sizes).scalar())
@@ -107,11 +109,11 @@ def meta_blocking(filtered: DataFrame) -> DataFrame:
     block. Pairs inside one dataset count too.
     """
     w = Window.partitionBy("dataset", "id")
-    rows = filtered.select(
-        "token", F.struct("dataset", "id").alias("e"), F.count("*").over(w).alias("blocks")
+    rows = materialize(
+        filtered.select("token", F.struct("dataset", "id").alias("e"), F.count("*").over(w).alias("blocks")), "lists"
     )
     # sizes after filtering, for the tile grid
-    n = rows.groupBy("token").agg(F.count("*").alias("n"))
+    n = materialize(rows.groupBy("token").agg(F.count("*").alias("n")), "list_sizes")
     rows = attach(rows, n, "token", "n", ["e"])
     left = rows.select("token", F.col("e").alias("a"), F.col("blocks").alias("k_a"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
     right = rows.select("token", F.col("e").alias("b"), F.col("blocks").alias("k_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
@@ -121,6 +123,7 @@ def meta_blocking(filtered: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("shared"))
         .withColumn("weight", F.col("shared") / (F.col("k_a") + F.col("k_b") - F.col("shared")))
     )
+    pairs = materialize(pairs, "edges")
     # Group equal weights first: a short, order-independent sum.
     grouped = pairs.groupBy("weight").agg(F.sum("shared").alias("k"))
     mean = grouped.agg(F.sum(F.col("weight") * F.col("k")) / F.sum("k"))
@@ -149,7 +152,7 @@ def comparison_count(sizes: DataFrame) -> DataFrame:
 
 def blocking_report(tagged: DataFrame, links: DataFrame) -> DataFrame:
     """(metric, value): sizes, blocks, comparisons and links of one run."""
-    sizes = block_sizes(token_blocking(tagged))
+    sizes = materialize(block_sizes(token_blocking(tagged)), "sizes")
     best = optimal_block_size(sizes)
     on = (F.col("size") > 1) & (F.col("size") <= best.scalar())
     kept = sizes.where(on)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.operators.skew import attach, pair_join
+from entitylink.session import materialize
 
 IDS = ["source", "target"]
 EPS = 1e-9
@@ -38,55 +39,75 @@ def element_stats(values: DataFrame) -> DataFrame:
     )
 
 
-def ordered_elements(values: DataFrame, by: str = "pairs", limit: DataFrame | None = None) -> DataFrame:
-    """Per value its shareable elements in global order.
+def ordered_elements(
+    values: DataFrame, need: Callable[[Column], Column], by: str = "pairs", limit: DataFrame | None = None
+) -> DataFrame:
+    """Per value its shareable elements in global order, written out once.
 
-    Columns: source, target, n (all elements), arr (shareable, ordered), keep (how many
-    of arr may serve as join keys). ``by='entities'`` orders by block size and then
-    ``limit`` (one row: optimal) turns larger blocks, and single-entity ones, off.
+    ``need(n)``: least overlap of a value of size n with any partner. Columns: source,
+    target, n (all elements), hidden (elements only one side has; they come first in
+    the order and never join), last (rank of the last prefix element), arr, prefix. ``by='entities'`` orders by block size and
+    then ``limit`` (one row: optimal) turns larger blocks, and single-entity ones, off.
     """
-    stats = element_stats(values)
+    stats = materialize(element_stats(values), "elements")
     rank = F.col("df_s") * F.col("df_t") if by == "pairs" else F.col("entities")
     on = F.lit(True) if limit is None else (F.col("entities") > 1) & (F.col("entities") <= limit.scalar())
     stats = stats.withColumn("rank", rank).withColumn("on", on).drop("entities")
     rows = values.select(*IDS, F.size("elems").alias("n"), F.explode("elems").alias("elem"))
     rows = attach(rows, stats, "elem", "df", IDS).where((F.col("df_s") > 0) & (F.col("df_t") > 0))
-    return (
-        rows.groupBy(*IDS, "n")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "elem", "df_s", "df_t", "on"))).alias("arr"))
-        .withColumn("keep", F.size(F.filter("arr", lambda e: e.on)))
+    rows = rows.groupBy(*IDS, "n").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "elem", "df_s", "df_t", "on"))).alias("arr")
+    )
+    hidden = F.col("n") - F.size("arr")
+    rows = rows.withColumn("hidden", hidden)
+    length = F.col("n") - F.greatest(need(F.col("n")), F.lit(1)) + 1 - F.col("hidden")
+    length = F.greatest(F.least(length, F.size(F.filter("arr", lambda e: e.on))), F.lit(0))
+    rows = rows.select(
+        *IDS,
+        "n",
+        "hidden",
+        F.get("arr", length - 1).rank.alias("last"),
+        F.transform("arr", lambda e: e.elem).alias("arr"),
+        F.transform(
+            F.slice("arr", F.lit(1), length),
+            lambda e: F.struct(e.elem.alias("elem"), e.df_s.alias("df_s"), e.df_t.alias("df_t")),
+        ).alias("prefix"),
     )
+    return materialize(rows, "ordered")
 
 
 def prefix_pairs(
     ordered: DataFrame,
-    need: Callable[[Column], Column],
     alpha: Callable[[Column, Column], Column],
     size_ok: Callable[[Column, Column], Column],
 ) -> DataFrame:
     """Distinct (source, target) that may share ``alpha(a, b)`` elements.
 
-    ``need(n)``: least overlap of a value of size n with any partner;
-    ``size_ok(a, b)``: sizes that can qualify.
+    ``size_ok(a, b)``: sizes that can qualify. The shared prefix elements of a pair
+    are counted: whichever prefix ends first in the global order, everything shared
+    up to there is counted and the rest of that side bounds what can follow. The
+    count is a partial aggregate, so rows shrink before the shuffle.
     """
-    hidden = F.col("n") - F.size("arr")
-    length = F.col("n") - F.greatest(need(F.col("n")), F.lit(1)) + 1 - hidden
-    length = F.least(length, F.col("keep"))
-    rows = ordered.where(length > 0).select(
-        *IDS, "n", hidden.alias("hidden"), F.posexplode(F.slice("arr", F.lit(1), length)).alias("pos", "e")
-    )
-    rows = rows.select(*IDS, "n", (F.col("hidden") + F.col("pos")).alias("pos"), "e.elem", "e.df_s", "e.df_t")
+    rest = F.col("n") - F.col("hidden") - F.size("prefix")
+    rows = ordered.select(*IDS, "n", "last", rest.alias("rest"), F.explode("prefix").alias("e"))
+    rows = rows.select(*IDS, "n", "last", "rest", "e.elem", "e.df_s", "e.df_t")
     left = rows.where(F.col("source").isNotNull()).select(
-        "source", F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), "elem", "df_s", "df_t"
+        "source", F.col("n").alias("n_x"), F.struct("last", "rest").alias("end_x"), "elem", "df_s", "df_t"
     )
     right = rows.where(F.col("target").isNotNull()).select(
-        "target", F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), "elem", "df_s", "df_t"
+        "target", F.col("n").alias("n_y"), F.struct("last", "rest").alias("end_y"), "elem", "df_s", "df_t"
     )
     a, b = F.col("n_x"), F.col("n_y")
-    # When this is the first shared element, at most the rest of both can follow.
-    room = F.least(a - F.col("pos_x"), b - F.col("pos_y"))
-    pairs = pair_join(left, right, "elem", "source", "target", "df_s", "df_t", size_ok(a, b) & (room >= alpha(a, b)))
-    return pairs.select("source", "target").distinct()
+    pairs = (
+        pair_join(left, right, "elem", "source", "target", "df_s", "df_t", size_ok(a, b))
+        .groupBy("source", "target", "n_x", "n_y", "end_x", "end_y")
+        .agg(F.count("*").alias("shared"))
+    )
+    x, y = F.col("end_x"), F.col("end_y")
+    more = (
+        F.when(x.last < y.last, x.rest).when(x.last > y.last, y.rest).otherwise(F.greatest(x.rest, y.rest))
+    )
+    return pairs.where(F.col("shared") + more >= alpha(a, b)).select("source", "target")
 
 
 def with_sides(pairs: DataFrame, table: DataFrame, **columns: Column) -> DataFrame:

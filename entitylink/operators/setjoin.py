@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from entitylink.functions import tokens as tok
 from entitylink.operators.prefix import ordered_elements, prefix_pairs, up, with_counts, with_sides
 from entitylink.operators.values import value_table
+from entitylink.session import materialize
 
 
 def exact_join(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str) -> DataFrame:
@@ -53,18 +54,26 @@ class Measure:
         return o
 
 
+def set_values(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str, elems) -> DataFrame:
+    """The value table with ``elems`` in place of the value, written out once."""
+    values = value_table(src, tgt, id_col, value)
+    return materialize(
+        values.select("source", "target", "n_source", "n_target", elems(F.col("value")).alias("elems")), "values"
+    )
+
+
 def set_links(values: DataFrame, measure: Measure, by: str = "pairs", limit: DataFrame | None = None) -> DataFrame:
-    """Value links (source, target, sim) for a value table with an ``elems`` column."""
-    ordered = ordered_elements(values, by, limit)
-    pairs = prefix_pairs(ordered, measure.need, measure.alpha, measure.size_ok)
-    sides = with_sides(pairs, ordered, n=F.col("n"), arr=F.transform("arr", lambda e: e.elem))
+    """Value links (source, target, sim) for ``set_values`` output."""
+    ordered = ordered_elements(values, measure.need, by, limit)
+    pairs = prefix_pairs(ordered, measure.alpha, measure.size_ok)
+    sides = with_sides(pairs, ordered, n=F.col("n"), arr=F.col("arr"))
     overlap = F.size(F.array_intersect("arr_s", "arr_t"))
     scored = sides.select("source", "target", measure.sim(overlap, F.col("n_s"), F.col("n_t")).alias("sim"))
     return scored.where(F.col("sim") >= measure.theta)
 
 
 def set_join(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str, elems, measure: Measure) -> DataFrame:
-    values = value_table(src, tgt, id_col, value).withColumn("elems", elems(F.col("value")))
+    values = set_values(src, tgt, id_col, value, elems)
     return with_counts(set_links(values, measure), values)
 
 

@@ -16,7 +16,8 @@ CHUNK = 2000
 def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: list[str]) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per key).
 
-    ``weight`` is the table column that says how many rows hold the key.
+    ``weight`` is the table column that says how many rows hold the key. ``table``
+    is read three times, so hand over something cheap to read again.
     """
     total = table.agg(F.sum(weight)).scalar()
     parts = F.ceil(F.col(weight) * PARTS / total).cast("int")

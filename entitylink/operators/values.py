@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.operators.skew import attach, pair_join
+from entitylink.session import materialize
 
 
 def value_table(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str) -> DataFrame:
@@ -36,7 +37,7 @@ def value_members(df: DataFrame, id_col: str, value: Column | str) -> DataFrame:
     """(member, rep, n): every entity with the smallest id that holds the same value."""
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(F.sha2(value.cast("string"), 256).alias("key"), F.col(id_col).alias("member")).where(F.col("key").isNotNull())
-    reps = rows.groupBy("key").agg(F.min("member").alias("rep"), F.count("*").alias("n"))
+    reps = materialize(rows.groupBy("key").agg(F.min("member").alias("rep"), F.count("*").alias("n")), "reps")
     return attach(rows, reps, "key", "n", ["member"]).select("member", "rep", "n")
 
 
