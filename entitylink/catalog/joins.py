@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from entitylink.catalog import query
 from entitylink.catalog.data import SQL_DOCUMENTS, SQL_PAGES, SQL_VALUES, documents, pages
-from entitylink.operators import setjoin
+from entitylink.operators import editjoin, setjoin
 
 ROUNDED = "round(sim, 6) AS sim, n_source, n_target"
 
@@ -59,3 +59,134 @@ def dice_join(spark, sf):
 @query("overlap_join", _bag_sql("o", 150))
 def overlap_join(spark, sf):
     return _round(setjoin.overlap_join(*documents(spark, sf), "id", "text", 150))
+
+
+SQL_TITLES = f"WITH {SQL_PAGES}, {SQL_VALUES}"
+
+
+@query("levenshtein_join", SQL_TITLES + """
+SELECT source, target, round(1.0 / (1 + levenshtein(vs.value, vt.value)), 6) AS sim, n_source, n_target
+FROM vs JOIN vt ON levenshtein(vs.value, vt.value) <= 4""")
+def levenshtein_join(spark, sf):
+    return _round(editjoin.levenshtein_join(*pages(spark, sf), "id", "title", 0.2))
+
+
+SQL_GRAMS = """, base AS (
+  SELECT 's' AS side, source AS id, {text} AS t FROM vs UNION ALL SELECT 't', target, {text} FROM vt),
+grams AS (SELECT DISTINCT side, id, substr(t, i, {q}) AS g FROM (
+  SELECT side, id, t, unnest(range(1, length(t) - {q} + 2)) AS i FROM base)),
+n AS (SELECT side, id, CAST(count(*) AS DOUBLE) AS n FROM grams GROUP BY ALL),
+common AS (SELECT a.id AS source, b.id AS target, CAST(count(*) AS DOUBLE) AS o
+  FROM grams a JOIN grams b ON a.g = b.g AND a.side = 's' AND b.side = 't' GROUP BY ALL),
+scored AS (SELECT source, target, o, x.n AS a, y.n AS b, n_source, n_target
+  FROM common JOIN n x ON x.side = 's' AND x.id = source JOIN n y ON y.side = 't' AND y.id = target
+  JOIN vs USING (source) JOIN vt USING (target))
+SELECT source, target, round({sim}, 6) AS sim, n_source, n_target FROM scored WHERE {sim} >= {theta}"""
+
+
+@query("qgram_join", SQL_TITLES + SQL_GRAMS.format(
+    text="rpad(trim(regexp_replace(value, ' {2,}', ' ', 'g')), greatest(3, length(trim(regexp_replace(value, ' {2,}', ' ', 'g')))), '_')",
+    q=3, sim="o / (a + b - o)", theta=0.3))
+def qgram_join(spark, sf):
+    return _round(setjoin.qgram_join(*pages(spark, sf), "id", "title", 0.3))
+
+
+@query("bigram_dice_join", SQL_TITLES + SQL_GRAMS.format(text="'  ' || value || '  '", q=2, sim="2 * o / (a + b)", theta=0.65))
+def bigram_dice_join(spark, sf):
+    return _round(setjoin.bigram_dice_join(*pages(spark, sf), "id", "title", 0.65))
+
+
+SQL_COMMON = """CASE WHEN a = '' THEN '' ELSE list_reduce(
+  [{{'i': -1, 'rest': b, 'taken': ''}}] || list_transform(range(length(a)), lambda k: {{'i': CAST(k AS INT), 'rest': '', 'taken': ''}}),
+  lambda st, e: CASE WHEN position(substr(a, e.i + 1, 1) IN {win}) > 0 THEN
+    {{'i': e.i,
+      'rest': substr(st.rest, 1, {lo} + position(substr(a, e.i + 1, 1) IN {win}) - 1) || chr(1)
+              || substr(st.rest, {lo} + position(substr(a, e.i + 1, 1) IN {win}) + 1),
+      'taken': st.taken || substr(a, e.i + 1, 1)}}
+  ELSE {{'i': e.i, 'rest': st.rest, 'taken': st.taken}} END).{field} END"""
+
+
+def _common_sql(a: str, b: str, back: str, ahead: str, field: str) -> str:
+    lo = f"greatest(e.i - {back}, 0)"
+    win = f"substr(st.rest, {lo} + 1, CAST(greatest(e.i + {ahead} - {lo}, 0) AS BIGINT))"
+    text = SQL_COMMON.format(lo=lo, win=win, field=field)
+    return text.replace("length(a)", f"length({a})").replace("substr(a,", f"substr({a},").replace("'rest': b", f"'rest': {b}").replace("WHEN a =", f"WHEN {a} =")
+
+
+def _swaps_sql(x: str, y: str) -> str:
+    return f"len(list_filter(range(1, length({x}) + 1), lambda i: substr({x}, i, 1) <> substr({y}, i, 1))) // 2"
+
+
+HALF = "(least(length(a), length(b)) // 2)"
+
+
+@query("jaro_join", SQL_TITLES + f""", pairs AS (
+  SELECT source, target, n_source, n_target, vs.value AS a, vt.value AS b FROM vs, vt),
+c AS (SELECT *, {_common_sql("a", "b", HALF, HALF, "taken")} AS x, {_common_sql("b", "a", HALF, HALF, "taken")} AS y FROM pairs),
+scored AS (SELECT *, (length(x)::DOUBLE / length(a) + length(x)::DOUBLE / length(b)
+    + (length(x) - {_swaps_sql("x", "y")})::DOUBLE / length(x)) / 3 AS sim
+  FROM c WHERE length(x) > 0 AND length(x) = length(y))
+SELECT source, target, round(sim, 6) AS sim, n_source, n_target FROM scored WHERE sim >= 0.8""")
+def jaro_join(spark, sf):
+    return _round(editjoin.jaro_join(*pages(spark, sf), "id", "title", 0.8))
+
+
+REACH = "(greatest(greatest(length(a), length(b)) // 2 - 1, 0))"
+
+@query("jaro_winkler_join", f"""WITH {SQL_PAGES.replace(
+    "regexp_extract(html, '<title>([^<]*)</title>', 1) AS value",
+    "upper(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS value")}, {SQL_VALUES}, pairs AS (
+  SELECT source, target, n_source, n_target, vs.value AS a, vt.value AS b FROM vs, vt),
+c AS (SELECT *, {_common_sql("a", "b", REACH, "(" + REACH + " + 1)", "taken")} AS x, {_common_sql("a", "b", REACH, "(" + REACH + " + 1)", "rest")} AS rest FROM pairs),
+d AS (SELECT *, array_to_string(list_transform(list_filter(range(1, length(b) + 1), lambda i: substr(rest, i, 1) = chr(1)), lambda i: substr(b, i, 1)), '') AS y
+  FROM c WHERE length(x) > 0),
+j AS (SELECT *, (length(x)::DOUBLE / length(a) + length(x)::DOUBLE / length(b)
+    + (length(x) - {_swaps_sql("x", "y")})::DOUBLE / length(x)) / 3 AS w FROM d),
+lead AS (SELECT *, length(regexp_extract(
+    array_to_string(list_transform(range(1, least(4, length(a), length(b)) + 1), lambda i:
+      CASE WHEN substr(a, i, 1) = substr(b, i, 1) AND NOT regexp_matches(substr(a, i, 1), '[0-9]') THEN '=' ELSE '.' END), ''), '^=*')) AS k FROM j),
+scored AS (SELECT *, CASE WHEN w > 0.7 THEN w + k * 0.1 * (1 - w) ELSE w END AS sim FROM lead)
+SELECT source, target, round(sim, 6) AS sim, n_source, n_target FROM scored WHERE sim >= 0.87""")
+def jaro_winkler_join(spark, sf):
+    return _round(editjoin.jaro_winkler_join(*pages(spark, sf), "id", "title", 0.87))
+
+
+@query("ratcliff_join")
+def ratcliff_join(spark, sf):
+    return _round(editjoin.ratcliff_join(*pages(spark, sf), "id", "title", 0.75))
+
+
+def _soundex_sql(text: str) -> str:
+    t = f"upper({text})"
+    for c in "BFPVCGJKQSXZDTLMNR":
+        t = f"regexp_replace({t}, '{c}({c}|[HW]{c})', '{c}', 'g')"
+    return t
+
+
+@query("soundex_join", f"""WITH {SQL_PAGES.replace("dt AS", "dt_ AS").replace("ds AS", "ds_ AS")},
+folded AS (SELECT 's' AS side, id, regexp_replace({_soundex_sql("value")}, '[AEIOUYHW]', '', 'g') AS t FROM ds_
+  UNION ALL SELECT 't', id, regexp_replace({_soundex_sql("value")}, '[AEIOUYHW]', '', 'g') FROM dt_),
+coded AS (SELECT side, id, rpad(substr(substr(t, 1, 1) || translate(regexp_replace(substr(t, 2), '[^BFPVCGJKQSXZDTLMNR]', '', 'g'),
+  'BFPVCGJKQSXZDTLMNR', '111122222222334556'), 1, 6), 6, '0') AS value FROM folded),
+ds AS (SELECT id, value FROM coded WHERE side = 's'), dt AS (SELECT id, value FROM coded WHERE side = 't'), {SQL_VALUES}
+SELECT source, target, round(1 - hamming(vs.value, vt.value) / 6.0::DOUBLE, 6) AS sim, n_source, n_target
+FROM vs JOIN vt ON length(vs.value) = length(vt.value) AND hamming(vs.value, vt.value) <= 1""")
+def soundex_join(spark, sf):
+    return _round(editjoin.soundex_join(*pages(spark, sf), "id", "title", 0.8))
+
+
+@query("monge_elkan_join", SQL_TITLES + """,
+ws AS (SELECT source, row_number() OVER () AS pos, w FROM (SELECT source, unnest(string_split(value, ' ')) AS w FROM vs) WHERE w <> ''),
+wt AS (SELECT DISTINCT target, w FROM (SELECT target, unnest(string_split(value, ' ')) AS w FROM vt) WHERE w <> ''),
+lex AS (SELECT DISTINCT w FROM (SELECT w FROM ws UNION ALL SELECT w FROM wt)),
+grams AS (SELECT DISTINCT w, substr('  ' || w || '  ', i, 2) AS g FROM (SELECT w, unnest(range(1, length(w) + 4)) AS i FROM lex)),
+n AS (SELECT w, CAST(count(*) AS DOUBLE) AS n FROM grams GROUP BY w),
+sim AS (SELECT a.w AS w1, b.w AS w2, 2 * count(*) / (any_value(x.n) + any_value(y.n)) AS s
+  FROM grams a JOIN grams b USING (g) JOIN n x ON x.w = a.w JOIN n y ON y.w = b.w GROUP BY ALL),
+best AS (SELECT source, target, pos, max(s) AS s FROM ws JOIN sim ON w1 = ws.w JOIN wt ON wt.w = w2 GROUP BY ALL),
+size AS (SELECT source, count(*) AS k FROM ws GROUP BY source),
+scored AS (SELECT source, target, sum(s) / any_value(k) AS sim FROM best JOIN size USING (source) GROUP BY source, target)
+SELECT source, target, round(sim, 6) AS sim, n_source, n_target
+FROM scored JOIN vs USING (source) JOIN vt USING (target) WHERE sim >= 0.75""")
+def monge_elkan_join(spark, sf):
+    return _round(editjoin.monge_elkan_join(*pages(spark, sf), "id", "title", 0.75))

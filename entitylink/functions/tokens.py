@@ -21,6 +21,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[" + BAG_SEPARATORS + "]"), lambda w: w != "")
 
 
+def blank_words(text: Column) -> Column:
+    """Words between blanks, punctuation kept."""
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
 def number_repeats(items: Column) -> Column:
     """Turn a bag into a set: the k-th repeat of x (k > 1) becomes ``x.k``.
 
