@@ -85,7 +85,7 @@ SELECT source, target, round({sim}, 6) AS sim, n_source, n_target FROM scored WH
 
 
 @query("qgram_join", SQL_TITLES + SQL_GRAMS.format(
-    text="rpad(trim(regexp_replace(value, ' {2,}', ' ', 'g')), greatest(3, length(trim(regexp_replace(value, ' {2,}', ' ', 'g')))), '_')",
+    text="rpad(trim(regexp_replace(value, ' {2,}', ' ', 'g')), CAST(greatest(3, length(trim(regexp_replace(value, ' {2,}', ' ', 'g')))) AS INT), '_')",
     q=3, sim="o / (a + b - o)", theta=0.3))
 def qgram_join(spark, sf):
     return _round(setjoin.qgram_join(*pages(spark, sf), "id", "title", 0.3))
@@ -157,7 +157,7 @@ def ratcliff_join(spark, sf):
 
 
 def _soundex_sql(text: str) -> str:
-    t = f"upper({text})"
+    t = f"upper(replace({text}, 'ß', 'ss'))"  # upper-casing there keeps it as one letter
     for c in "BFPVCGJKQSXZDTLMNR":
         t = f"regexp_replace({t}, '{c}({c}|[HW]{c})', '{c}', 'g')"
     return t
@@ -169,8 +169,9 @@ folded AS (SELECT 's' AS side, id, regexp_replace({_soundex_sql("value")}, '[AEI
 coded AS (SELECT side, id, rpad(substr(substr(t, 1, 1) || translate(regexp_replace(substr(t, 2), '[^BFPVCGJKQSXZDTLMNR]', '', 'g'),
   'BFPVCGJKQSXZDTLMNR', '111122222222334556'), 1, 6), 6, '0') AS value FROM folded),
 ds AS (SELECT id, value FROM coded WHERE side = 's'), dt AS (SELECT id, value FROM coded WHERE side = 't'), {SQL_VALUES}
-SELECT source, target, round(1 - hamming(vs.value, vt.value) / 6.0::DOUBLE, 6) AS sim, n_source, n_target
-FROM vs JOIN vt ON length(vs.value) = length(vt.value) AND hamming(vs.value, vt.value) <= 1""")
+SELECT source, target, round(1 - h / 6.0::DOUBLE, 6) AS sim, n_source, n_target FROM (
+  SELECT *, len(list_filter(range(1, 7), lambda i: substr(vs.value, i, 1) <> substr(vt.value, i, 1))) AS h FROM vs, vt)
+WHERE h <= 1""")
 def soundex_join(spark, sf):
     return _round(editjoin.soundex_join(*pages(spark, sf), "id", "title", 0.8))
 
