@@ -194,7 +194,7 @@ def sink_links_tsv(spark, sf):
     return spark.read.text(path)
 
 
-@query("sink_links_csv", SQL_ORDER_LINKS + """SELECT '"' || source || '","' || target || '","' || CAST(sim AS VARCHAR) || '"' AS value FROM links""")
+@query("sink_links_csv", SQL_ORDER_LINKS + """SELECT '"' || source || '","' || target || '",' || CAST(sim AS VARCHAR) AS value FROM links""")
 def sink_links_csv(spark, sf):
     path = shared_folder(spark, "sink-csv")
     sinks.write_links(_order_links(spark, sf), path, "csv")

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entitylink.catalog import query
-from entitylink.catalog.data import SQL_DOCUMENTS, SQL_PAGES, SQL_VALUES, documents, pages
+from entitylink.catalog.data import SQL_DOCUMENTS, SQL_PAGES, SQL_VALUES, documents, pages, table
 from entitylink.operators import editjoin, setjoin
-
-ROUNDED = "round(sim, 6) AS sim, n_source, n_target"
-
+from entitylink.operators.values import expand_links, value_members
 
 def _round(df):
-    return df.withColumn("sim", F.round("sim", 6))
+    return df.withColumn("sim", F.round("sim", 6)).drop("key_s", "key_t")
 
 
 SQL_BAGS = f"""WITH {SQL_DOCUMENTS}, {SQL_VALUES},
@@ -34,7 +32,7 @@ scored AS (
 
 @query("exact_join", f"WITH {SQL_DOCUMENTS}, {SQL_VALUES} SELECT source, target, 1.0::DOUBLE AS sim, n_source, n_target FROM vs JOIN vt USING (value)")
 def exact_join(spark, sf):
-    return setjoin.exact_join(*documents(spark, sf), "id", "text")
+    return _round(setjoin.exact_join(*documents(spark, sf), "id", "text"))
 
 
 def _bag_sql(sim: str, theta: float) -> str:
@@ -191,3 +189,28 @@ SELECT source, target, round(sim, 6) AS sim, n_source, n_target
 FROM scored JOIN vs USING (source) JOIN vt USING (target) WHERE sim >= 0.75""")
 def monge_elkan_join(spark, sf):
     return _round(editjoin.monge_elkan_join(*pages(spark, sf), "id", "title", 0.75))
+
+
+@query("expanded_links", "SELECT o_custkey AS source, o_orderkey AS target, 1.0::DOUBLE AS sim FROM orders JOIN customer ON c_custkey = o_custkey")
+def expanded_links(spark, sf):
+    """Entity pairs behind an exact join: customers and the orders that name them."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("v"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("v"))
+    links = setjoin.exact_join(c, o, "id", "v")
+    return expand_links(links, value_members(c, "id", "v"), value_members(o, "id", "v"))
+
+
+@query("jaccard_multi_join", """WITH ds AS (SELECT p_partkey AS id, p_name AS value FROM part UNION ALL SELECT p_partkey, p_type || ' ' || p_brand FROM part),
+dt AS (SELECT l_orderkey AS id, l_returnflag || ' ' || p_name AS value FROM lineitem JOIN part ON p_partkey = l_partkey), """ + SQL_VALUES + """,
+ws AS (SELECT value, unnest(string_split(value, ' ')) AS w FROM vs), wt AS (SELECT value, unnest(string_split(value, ' ')) AS w FROM vt),
+c AS (SELECT a.value AS x, b.value AS y, count(*) AS o FROM ws a JOIN wt b USING (w) GROUP BY ALL),
+s AS (SELECT vs.source, vt.target, n_source, n_target, o::DOUBLE / (len(string_split(x, ' ')) + len(string_split(y, ' ')) - o) AS sim
+  FROM c JOIN vs ON vs.value = x JOIN vt ON vt.value = y)
+SELECT source, target, round(sim, 6) AS sim, n_source, n_target FROM s WHERE sim >= 0.6""")
+def jaccard_multi_join(spark, sf):
+    """Entities with several values: two names per part, a name per line of an order."""
+    part = table(spark, sf, "part")
+    s = part.select(F.col("p_partkey").alias("id"), F.explode(F.array("p_name", F.concat_ws(" ", "p_type", "p_brand"))).alias("v"))
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("p_partkey"), "l_returnflag")
+    t = line.join(part.select("p_partkey", "p_name"), "p_partkey").select("id", F.concat_ws(" ", "l_returnflag", "p_name").alias("v"))
+    return _round(setjoin.jaccard_join(s, t, "id", "v", 0.6))

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from entitylink.functions import strings
 from entitylink.functions import tokens as tok
-from entitylink.operators.prefix import ordered_elements, prefix_pairs, up, with_counts, with_sides
+from entitylink.operators.prefix import ordered_elements, prefix_pairs, up, with_sides
 from entitylink.operators.setjoin import Measure, set_links
 from entitylink.operators.skew import attach, pair_join
-from entitylink.operators.values import value_table
+from entitylink.operators.values import value_table, with_counts
 from entitylink.session import materialize
 
 

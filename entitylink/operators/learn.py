@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entitylink.functions.common import once
 from entitylink.operators.entities import draw
 from entitylink.operators.evaluate import _with_prf
 from entitylink.operators.values import value_table
@@ -93,7 +94,7 @@ def gold_from_key(src: DataFrame, tgt: DataFrame, id_col: str, key: str, group:
     row_number limit reaches below the shuffle, so big groups are cut before it.
     """
     both = value_table(src, tgt, id_col, key).where((F.col("n_source") > 0) & (F.col("n_target") > 0))
-    links = both.select(F.lit("link").alias("kind"), F.col("source"), F.col("target"))
+    links = both.select(F.lit("link").alias("kind"), F.col("source.id").alias("source"), F.col("target.id").alias("target"))
 
     def extra(df: DataFrame, other: DataFrame, kind: str, side: str) -> DataFrame:
         lone = df.join(other.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
@@ -120,11 +121,14 @@ def custom_join(
 def slide_points(pts: Column, t: float) -> Column:
     """Move every point the share ``t`` along the edge to the next (the last to the first)."""
 
-    def move(p: Column, i: Column) -> Column:
-        q = F.get(pts, F.pmod(i + 1, F.size(pts)))
-        return F.struct((p.lat + (q.lat - p.lat) * t).alias("lat"), (p.lon + (q.lon - p.lon) * t).alias("lon"))
+    def slide(ring: Column) -> Column:
+        def move(p: Column, i: Column) -> Column:
+            q = F.get(ring, F.pmod(i + 1, F.size(ring)))
+            return F.struct((p.lat + (q.lat - p.lat) * t).alias("lat"), (p.lon + (q.lon - p.lon) * t).alias("lon"))
 
-    return F.transform(pts, move)
+        return F.transform(ring, move)
+
+    return once(pts, slide)
 
 
 def _unit(*parts: Column) -> Column:

@@ -118,10 +118,3 @@ def with_sides(pairs: DataFrame, table: DataFrame, **columns: Column) -> DataFra
     s = table.where(F.col("source").isNotNull()).select("source", *[c.alias(f"{k}_s") for k, c in columns.items()])
     t = table.where(F.col("target").isNotNull()).select("target", *[c.alias(f"{k}_t") for k, c in columns.items()])
     return pairs.join(s, "source").join(t, "target")
-
-
-def with_counts(links: DataFrame, values: DataFrame) -> DataFrame:
-    """Add n_source and n_target to value links."""
-    s = values.where(F.col("source").isNotNull()).select("source", "n_source")
-    t = values.where(F.col("target").isNotNull()).select("target", "n_target")
-    return links.join(s, "source").join(t, "target").select("source", "target", "sim", "n_source", "n_target")

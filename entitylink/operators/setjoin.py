@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.functions import tokens as tok
-from entitylink.operators.prefix import ordered_elements, prefix_pairs, up, with_counts, with_sides
-from entitylink.operators.values import value_table
+from entitylink.operators.prefix import ordered_elements, prefix_pairs, up, with_sides
+from entitylink.operators.values import flat_links, value_table, with_counts
 from entitylink.session import materialize
 
 
 def exact_join(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str) -> DataFrame:
     """Equal values, sim 1.0."""
     v = value_table(src, tgt, id_col, value).where((F.col("n_source") > 0) & (F.col("n_target") > 0))
-    return v.select("source", "target", F.lit(1.0).alias("sim"), "n_source", "n_target")
+    return flat_links(v.withColumn("sim", F.lit(1.0)))
 
 
 class Measure:

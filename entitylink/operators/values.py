@@ -4,6 +4,9 @@ Similarity joins compare distinct values. ``value_table`` folds equal values of
 datasets into one row before any pair is formed, so a group of copies costs one row
 however large it is. Links between values name the smallest id on each side and the
 number of entities behind it; ``expand_links`` turns them into entity pairs.
+
+An entity may have several values (several rows of the same id). A value's key is
+therefore struct(id, h): the smallest id holding it and a hash of the value.
 """
 
 from __future__ import annotations
@@ -15,36 +18,75 @@ from entitylink.operators.skew import attach, pair_join
 from entitylink.session import materialize
 
 
+def _key(smallest: Column, value: Column) -> Column:
+    return F.when(smallest.isNotNull(), F.struct(smallest.alias("id"), F.xxhash64(value).alias("h")))
+
+
 def value_table(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str) -> DataFrame:
-    """One row per distinct value: value, source, target, n_source, n_target."""
+    """One row per distinct value: value, source, target (keys), n_source, n_target."""
     value = F.col(value) if isinstance(value, str) else value
-    s = src.select(value.alias("value"), F.col(id_col).alias("sid"), F.lit(None).cast(src.schema[id_col].dataType).alias("tid"))
-    t = tgt.select(value.alias("value"), F.lit(None).cast(tgt.schema[id_col].dataType).alias("sid"), F.col(id_col).alias("tid"))
+    s = src.select(value.alias("value"), F.col(id_col).alias("sid"), F.lit(None).cast(tgt.schema[id_col].dataType).alias("tid"))
+    t = tgt.select(value.alias("value"), F.lit(None).cast(src.schema[id_col].dataType).alias("sid"), F.col(id_col).alias("tid"))
     return (
         s.unionByName(t)
         .where(F.col("value").isNotNull())
         .groupBy("value")
         .agg(
-            F.min("sid").alias("source"),
-            F.min("tid").alias("target"),
+            F.min("sid").alias("sid"),
+            F.min("tid").alias("tid"),
             F.count("sid").alias("n_source"),
             F.count("tid").alias("n_target"),
         )
+        .select(
+            "value",
+            _key(F.col("sid"), F.col("value")).alias("source"),
+            _key(F.col("tid"), F.col("value")).alias("target"),
+            "n_source",
+            "n_target",
+        )
+    )
+
+
+def with_counts(links: DataFrame, values: DataFrame) -> DataFrame:
+    """Value links for output: source, target (smallest ids), sim, n_source, n_target, key_s, key_t."""
+    s = values.where(F.col("source").isNotNull()).select("source", "n_source")
+    t = values.where(F.col("target").isNotNull()).select("target", "n_target")
+    return flat_links(links.join(s, "source").join(t, "target"))
+
+
+def flat_links(links: DataFrame) -> DataFrame:
+    return links.select(
+        F.col("source.id").alias("source"),
+        F.col("target.id").alias("target"),
+        "sim",
+        "n_source",
+        "n_target",
+        F.col("source.h").alias("key_s"),
+        F.col("target.h").alias("key_t"),
     )
 
 
 def value_members(df: DataFrame, id_col: str, value: Column | str) -> DataFrame:
-    """(member, rep, n): every entity with the smallest id that holds the same value."""
+    """(member, rep, n): every entity with the key of a value it holds."""
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(F.sha2(value.cast("string"), 256).alias("key"), F.col(id_col).alias("member")).where(F.col("key").isNotNull())
-    reps = materialize(rows.groupBy("key").agg(F.min("member").alias("rep"), F.count("*").alias("n")), "reps")
-    return attach(rows, reps, "key", "n", ["member"]).select("member", "rep", "n")
+    rows = df.select(F.sha2(value.cast("string"), 256).alias("hash"), F.xxhash64(value).alias("h"), F.col(id_col).alias("member"))
+    rows = rows.where(F.col("hash").isNotNull())
+    reps = rows.groupBy("hash", "h").agg(F.min("member").alias("id"), F.count("*").alias("n"))
+    reps = materialize(reps.select("hash", F.struct("id", "h").alias("rep"), "n"), "reps")
+    return attach(rows, reps, "hash", "n", ["member"]).select("member", "rep", "n")
 
 
 def expand_links(links: DataFrame, src_members: DataFrame, tgt_members: DataFrame) -> DataFrame:
     """Entity pairs behind value links; a pair reached twice keeps the larger sim."""
     one = F.lit(1)
-    rows = links.select("source", "target", "sim", one.alias("_one"), "n_source", "n_target")
+    rows = links.select(
+        F.struct(F.col("source").alias("id"), F.col("key_s").alias("h")).alias("source"),
+        F.struct(F.col("target").alias("id"), F.col("key_t").alias("h")).alias("target"),
+        "sim",
+        one.alias("_one"),
+        "n_source",
+        "n_target",
+    )
     src = src_members.select(F.col("rep").alias("source"), F.col("member").alias("_s"), one.alias("_one"), F.col("n").alias("n_source"))
     rows = pair_join(rows, src, "source", "target", "_s", "_one", "n_source")
     tgt = tgt_members.select(F.col("rep").alias("target"), F.col("member").alias("_t"), one.alias("_one"), F.col("n").alias("n_target"))
