@@ -12,6 +12,7 @@ from entitylink.catalog import query
 from entitylink.catalog.data import SQL_VALUES, table
 from entitylink.operators import geojoin as gj
 from entitylink.operators import rangejoin as rj
+from entitylink.session import materialize
 
 
 def _r(df):
@@ -92,6 +93,7 @@ def _shapes(spark, sf):
     p = F.struct("l_linenumber", "l_partkey", "l_extendedprice", (F.col("lat") + F.col("l_discount")).alias("lat"), (F.col("lon") + F.col("l_tax")).alias("lon"))
     shapes = o.join(l, "id").groupBy("id", "st").agg(F.array_sort(F.collect_list(p)).alias("pts"))
     shapes = shapes.withColumn("pts", F.transform("pts", lambda x: F.struct(x.lat.alias("lat"), x.lon.alias("lon"))))
+    shapes = materialize(shapes, "shapes")
     return shapes.where("st = 'F'").drop("st"), shapes.where("st <> 'F'").drop("st")
 
 

@@ -92,20 +92,23 @@ def prefix_pairs(
     rows = ordered.select(*IDS, "n", "last", rest.alias("rest"), F.explode("prefix").alias("e"))
     rows = rows.select(*IDS, "n", "last", "rest", "e.elem", "e.df_s", "e.df_t")
     left = rows.where(F.col("source").isNotNull()).select(
-        "source", F.col("n").alias("n_x"), F.struct("last", "rest").alias("end_x"), "elem", "df_s", "df_t"
+        "source", F.col("n").alias("n_x"), F.col("last").alias("last_x"), F.col("rest").alias("rest_x"), "elem", "df_s", "df_t"
     )
     right = rows.where(F.col("target").isNotNull()).select(
-        "target", F.col("n").alias("n_y"), F.struct("last", "rest").alias("end_y"), "elem", "df_s", "df_t"
+        "target", F.col("n").alias("n_y"), F.col("last").alias("last_y"), F.col("rest").alias("rest_y"), "elem", "df_s", "df_t"
     )
     a, b = F.col("n_x"), F.col("n_y")
+    # The other columns depend on the pair; max() keeps the grouping key short.
+    carried = ["n_x", "n_y", "last_x", "last_y", "rest_x", "rest_y"]
     pairs = (
         pair_join(left, right, "elem", "source", "target", "df_s", "df_t", size_ok(a, b))
-        .groupBy("source", "target", "n_x", "n_y", "end_x", "end_y")
-        .agg(F.count("*").alias("shared"))
+        .groupBy("source", "target")
+        .agg(F.count("*").alias("shared"), *[F.max(c).alias(c) for c in carried])
     )
-    x, y = F.col("end_x"), F.col("end_y")
     more = (
-        F.when(x.last < y.last, x.rest).when(x.last > y.last, y.rest).otherwise(F.greatest(x.rest, y.rest))
+        F.when(F.col("last_x") < F.col("last_y"), F.col("rest_x"))
+        .when(F.col("last_x") > F.col("last_y"), F.col("rest_y"))
+        .otherwise(F.greatest("rest_x", "rest_y"))
     )
     return pairs.where(F.col("shared") + more >= alpha(a, b)).select("source", "target")
 
