@@ -1,6 +1,6 @@
 """Vectors, numbers, dates, points, shapes and boxes.
 
-Shapes: an order is a point set of its line items around a place derived from the order.
+Shapes: an order is a few points around a place, both derived from its columns.
 Source: orders with status F; target: the others.
 """
 
@@ -12,7 +12,6 @@ from entitylink.catalog import query
 from entitylink.catalog.data import SQL_VALUES, table
 from entitylink.operators import geojoin as gj
 from entitylink.operators import rangejoin as rj
-from entitylink.session import materialize
 
 
 def _r(df):
@@ -87,13 +86,17 @@ def _place():
 
 
 def _shapes(spark, sf):
+    """1 to 5 points (by priority) within a tenth of a degree of the order's place."""
     lat, lon = _place()
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), lat.alias("lat"), lon.alias("lon"), F.col("o_orderstatus").alias("st"))
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
-    p = F.struct("l_linenumber", "l_partkey", "l_extendedprice", (F.col("lat") + F.col("l_discount")).alias("lat"), (F.col("lon") + F.col("l_tax")).alias("lon"))
-    shapes = o.join(l, "id").groupBy("id", "st").agg(F.array_sort(F.collect_list(p)).alias("pts"))
-    shapes = shapes.withColumn("pts", F.transform("pts", lambda x: F.struct(x.lat.alias("lat"), x.lon.alias("lon"))))
-    shapes = materialize(shapes, "shapes")
+    points = F.sequence(F.lit(1), F.substring("o_orderpriority", 1, 1).cast("int"))
+
+    def point(k):
+        y = F.col("lat") + (F.col("o_custkey") * (k + 3)) % 97 / 970
+        x = F.col("lon") + (F.col("o_orderkey") * (k + 5)) % 89 / 890
+        return F.struct(y.alias("lat"), x.alias("lon"))
+
+    o = table(spark, sf, "orders").withColumns({"lat": lat, "lon": lon})
+    shapes = o.select(F.col("o_orderkey").alias("id"), F.transform(points, point).alias("pts"), F.col("o_orderstatus").alias("st"))
     return shapes.where("st = 'F'").drop("st"), shapes.where("st <> 'F'").drop("st")
 
 
@@ -105,9 +108,8 @@ HAV = SQL_HAVERSINE.format(a="a.", b="b.")
 SQL_PLACES = """WITH o AS (SELECT o_orderkey AS id, (o_totalprice * 100) % 16000 / 100 - 80 AS lat,
   (o_orderkey * 7919) % 36000 / 100::DOUBLE - 180 AS lon, o_orderstatus = 'F' AS s FROM orders)
 """
-SQL_SHAPES = SQL_PLACES + f""", pts AS (SELECT id, s, lat + l_discount AS lat, lon + l_tax AS lon,
-    row_number() OVER (PARTITION BY id ORDER BY l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax) AS pos
-  FROM o JOIN lineitem ON l_orderkey = id),
+SQL_SHAPES = SQL_PLACES + f""", pts AS (SELECT id, s, k AS pos, lat + (o_custkey * (k + 3)) % 97 / 970::DOUBLE AS lat, lon + (o_orderkey * (k + 5)) % 89 / 890::DOUBLE AS lon
+  FROM (SELECT o.*, o_custkey, o_orderkey, unnest(range(1, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 1)) AS k FROM o JOIN orders ON o_orderkey = id)),
 near AS (SELECT DISTINCT a.id AS source, b.id AS target FROM pts a JOIN pts b ON a.s AND NOT b.s AND b.lat BETWEEN a.lat - 0.18 AND a.lat + 0.18
   WHERE {HAV} <= 19.000001),
 d AS (SELECT source, target, a.pos AS i, b.pos AS j, {HAV} AS d

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Separators of word bags, and the characters block tokens keep.
+# Separators of word bags, and what separates block tokens.
 BAG_SEPARATORS = " .,?!\t"
-BLOCK_NON_TOKEN = "[^a-z0-9 ]"
+BLOCK_SEPARATOR = "[^a-z0-9]+"
 
 
 def block_tokens(text: Column) -> Column:
-    """Distinct lower-case alphanumeric tokens; every other character is a blank."""
-    clean = F.regexp_replace(F.lower(text), BLOCK_NON_TOKEN, " ")
-    return F.array_remove(F.array_distinct(F.split(clean, " ")), "")
+    """Distinct lower-case alphanumeric tokens; every other character separates."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), BLOCK_SEPARATOR)), "")
 
 
 def words(text: Column) -> Column:

@@ -27,7 +27,8 @@ def untag(df: DataFrame, dataset: str) -> DataFrame:
 
 def strip_literal(value: Column) -> Column:
     """Remove the ``^^datatype`` tail and the quotes of an RDF literal."""
-    return F.regexp_replace(F.regexp_replace(value, r"\^\^[^^]*$", ""), '"', "")
+    typed = F.when(F.contains(value, F.lit("^^")), F.regexp_replace(value, r"\^\^[^^]*$", "")).otherwise(value)
+    return F.replace(typed, F.lit('"'), F.lit(""))
 
 
 def token_blocking(tagged: DataFrame) -> DataFrame:

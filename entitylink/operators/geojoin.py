@@ -48,31 +48,29 @@ class SphereGrid:
         turned = F.pmod(lon + 180, F.lit(360.0))
         return F.least(F.floor(turned / 360 * n), n - 1).cast("bigint")
 
-    def own(self, p: Column) -> Column:
-        b = self.band(p.lat)
-        return self.key(b, self._column(p.lon, self.cells(b)))
+    def own(self, points: DataFrame) -> DataFrame:
+        """Add to point rows (column p) the key of the cell they lie in."""
+        rows = points.withColumn("b", self.band(F.col("p.lat"))).withColumn("n", self.cells(F.col("b")))
+        return rows.withColumn("key", self.key(F.col("b"), self._column(F.col("p.lon"), F.col("n")))).drop("b", "n")
 
-    def around(self, p: Column) -> Column:
-        """Keys of every cell a point within the radius can lie in."""
-
-        def row(db: int) -> Column:
-            b = self.band(p.lat) + db
-            n = self.cells(b)
-            c = self._column(p.lon, n)
-            keys = F.array_distinct(F.array(*[self.key(b, F.pmod(c + dc, n)) for dc in (-1, 0, 1)]))
-            return F.when((b >= 0) & (b < self.bands), keys).otherwise(F.array().cast("array<string>"))
-
-        return F.flatten(F.array(row(-1), row(0), row(1)))
+    def around(self, points: DataFrame) -> DataFrame:
+        """Repeat point rows into every cell a point within the radius can lie in."""
+        bands = F.sequence(self.band(F.col("p.lat")) - 1, self.band(F.col("p.lat")) + 1)
+        rows = points.withColumn("b", F.explode(bands)).where((F.col("b") >= 0) & (F.col("b") < self.bands))
+        rows = rows.withColumn("n", self.cells(F.col("b"))).withColumn("c", self._column(F.col("p.lon"), F.col("n")))
+        near = F.array_distinct(F.array(*[F.pmod(F.col("c") + d, F.col("n")) for d in (-1, 0, 1)]))
+        rows = rows.withColumn("c", F.explode(near))
+        return rows.withColumn("key", self.key(F.col("b"), F.col("c"))).drop("b", "n", "c")
 
 
 def shape_pairs(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, km: float) -> DataFrame:
     """Pairs with some two points in neighbouring cells: (source, target)."""
     grid = SphereGrid(km)
-    s = src.select(F.col(id_col).alias("source"), F.lit(None).cast(tgt.schema[id_col].dataType).alias("target"), F.explode(pts).alias("p"))
-    s = s.select("source", "target", F.explode(grid.around(F.col("p"))).alias("key")).distinct()
-    t = tgt.select(F.lit(None).cast(src.schema[id_col].dataType).alias("source"), F.col(id_col).alias("target"), F.explode(pts).alias("p"))
-    t = t.select("source", "target", grid.own(F.col("p")).alias("key")).distinct()
-    return key_pairs(s.unionByName(t))
+    no_target = F.lit(None).cast(tgt.schema[id_col].dataType).alias("target")
+    no_source = F.lit(None).cast(src.schema[id_col].dataType).alias("source")
+    s = grid.around(src.select(F.col(id_col).alias("source"), no_target, F.explode(pts).alias("p")))
+    t = grid.own(tgt.select(no_source, F.col(id_col).alias("target"), F.explode(pts).alias("p")))
+    return key_pairs(s.drop("p").unionByName(t.drop("p")).distinct())
 
 
 def with_shapes(pairs: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, pts: str) -> DataFrame:

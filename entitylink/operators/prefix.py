@@ -40,7 +40,11 @@ def element_stats(values: DataFrame) -> DataFrame:
 
 
 def ordered_elements(
-    values: DataFrame, need: Callable[[Column], Column], by: str = "pairs", limit: DataFrame | None = None
+    values: DataFrame,
+    need: Callable[[Column], Column],
+    by: str = "pairs",
+    limit: DataFrame | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Per value its shareable elements in global order, written out once.
 
@@ -48,8 +52,9 @@ def ordered_elements(
     target, n (all elements), hidden (elements only one side has; they come first in
     the order and never join), last (rank of the last prefix element), arr, prefix. ``by='entities'`` orders by block size and
     then ``limit`` (one row: optimal) turns larger blocks, and single-entity ones, off.
+    ``stats``: ``element_stats(values)`` where it is already written.
     """
-    stats = materialize(element_stats(values), "elements")
+    stats = materialize(element_stats(values), "elements") if stats is None else stats
     rank = F.col("df_s") * F.col("df_t") if by == "pairs" else F.col("entities")
     on = F.lit(True) if limit is None else (F.col("entities") > 1) & (F.col("entities") <= limit.scalar())
     stats = stats.withColumn("rank", rank).withColumn("on", on).drop("entities")

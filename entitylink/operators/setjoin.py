@@ -62,9 +62,15 @@ def set_values(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str,
     )
 
 
-def set_links(values: DataFrame, measure: Measure, by: str = "pairs", limit: DataFrame | None = None) -> DataFrame:
+def set_links(
+    values: DataFrame,
+    measure: Measure,
+    by: str = "pairs",
+    limit: DataFrame | None = None,
+    stats: DataFrame | None = None,
+) -> DataFrame:
     """Value links (source, target, sim) for ``set_values`` output."""
-    ordered = ordered_elements(values, measure.need, by, limit)
+    ordered = ordered_elements(values, measure.need, by, limit, stats)
     pairs = prefix_pairs(ordered, measure.alpha, measure.size_ok)
     sides = with_sides(pairs, ordered, n=F.col("n"), arr=F.col("arr"))
     overlap = F.size(F.array_intersect("arr_s", "arr_t"))

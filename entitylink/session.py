@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -25,6 +26,12 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     )
 
 
+@functools.cache
+def _local_base() -> str:
+    """One temporary folder per local process."""
+    return tempfile.mkdtemp(prefix="entitylink-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
@@ -35,7 +42,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="entitylink-")
+        base = _local_base()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
