@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["minmax", "tokens", "shards", "sketch"]
+MODULES = ["minmax", "tokens", "shards", "sketch", "balltree"]
 
 
 def query(name: str, sql: str | None = None):
