@@ -67,13 +67,19 @@ def slices(col: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.nda
         i = j
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the number of words before it."""
+# Anything but a letter of ASCII; bytes of other scripts count as letters.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the number of words before it.
+    ``apart``: for each byte value whether it separates words."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = apart[data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = space[:-1]
@@ -98,6 +104,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * _power(_P_INVERSE, n)[starts])
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """``word_hashes`` of given words."""
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words in each row, repeats included, and the
     number before each row. A row with fewer words has its whole sequence as one
