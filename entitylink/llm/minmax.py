@@ -100,22 +100,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
+def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, component) of the rows of buckets that hold several components."""
+    node = found.withColumnRenamed("node", "doc_id")
+    placed = buckets.join(node, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = materialize(placed.select("key", "doc_id", "component"), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return materialize(placed.join(materialize(split.select("key"), "split"), "key", "left_semi"), "open")
+
+
 def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components among ``rows`` (doc_id, component, n) that may be linked.
 
-    Shingles are ordered by how many of these documents hold them. Two sets of the
-    wanted similarity share one of the rarest n - ceil(percent * n / 100) + 1, so only
-    those are paired; no link is lost and common passages pair nothing.
+    Shingles are ordered by how many of these documents hold them. Linked sets share
+    at least ``least`` = ceil(percent * (n + n_b) / (100 + percent)) shingles, so the first
+    one they share has that many from it on in either order: its ranks are at most
+    n - least + 1 and n_b - least + 1. Only such shingles pair documents; no link is lost.
     """
     each = rows.join(sets, "doc_id").select("doc_id", "component", "n", F.explode("shingles").alias("s"))
     spread = materialize(each.groupBy("s").agg(F.count("*").alias("df")), "spread")
     order = Window.partitionBy("doc_id").orderBy("df", "s")
     each = each.join(spread, "s").withColumn("rank", F.row_number().over(order))
-    need = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    each = materialize(each.where((F.col("rank") <= need) & (F.col("df") > 1)).select("doc_id", "component", "n", "s"), "rare")
-    other = each.select(*[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n")], "s")
-    fits = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (F.col("doc_id") < F.col("doc_id_b"))
-    pairs = each.join(other, "s").where(fits & (F.col("component") != F.col("component_b")))
+    need = F.expr(f"n - (({percent} * n + 99) div 100) + 1")  # at most: a partner of percent * n shingles
+    each = each.where((F.col("rank") <= need) & (F.col("df") > 1)).select("doc_id", "component", "n", "s", "rank")
+    each = materialize(each, "rare")
+    other = each.select(*[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "rank")], "s")
+    least = F.expr(f"({percent} * (n + n_b) + {99 + percent}) div {100 + percent}")
+    fits = (F.col("rank") <= F.col("n") - least + 1) & (F.col("rank_b") <= F.col("n_b") - least + 1)
+    fits &= (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
+    pairs = each.join(other, "s").where(fits)
     return pairs.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
@@ -151,15 +164,10 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = materialize(confirmed(pairs, sets, percent), "links")
     found = components(links)
 
-    node = found.withColumnRenamed("node", "doc_id")
-    placed = buckets.join(node, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = materialize(placed.select("key", "doc_id", "component"), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    split = materialize(split.select("key"), "split")
-    open_ = placed.join(split, "key", "left_semi").select("doc_id", "component").distinct()
-    open_ = materialize(open_.join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "open")
+    open_ = _placed(buckets, found).select("doc_id", "component").distinct()
+    open_ = materialize(open_.join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "rest")
     more = materialize(_open_pairs(open_, sets, percent), "more")
-    extra = materialize(confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, percent), "extra")
+    extra = materialize(confirmed(more, sets, percent), "extra")
     if not extra.isEmpty():
         found = components(links.unionByName(extra))
 
