@@ -237,56 +237,57 @@ def _training_windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in (0, 1)], schema=schema)
 
 
-def fitted(windows: list[tuple[bytes, bytes]], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field | None:
+def fitted(windows: list[tuple[bytes, bytes]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-5) -> Field | None:
     """Field of the largest conditional likelihood, less a square penalty; None if
     nothing is tagged. Full-batch steps over forward-backward sums."""
     rows = [(np.frombuffer(v, np.int8).reshape(-1, len(FEATURES)).astype(np.int64), np.frombuffer(t, np.int8)) for v, t in windows]
     if not any(t.any() for _, t in rows):
         return None
     n, width = len(rows), max(len(t) for _, t in rows)
-    values = np.full((n, width, len(FEATURES)), -1)
     tags, live = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
+    values = np.zeros((n, width, len(FEATURES)), np.int64)
     for r, (v, t) in enumerate(rows):
         values[r, : len(t)], tags[r, : len(t)], live[r, : len(t)] = v, t, True
-    where = np.where(values < 0, _FIRST[-1], values + _FIRST[:-1])  # padding has a row of zeros
-    emit, move = np.zeros((_FIRST[-1] + 1, 3)), np.zeros((3, 3))
-    seen_emit, seen_move = np.zeros_like(emit), np.zeros_like(move)
-    eye = np.eye(3)
-    for k in range(len(FEATURES)):
-        np.add.at(seen_emit, where[..., k][live], eye[tags[live]])
+    # tokens of equal features share their score
+    kinds, kind = np.unique(values.reshape(-1, len(FEATURES)), axis=0, return_inverse=True)
+    kinds, kind = kinds + _FIRST[:-1], kind.reshape(n, width)
+    emit, move = np.zeros((_FIRST[-1], 3)), np.zeros((3, 3))
+
+    def by_feature(weights: np.ndarray) -> np.ndarray:
+        """Sums of a tag weight of every token, by feature value and tag."""
+        of_kind = np.stack([np.bincount(kind[live], weights[..., tag][live], len(kinds)) for tag in range(3)], axis=1)
+        out = np.zeros_like(emit)
+        for k in range(len(FEATURES)):
+            np.add.at(out, kinds[:, k], of_kind)
+        return out
+
+    seen_emit, seen_move = by_feature(np.eye(3)[tags]), np.zeros_like(move)
     both = live[:, 1:] & live[:, :-1]
     np.add.at(seen_move, (tags[:, :-1][both], tags[:, 1:][both]), 1)
-    speed = [np.zeros_like(emit), np.zeros_like(move)]
-    size = [np.zeros_like(emit), np.zeros_like(move)]
+    speed, size = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
     total = live.sum()
+    unit = lambda x: x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
     for step in range(1, rounds + 1):
-        score = emit[where].sum(axis=2)
-        forward = np.zeros_like(score)
-        forward[:, 0] = score[:, 0]
+        score = emit[kinds].sum(axis=1)[kind]
+        grow, turn = np.exp(score - score.max(axis=2, keepdims=True)), np.exp(move)
+        forward, backward = np.empty_like(grow), np.ones_like(grow)
+        forward[:, 0] = unit(grow[:, 0])
         for t in range(1, width):
-            ahead = np.logaddexp.reduce(forward[:, t - 1, :, None] + move, axis=1) + score[:, t]
-            forward[:, t] = np.where(live[:, t, None], ahead, forward[:, t - 1])
-        norm = np.logaddexp.reduce(forward[:, -1], axis=1)
-        backward = np.zeros_like(score)
+            forward[:, t] = np.where(live[:, t, None], unit((forward[:, t - 1] @ turn) * grow[:, t]), forward[:, t - 1])
         want_move = np.zeros_like(move)
         for t in range(width - 2, -1, -1):
-            onward = score[:, t + 1] + backward[:, t + 1]
-            pairs = np.exp(forward[:, t, :, None] + move + onward[:, None, :] - norm[:, None, None])
+            onward = grow[:, t + 1] * backward[:, t + 1]
+            pairs = unit(forward[:, t, :, None] * turn * onward[:, None, :])
             want_move += pairs[live[:, t + 1]].sum(axis=0)
-            behind = np.logaddexp.reduce(move + onward[:, None, :], axis=2)
-            backward[:, t] = np.where(live[:, t + 1, None], behind, 0.0)
-        chance = np.exp(forward + backward - norm[:, None, None])
-        want_emit = np.zeros_like(emit)
-        for k in range(len(FEATURES)):
-            for tag in range(3):
-                want_emit[:, tag] += np.bincount(where[..., k][live], chance[..., tag][live], minlength=len(emit))
-        for p, (weight, slope) in enumerate(((emit, seen_emit - want_emit), (move, seen_move - want_move))):
-            slope = slope / total - decay * weight / 10
+            backward[:, t] = np.where(live[:, t + 1, None], unit(onward @ turn.T), 1.0)
+        chance = forward * backward
+        chance /= chance.sum(axis=2, keepdims=True)
+        for p, (weight, slope) in enumerate(((emit, seen_emit - by_feature(chance)), (move, seen_move - want_move))):
+            slope = slope / total - decay * weight
             speed[p] = 0.9 * speed[p] + 0.1 * slope
             size[p] = 0.999 * size[p] + 0.001 * slope**2
             weight += rate * (speed[p] / (1 - 0.9**step)) / (np.sqrt(size[p] / (1 - 0.999**step)) + 1e-8)
-        emit[-1] = 0
-    return Field(emit[:-1], move)
+    return Field(emit, move)
 
 
 def trained(docs: DataFrame, limit: int = SAMPLE) -> Field | None:
