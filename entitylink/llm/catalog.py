@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["minmax", "secrets", "toxicity", "tokens", "shards", "sketch", "balltree", "packing"]
+MODULES = ["minmax", "secrets", "html", "toxicity", "tokens", "shards", "sketch", "balltree", "packing"]
 
 
 def query(name: str, sql: str | None = None):
