@@ -180,10 +180,18 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the smallest doc_id.
+    """``docs`` with one document of each near-duplicate group, the smallest doc_id, all
+    columns kept.
 
-    Rows that repeat a kept doc_id are folded into one; rows without doc_id stay.
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
     """
-    kept = near_groups(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = near_groups(docs, percent).where("doc_id is not null").groupBy("doc_id")
+    groups = materialize(groups.agg(F.max("kept").alias("kept"), (F.count("*") > 1).alias("repeated")), "groups")
+    gone = groups.where("not kept or repeated").select("doc_id")
+    again = groups.where("kept and repeated").select("doc_id")
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    hint = F.broadcast if small else lambda ids: ids
+    out = docs.join(hint(gone), "doc_id", "left_anti").select(docs.columns)
+    if not again.isEmpty():
+        out = out.unionByName(docs.join(hint(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    return out
