@@ -19,6 +19,7 @@ SHARD_ROWS = 65_536
 QUERY_GROUP = 65_536
 LEAST_ROWS = 2_048
 EXACT = 2.0**53
+_LAST = 2**63 - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -54,7 +55,7 @@ class BallTree:
         n = len(query_ids)
         exact = self.largest * float(np.abs(queries).max(initial=0.0)) * queries.shape[1] < EXACT
         norms = np.sqrt((queries**2).sum(axis=1))
-        best = np.full((n, k), -math.inf)
+        best = np.full((n, k), -math.inf, float if exact else object)  # whole numbers of any size
         ids = np.full((n, k), -1, np.int64)
         kth = floor.astype(float).copy()
 
@@ -72,16 +73,16 @@ class BallTree:
             return whole(queries[rows]) @ whole(self.vectors[members]).T
 
         def visit(node: int, rows: np.ndarray, reach: np.ndarray) -> None:
-            live = reach >= kth[rows]
+            live = (reach >= kth[rows]) | (not exact)
             rows = rows[live]
             if not len(rows):
                 return
             members, _, _, children = self.nodes[node]
             if children is None:
-                found = np.clip(scores(rows, members), -(2.0**63), 2.0**63 - 1) if not exact else scores(rows, members)
+                found = scores(rows, members)
                 own = query_ids[rows, None] == self.ids[None, members]
                 found = np.where(own, -math.inf, found)
-                some = (found >= kth[rows, None]).any(axis=1)
+                some = (found >= kth[rows, None]).any(axis=1) | (not exact)
                 rows, found = rows[some], found[some]
                 if not len(rows):
                     return
@@ -91,7 +92,7 @@ class BallTree:
                 order = np.lexsort((all_ids, -all_scores), axis=-1)[:, :k]
                 best[rows] = np.take_along_axis(all_scores, order, 1)
                 ids[rows] = np.take_along_axis(all_ids, order, 1)
-                kth[rows] = np.maximum(kth[rows], best[rows, k - 1])
+                kth[rows] = np.maximum(kth[rows], best[rows, k - 1].astype(float))
                 return
             left, right = bound(children[0], rows), bound(children[1], rows)
             first = left >= right
@@ -165,9 +166,9 @@ def _search_units(k: int, seeds: bool):
                 for query_ids, best, ids in _answers(trees, queries, k):
                     for q, scores, found in zip(query_ids.tolist(), best, ids):
                         if seeds:
-                            out.extend([(q, None, int(scores[k - 1]))] if found[k - 1] >= 0 or scores[k - 1] > -math.inf else [])
+                            out.extend([(q, None, int(scores[k - 1]))] if -EXACT < scores[k - 1] < EXACT else [])
                         else:
-                            out.extend((q, int(i), int(s)) for s, i in zip(scores, found) if s > -math.inf)
+                            out.extend((q, int(i), max(min(int(s), _LAST), -_LAST - 1)) for s, i in zip(scores, found) if s > -math.inf)
                 queries.clear()
 
             for u, kind, i, v, floor in zip(*columns):

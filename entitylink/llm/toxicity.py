@@ -102,7 +102,7 @@ def _grammar() -> tuple[list[list[int]], list[list[int]]]:
 
 NEXT, EMIT = _grammar()
 # What a weight is drawn to where labels say nothing (fixed values).
-PRIOR = np.array([-3.0] + [{"insult": 2.0, "threat": 2.0}.get(p[0], 0.5) + (p[1] - 1.5 * p[2] - 1.0 * p[3] if len(p) > 1 else 0.0) for p in PATTERNS])
+PRIOR = np.array([-3.0] + [{"insult": 3.0, "threat": 3.0}.get(p[0], 0.5) + (p[1] - 1.5 * p[2] - 1.0 * p[3] if len(p) > 1 else 0.0) for p in PATTERNS])
 
 
 def transduce(classes: list[int]) -> list[int]:
