@@ -65,6 +65,12 @@ def optimal_block_size(spark, sf):
     return b.optimal_block_size(b.block_sizes(_tokens(spark, sf)))
 
 
+@query("block_purging_off", SQL_TOKENS + "SELECT tokens.*, size, n_s, n_t FROM tokens JOIN sizes USING (token) WHERE size > 1")
+def block_purging_off(spark, sf):
+    tokens = _tokens(spark, sf)
+    return b.purge(tokens, b.block_sizes(tokens), purging=False)
+
+
 def _kept(spark, sf):
     tokens = _tokens(spark, sf)
     return b.purge(tokens, b.block_sizes(tokens))
@@ -140,7 +146,7 @@ def comparison_pairs(spark, sf):
     return pairs.select("dataset_a", "id_a", "dataset_b", "id_b", "value_a", "value_b")
 
 
-@query("comparison_count", SQL_TOKENS + "SELECT CAST(sum(n_s * n_t) AS BIGINT) AS comparisons FROM sizes")
+@query("comparison_count", SQL_TOKENS + "SELECT CAST(sum(n_s * n_t) AS DECIMAL(38,0)) AS comparisons FROM sizes")
 def comparison_count(spark, sf):
     return b.comparison_count(b.block_sizes(_tokens(spark, sf)))
 
@@ -177,7 +183,7 @@ def link_blocked(spark, sf):
 @query(
     "blocking_report",
     SQL_TOKENS + SQL_CANDIDATES + SQL_LINKS
-    + """SELECT 'optimal_size' AS metric, CAST(optimal AS BIGINT) AS value FROM best
+    + """SELECT metric, CAST(value AS DECIMAL(38,0)) AS value FROM (SELECT 'optimal_size' AS metric, CAST(optimal AS BIGINT) AS value FROM best
 UNION ALL SELECT 'blocks_before', count(*) FROM sizes
 UNION ALL SELECT 'blocks_after', count(*) FROM kept
 UNION ALL SELECT 'source_entities', count(*) FROM ds
@@ -185,7 +191,7 @@ UNION ALL SELECT 'target_entities', count(*) FROM dt
 UNION ALL SELECT 'all_pairs', (SELECT count(*) FROM ds) * (SELECT count(*) FROM dt)
 UNION ALL SELECT 'comparisons_unpurged', CAST(sum(n_s * n_t) AS BIGINT) FROM sizes
 UNION ALL SELECT 'comparisons_purged', CAST(sum(n_s * n_t) AS BIGINT) FROM kept
-UNION ALL SELECT 'links', count(*) FROM best_target""",
+UNION ALL SELECT 'links', count(*) FROM best_target)""",
 )
 def blocking_report(spark, sf):
     return b.blocking_report(_tagged(spark, sf), _linked(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from entitylink.catalog import query
 from entitylink.catalog.data import table
-from entitylink.catalog.links import BASE, _a
+from entitylink.catalog.links import BASE_ALL, _all
 from entitylink.functions import prep
 from entitylink.operators import entities as en
 from entitylink.operators import learn
@@ -108,25 +108,25 @@ def sample_entities(spark, sf):
     return en.sample_entities(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 50)
 
 
-@query("trim_to_links", BASE + "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT target FROM a WHERE sim >= 0.95)")
+@query("trim_to_links", BASE_ALL + "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT target FROM a WHERE sim >= 0.95)")
 def trim_to_links(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
-    return en.trim_to_links(parts, "p_partkey", _a(spark, sf).where(F.col("sim") >= 0.95), "target")
+    return en.trim_to_links(parts, "p_partkey", _all(spark, sf).where(F.col("sim") >= 0.95), "target")
 
 
 @query(
     "trim_examples",
-    BASE + """, one AS (SELECT source, target FROM a
+    BASE_ALL + """, one AS (SELECT source, target FROM a
   QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(source || '|' || target), target) = 1)
 SELECT * FROM one ORDER BY md5(CAST(source AS VARCHAR)), source LIMIT 40""",
 )
 def trim_examples(spark, sf):
-    return en.trim_examples(_a(spark, sf), 40)
+    return en.trim_examples(_all(spark, sf), 40)
 
 
 @query(
     "balanced_examples",
-    BASE + """, s AS (SELECT o_orderkey AS source, row_number() OVER (ORDER BY md5('s|' || o_orderkey), o_orderkey) AS k FROM orders QUALIFY k <= 30),
+    BASE_ALL + """, s AS (SELECT o_orderkey AS source, row_number() OVER (ORDER BY md5('s|' || o_orderkey), o_orderkey) AS k FROM orders QUALIFY k <= 30),
 t AS (SELECT p_partkey AS target, row_number() OVER (ORDER BY md5('t|' || p_partkey), p_partkey) AS k FROM part QUALIFY k <= 30),
 known AS (SELECT source, target FROM a ORDER BY md5(source || '|' || target), source, target LIMIT 15)
 SELECT source, target, bool_or(known) AS known FROM (SELECT source, target, false AS known FROM s JOIN t USING (k)
@@ -135,7 +135,7 @@ SELECT source, target, bool_or(known) AS known FROM (SELECT source, target, fals
 def balanced_examples(spark, sf):
     src = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     tgt = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return en.balanced_examples(src, tgt, "id", _a(spark, sf), 30)
+    return en.balanced_examples(src, tgt, "id", _all(spark, sf), 30)
 
 
 @query(
@@ -151,19 +151,67 @@ def property_pairs(spark, sf):
     return learn.property_pairs(_part_props(spark, sf), orders)
 
 
+def _keyed(spark, sf):
+    key = F.md5("text").alias("key")
+    number = F.substring("source", 4, 10).cast("int")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), key, "lang", (number < 10).alias("s"))
+
+
+@query(
+    "gold_pairs",
+    """WITH d AS (SELECT doc_id AS id, text, CAST(substr(source, 4) AS INT) < 10 AS s FROM documents)
+SELECT x.id AS source, y.id AS target FROM d x JOIN d y ON x.text = y.text AND x.s AND NOT y.s""",
+)
+def gold_pairs(spark, sf):
+    """Every pair of equal texts of both document sets."""
+    d = _keyed(spark, sf)
+    return learn.gold_pairs(d.where("s"), d.where("not s"), "id", "key")
+
+
+@query("entity_pairs", SQL_TRIPLES + "SELECT DISTINCT * FROM triples")
+def entity_pairs(spark, sf):
+    """Documents with labels in long form, each triple given twice."""
+    triples = doc_triples(spark, sf)
+    return en.entity_pairs(triples.unionByName(triples))
+
+
+@query(
+    "normalize_doi_triples",
+    """SELECT 'urn:' || o_orderkey AS subject, 'urn:identifier' AS predicate, CASE o_orderstatus WHEN 'F' THEN '10.1000/' || o_orderkey
+  WHEN 'O' THEN '10.12345/' || replace(o_orderpriority, ' ', '-') || '/' || o_orderkey END AS object FROM orders WHERE o_orderstatus IN ('F', 'O')
+UNION ALL SELECT 'urn:' || o_orderkey, 'urn:priority', o_orderpriority FROM orders""",
+)
+def normalize_doi_triples(spark, sf):
+    """Identifiers of orders as triples; those without a DOI go, other properties stay."""
+    orders = table(spark, sf, "orders")
+    subject = F.concat(F.lit("urn:"), F.col("o_orderkey").cast("string")).alias("subject")
+    ids = orders.select(subject, F.lit("urn:identifier").alias("predicate"), _doi_text().alias("object"))
+    rest = orders.select(subject, F.lit("urn:priority").alias("predicate"), F.col("o_orderpriority").alias("object"))
+    return en.normalize_dois(ids.unionByName(rest), "urn:identifier")
+
+
+@query(
+    "trim_examples_first",
+    BASE_ALL + """, one AS (SELECT source, target FROM a
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(source || '|' || target), target) = 1)
+SELECT * FROM one ORDER BY source LIMIT 40""",
+)
+def trim_examples_first(spark, sf):
+    return en.trim_examples(_all(spark, sf), 40, random=False)
+
+
 @query(
     "gold_from_key",
     """WITH d AS (SELECT doc_id AS id, md5(text) AS key, lang, CAST(substr(source, 4) AS INT) < 10 AS s FROM documents),
-links AS (SELECT 'link' AS kind, min(id) FILTER (WHERE s) AS source, min(id) FILTER (WHERE NOT s) AS target FROM d GROUP BY key
+links AS (SELECT 'link' AS kind, min(id) FILTER (WHERE s) AS source, min(id) FILTER (WHERE NOT s) AS target,
+  count(*) FILTER (WHERE s) AS n_source, count(*) FILTER (WHERE NOT s) AS n_target FROM d GROUP BY key
   HAVING bool_or(s) AND bool_or(NOT s)),
 lone AS (SELECT * FROM d x WHERE NOT EXISTS (SELECT 1 FROM d y WHERE y.key = x.key AND y.s <> x.s)
   QUALIFY row_number() OVER (PARTITION BY s, lang ORDER BY md5(CAST(id AS VARCHAR)), id) <= 20)
 SELECT * FROM links UNION ALL SELECT CASE WHEN s THEN 'source_noise' ELSE 'target_noise' END,
-  CASE WHEN s THEN id END, CASE WHEN NOT s THEN id END FROM lone""",
+  CASE WHEN s THEN id END, CASE WHEN NOT s THEN id END, 0, 0 FROM lone""",
 )
 def gold_from_key(spark, sf):
     """Equal texts of both document sets, and 20 unlinked documents per side and language."""
-    key = F.md5("text").alias("key")
-    number = F.substring("source", 4, 10).cast("int")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), key, "lang", (number < 10).alias("s"))
+    d = _keyed(spark, sf)
     return learn.gold_from_key(d.where("s"), d.where("not s"), "id", "key", "lang", 20)

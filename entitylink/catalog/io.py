@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from entitylink.catalog import query
 from entitylink.catalog.data import table
 from entitylink.catalog.entities import SQL_TRIPLES, doc_triples
-from entitylink.catalog.links import BASE, _a
+from entitylink.catalog.links import BASE_ALL, _all
 from entitylink.functions import prep
 from entitylink.operators import entities as en
 from entitylink.operators import evaluate as ev
@@ -201,16 +201,16 @@ def sink_links_csv(spark, sf):
     return spark.read.text(path)
 
 
-@query("sink_links_parquet", BASE + "SELECT source, target, round(sim, 6) AS sim FROM a")
+@query("sink_links_parquet", BASE_ALL + "SELECT source, target, round(sim, 6) AS sim FROM a")
 def sink_links_parquet(spark, sf):
     path = shared_folder(spark, "sink-parquet")
-    sinks.write_links(_a(spark, sf), path, "parquet")
+    sinks.write_links(_all(spark, sf), path, "parquet")
     return spark.read.parquet(path).withColumn("sim", F.round("sim", 6))
 
 
 @query(
     "sink_entities_nt",
-    SQL_TRIPLES + "SELECT DISTINCT '<' || subject || '> <' || predicate || '> ' || object || ' .' AS value FROM triples "
+    SQL_TRIPLES + "SELECT DISTINCT '<' || subject || '> <' || predicate || '> ' || CASE WHEN ascii(object) = 34 THEN object ELSE '<' || object || '>' END || ' .' AS value FROM triples "
     "UNION ALL SELECT '<urn:page:' || page_id || '> <urn:url> <' || url || '> .' FROM pages",
 )
 def sink_entities_nt(spark, sf):
@@ -222,6 +222,31 @@ def sink_entities_nt(spark, sf):
     return spark.read.text(path)
 
 
+@query(
+    "entities_round_trip",
+    SQL_TRIPLES + "SELECT DISTINCT subject, predicate, object FROM triples "
+    "UNION ALL SELECT 'urn:page:' || page_id, 'urn:title', '\"2^10 ' || replace(url, '\"', '') || '.\"' FROM pages",
+)
+def entities_round_trip(spark, sf):
+    """Typed entities and odd literals written and read back."""
+    title = F.concat(F.lit('"2^10 '), F.replace("url", F.lit('"'), F.lit("")), F.lit('."'))
+    odd = table(spark, sf, "pages").select(
+        F.concat(F.lit("urn:page:"), _str("page_id")).alias("subject"), F.lit("urn:title").alias("predicate"), title.alias("object")
+    )
+    path = shared_folder(spark, "round-trip")
+    sinks.write_entities(en.aggregate_entities(doc_triples(spark, sf).unionByName(odd)), path)
+    return rdf.read_ntriples(spark, path)
+
+
+@query(
+    "src_ntriples_rejects",
+    "SELECT '<urn:c:' || c_custkey || '> <urn:segment> ' || c_mktsegment || ' .' AS value FROM customer",
+)
+def src_ntriples_rejects(spark, sf):
+    """Lines that are neither triples nor comments."""
+    return rdf.rejected_lines(_customer_lines(spark, sf))
+
+
 @query(
     "csv_to_triples",
     f"""SELECT 'urn:' || p_partkey AS subject, '{en.RDF_TYPE}' AS predicate, 'urn:Part' AS object FROM part

@@ -26,6 +26,11 @@ def _a(spark, sf):
     return _link_set(spark, sf, ("A", "R"), F.col("l_quantity") / 50)
 
 
+def _all(spark, sf):
+    """Every line, for what needs one link set only."""
+    return _link_set(spark, sf, ("A", "N", "R"), F.col("l_quantity") / 50)
+
+
 def _b(spark, sf):
     return _link_set(spark, sf, ("N", "R"), 1 - F.col("l_discount"))
 
@@ -51,6 +56,8 @@ gold AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem
 both_ AS (SELECT source, target, a.sim AS x, b.sim AS y FROM a JOIN b USING (source, target)),
 either AS (SELECT source, target, max(sim) AS sim FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
 """
+BASE_ALL = """WITH a AS (SELECT l_orderkey AS source, l_partkey AS target, max(l_quantity / 50) AS sim FROM lineitem GROUP BY ALL)
+"""
 OUT = "source, target, round(sim, 6) AS sim"
 
 
@@ -88,49 +95,49 @@ def links_mult(spark, sf):
     return _r(lk.links_mult(_a(spark, sf), _b(spark, sf), 0.9, 0.8, 0.4001))
 
 
-@query("links_threshold", BASE + f"SELECT {OUT} FROM a WHERE sim >= 0.61")
+@query("links_threshold", BASE_ALL + f"SELECT {OUT} FROM a WHERE sim >= 0.61")
 def links_threshold(spark, sf):
-    return _r(lk.threshold(_a(spark, sf), 0.61))
+    return _r(lk.threshold(_all(spark, sf), 0.61))
 
 
-@query("links_accept_review", BASE + f"SELECT {OUT}, sim >= 0.81 AS accepted FROM a WHERE sim >= 0.41")
+@query("links_accept_review", BASE_ALL + f"SELECT {OUT}, sim >= 0.81 AS accepted FROM a WHERE sim >= 0.41")
 def links_accept_review(spark, sf):
-    return _r(lk.accept_review(_a(spark, sf), 0.81, 0.41))
+    return _r(lk.accept_review(_all(spark, sf), 0.81, 0.41))
 
 
-SQL_BEST = BASE + """, n1 AS (SELECT * FROM a QUALIFY sim = max(sim) OVER (PARTITION BY source)),
+BEST = """, n1 AS (SELECT * FROM a QUALIFY sim = max(sim) OVER (PARTITION BY source)),
 one AS (SELECT * FROM n1 QUALIFY sim = max(sim) OVER (PARTITION BY target))
 """
 
 
-@query("best_one_to_n", SQL_BEST + f"SELECT {OUT} FROM n1")
+@query("best_one_to_n", BASE_ALL + BEST + f"SELECT {OUT} FROM n1")
 def best_one_to_n(spark, sf):
-    return _r(lk.best_one_to_n(_a(spark, sf)))
+    return _r(lk.best_one_to_n(_all(spark, sf)))
 
 
-@query("best_one_to_one", SQL_BEST + f"SELECT {OUT} FROM one")
+@query("best_one_to_one", BASE_ALL + BEST + f"SELECT {OUT} FROM one")
 def best_one_to_one(spark, sf):
-    return _r(lk.best_one_to_one(_a(spark, sf)))
+    return _r(lk.best_one_to_one(_all(spark, sf)))
 
 
-@query("best_target", BASE + f"SELECT {OUT} FROM a QUALIFY row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) = 1")
+@query("best_target", BASE_ALL + f"SELECT {OUT} FROM a QUALIFY row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) = 1")
 def best_target(spark, sf):
-    return _r(lk.best_target(_a(spark, sf)))
+    return _r(lk.best_target(_all(spark, sf)))
 
 
-@query("links_reverse", BASE + "SELECT target AS source, source AS target, round(sim, 6) AS sim FROM a")
+@query("links_reverse", BASE_ALL + "SELECT target AS source, source AS target, round(sim, 6) AS sim FROM a")
 def links_reverse(spark, sf):
-    return _r(lk.reverse(_a(spark, sf)))
+    return _r(lk.reverse(_all(spark, sf)))
 
 
-@query("links_scale", BASE + "SELECT source, target, round(sim / 0.5, 6) AS sim FROM a")
+@query("links_scale", BASE_ALL + "SELECT source, target, round(sim / 0.5, 6) AS sim FROM a")
 def links_scale(spark, sf):
-    return _r(lk.scale(_a(spark, sf), 0.5))
+    return _r(lk.scale(_all(spark, sf), 0.5))
 
 
-@query("links_trim", BASE + "SELECT source, target, round(least(sim / 0.5, 1), 6) AS sim FROM a")
+@query("links_trim", BASE_ALL + "SELECT source, target, round(least(sim / 0.5, 1), 6) AS sim FROM a")
 def links_trim(spark, sf):
-    return _r(lk.trim(lk.scale(_a(spark, sf), 0.5)))
+    return _r(lk.trim(lk.scale(_all(spark, sf), 0.5)))
 
 
 @query("links_confidence", BASE + "SELECT source, target, round(coalesce(a.sim, 0), 6) AS sim FROM gold LEFT JOIN a USING (source, target)")
@@ -138,14 +145,14 @@ def links_confidence(spark, sf):
     return _r(lk.confidence(_gold(spark, sf), _a(spark, sf)))
 
 
-@query("links_by_similarity", BASE + "SELECT round(sim, 6) AS sim, count(*) AS links FROM a GROUP BY a.sim")
+@query("links_by_similarity", BASE_ALL + "SELECT round(sim, 6) AS sim, count(*) AS links FROM a GROUP BY a.sim")
 def links_by_similarity(spark, sf):
-    return _r(lk.by_similarity(_a(spark, sf)))
+    return _r(lk.by_similarity(_all(spark, sf)))
 
 
-@query("links_count", BASE + "SELECT count(*) AS links FROM a")
+@query("links_count", BASE_ALL + "SELECT count(*) AS links FROM a")
 def links_count(spark, sf):
-    return lk.count_links(_a(spark, sf))
+    return lk.count_links(_all(spark, sf))
 
 
 RULE = "1 / (1 + abs(o_totalprice / 500 - p_retailprice) / 1000)"
@@ -153,17 +160,17 @@ RULE = "1 / (1 + abs(o_totalprice / 500 - p_retailprice) / 1000)"
 
 @query(
     "rule_filter",
-    BASE + f""", r AS (SELECT source, target, sim, {RULE} AS rule FROM a JOIN orders ON o_orderkey = source JOIN part ON p_partkey = target)
+    BASE_ALL + f""", r AS (SELECT source, target, sim, {RULE} AS rule FROM a JOIN orders ON o_orderkey = source JOIN part ON p_partkey = target)
 SELECT source, target, round(least(sim, rule), 6) AS sim FROM r WHERE rule >= 0.61 AND least(sim, rule) >= 0.51""",
 )
 def rule_filter(spark, sf):
     near = 1 / (1 + F.abs(F.col("o_totalprice_s") / 500 - F.col("p_retailprice_t")) / 1000)
-    return _r(lk.filter_by_rule(_a(spark, sf), _orders(spark, sf), _parts(spark, sf), "id", near, 0.61, 0.51))
+    return _r(lk.filter_by_rule(_all(spark, sf), _orders(spark, sf), _parts(spark, sf), "id", near, 0.61, 0.51))
 
 
 @query(
     "rule_pairwise",
-    BASE + """, s AS (SELECT source, target, CASE WHEN sim >= 0.5 THEN sim ELSE 0 END AS p,
+    BASE_ALL + """, s AS (SELECT source, target, CASE WHEN sim >= 0.5 THEN sim ELSE 0 END AS p,
     CASE WHEN 1 / (1 + abs(p_size - 25) / 10::DOUBLE) >= 0.51 THEN 1 / (1 + abs(p_size - 25) / 10::DOUBLE) ELSE 0 END AS q
   FROM a JOIN part ON p_partkey = target)
 SELECT source, target, round(least(p, q), 6) AS r_and, round(greatest(p, q), 6) AS r_or,
@@ -174,7 +181,7 @@ def rule_pairwise(spark, sf):
     """Pair-wise rules over the first link set and a part-size similarity."""
     size = 1 / (1 + F.abs(F.col("p_size") - 25) / 10)
     p, q = rules.atom(F.col("sim"), 0.5), rules.atom(size, 0.51)
-    rows = _a(spark, sf).join(_parts(spark, sf).withColumnRenamed("id", "target"), "target")
+    rows = _all(spark, sf).join(_parts(spark, sf).withColumnRenamed("id", "target"), "target")
     out = {"r_and": rules.all_of(p, q), "r_or": rules.any_of(p, q), "r_minus": rules.minus(p, q), "r_xor": rules.one_of(p, q), "r_add": rules.weighted(p, q, 0.5, 0.5, 0.71)}
     return rows.select("source", "target", *[F.round(c, 6).alias(k) for k, c in out.items()])
 
@@ -235,7 +242,7 @@ def eval_pseudo_f(spark, sf):
 
 @query(
     "eval_pseudo_f_one_to_n",
-    SQL_BEST + """, back AS (SELECT * FROM n1 QUALIFY sim = max(sim) OVER (PARTITION BY target))
+    BASE + BEST + """, back AS (SELECT * FROM n1 QUALIFY sim = max(sim) OVER (PARTITION BY target))
 SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(1.25 * p * r / (0.25 * p + r), 6) AS f FROM (SELECT
   ((SELECT count(DISTINCT source) FROM n1) + (SELECT count(DISTINCT target) FROM back)) / (2.0::DOUBLE * (SELECT count(*) FROM a)) AS p,
   ((SELECT count(DISTINCT source) FROM n1) + (SELECT count(DISTINCT target) FROM n1))::DOUBLE

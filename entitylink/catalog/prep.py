@@ -24,11 +24,14 @@ def _one(name, tab, key, value, chain, sql_value, sql_out):
 
 
 _one("prep_case", "part", "p_partkey", "p_name || ' ' || p_type", ["uppercase"], "p_name || ' ' || p_type", "upper(v)")
-_one("prep_lower", "part", "p_partkey", "p_brand || ' ' || p_type", ["lowercase"], "p_brand || ' ' || p_type", "lower(v)")
+_one(
+    "prep_lower", "part", "p_partkey", "p_brand || ' 2^10 ^^ ' || p_type || '^^xsd:string'", ["lowercase"],
+    "p_brand || ' 2^10 ^^ ' || p_type", "lower(v)",
+)
 _one("prep_replace", "pages", "page_id", "url", [("replace", "example.", "site.")], "url", "replace(v, 'example.', 'site.')")
 _one(
     "prep_regexreplace", "pages", "page_id", _title, ["lowercase", ("regexreplace", "[^a-z0-9]", " ")],
-    TITLE, "trim(regexp_replace(lower(string_split(v, '^')[1]), '[^a-z0-9]', ' ', 'g'))",
+    TITLE, "trim(regexp_replace(lower(v), '[^a-z0-9]', ' ', 'g'))",
 )
 _one("prep_nolang", "documents", "doc_id", "source || '@' || lang", ["nolang"], "source || '@' || lang", "regexp_replace(v, '@[^@]*$', '')")
 _one("prep_cleaniri", "pages", "page_id", "url", ["cleaniri"], "url", "regexp_extract(v, '[^/]*$')")
@@ -77,7 +80,7 @@ def prep_removebraces(spark, sf):
     )
 
 
-_one("prep_alphabet", "pages", "page_id", _title, ["regularalphabet"], TITLE, "trim(regexp_replace(string_split(v, '^')[1], '[^A-Za-z0-9 ]', '', 'g'))")
+_one("prep_alphabet", "pages", "page_id", _title, ["regularalphabet"], TITLE, "trim(regexp_replace(v, '[^A-Za-z0-9 ]', '', 'g'))")
 
 
 @query(

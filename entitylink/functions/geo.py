@@ -152,25 +152,38 @@ def surjection(xs: Column, ys: Column) -> Column:
     return _small_large(xs, ys, use)
 
 
+def _walk(enter: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """best[j] = min(enter[j], max(best[j - 1], d[j])), by doubling steps: log2(n) passes."""
+    best, cost, step = enter.copy(), d.copy(), 1
+    while step < len(d):
+        ahead = np.maximum(best[:-step], cost[step:])
+        best[step:] = np.minimum(best[step:], ahead)
+        cost[step:] = np.maximum(cost[step:], cost[:-step])
+        step *= 2
+    return best
+
+
 @pandas_udf(DoubleType())
 def frechet(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Discrete Frechet distance of two point sequences."""
 
-    def one(a, b) -> float:
+    def one(a, b) -> float | None:
+        if a is None or b is None:
+            return None
         p, q = (np.radians([[t["lat"], t["lon"]] for t in s]) for s in (a, b))
-        d = _haversine_np(p[:, None, 0], p[:, None, 1], q[None, :, 0], q[None, :, 1])
-        row = np.maximum.accumulate(d[0])
-        for i in range(1, len(p)):
-            reach = np.minimum(row, np.concatenate(([np.inf], row[:-1])))
-            new = np.empty_like(row)
-            left = np.inf
-            for j in range(len(q)):
-                left = max(d[i, j], min(reach[j], left))
-                new[j] = left
-            row = new
+        # One row of distances at a time. Along a row the reach is the running
+        # "max of the distance, min of what came before": a scan of max and min.
+        row = None
+        for lat, lon in p:
+            d = _haversine_np(lat, lon, q[:, 0], q[:, 1])
+            if row is None:
+                row = np.maximum.accumulate(d)
+                continue
+            enter = np.maximum(np.minimum(row, np.concatenate(([np.inf], row[:-1]))), d)
+            row = _walk(enter, d)
         return float(row[-1])
 
-    return pd.Series([one(a, b) for a, b in zip(xs, ys)])
+    return pd.Series([one(a, b) for a, b in zip(xs, ys)], dtype=float)
 
 
 SET_DISTANCES = {

@@ -1,7 +1,7 @@
 """Value transforms, applied in chains.
 
 ``apply(value, ["lowercase", ("replace", "a", "b")])``: each step is a name or a
-tuple of name and arguments. A datatype tail after the first ``^`` is cut first.
+tuple of name and arguments. A closing ``^^datatype`` is cut first; other carets stay.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from entitylink.functions.common import once
+
 
 def nolang(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)@[^@]*$", "")
@@ -63,6 +65,9 @@ def uriasstring(x: Column) -> Column:
     return F.replace(F.when(has_colon, colon).when(has_slash, slash).otherwise(x), F.lit("_"), F.lit(" "))
 
 
+# A datatype at the end of a literal: an IRI or one word.
+DATATYPE = r"\^\^(<[^>]*>|[^\s^\"<>]+)$"
+
 STEPS = {
     "lowercase": F.lower,
     "uppercase": F.upper,
@@ -81,7 +86,7 @@ STEPS = {
 
 
 def apply(value: Column, chain: Sequence[str | tuple]) -> Column:
-    out = F.substring_index(value, "^", 1)
+    out = F.regexp_replace(value, DATATYPE, "")
     for step in chain:
         name, *args = (step,) if isinstance(step, str) else step
         out = STEPS[name](out, *args)
@@ -102,28 +107,40 @@ def normalize_doi(x: Column) -> Column:
 def parse_date(x: Column) -> Column:
     """Year, y-m-d, y/m/d, d/m/y, d.m.y and day-month-name-year texts as a date.
 
-    A day past the month's end rolls over.
+    The text is split at its one kind of separator. Three fields: a letter field in the
+    middle is a month name; else a field of three or four digits at the front makes it
+    year first (``-`` and ``/``), otherwise day first (``/`` and ``.``). A day past the
+    month's end rolls over.
     """
-    day, month = r"(0?[1-9]|[12][0-9]|3[01])", r"(0?[1-9]|1[012])"
+    return once(x, _date_of)
+
+
+def _date_of(x: Column) -> Column:
+    by = F.substring(F.regexp_replace(x, "[0-9A-Za-z]", ""), 1, 1)
+    fields = F.when(F.char_length(by) == 1, F.split(F.replace(x, by, F.lit("|")), "[|]")).otherwise(F.array(x))
+    return once(F.struct(by.alias("by"), fields.alias("fields")), lambda s: _date_of_fields(s.by, s.fields))
+
+
+def _date_of_fields(by: Column, fields: Column) -> Column:
+    one, two, three = (F.get(fields, F.lit(i)) for i in range(3))
+    wide = lambda c: F.char_length(c)
+
+    def whole(c: Column, most: int) -> Column:
+        """The number of a field of 1 to ``most`` digits, else null."""
+        return F.when(c.rlike("^[0-9]+$") & (wide(c) <= most), c.try_cast("int"))
 
     def make(y: Column, m: Column, d: Column) -> Column:
-        first = F.make_date(y.cast("int"), m.cast("int"), F.lit(1))
-        return F.date_add(first, d.cast("int") - 1)
-
-    def parts(pattern: str, y: int, m: int, d: int) -> Column:
-        g = {i: F.regexp_extract(x, pattern, i) for i in (y, m, d)}
-        return F.when(x.rlike(pattern), make(g[y], g[m], g[d]))
-
-    year = r"^(\d?\d?\d\d)$"
-    out = [F.when(x.rlike(year), make(F.regexp_extract(x, year, 1), F.lit(1), F.lit(1)))]
-    out += [parts(rf"^(\d?\d\d\d){sep}{month}{sep}{day}$", 1, 2, 3) for sep in "-/"]
-    out += [parts(rf"^{day}{sep}{month}{sep}(\d?\d?\d\d)$", 3, 2, 1) for sep in ("/", r"\.")]
-    named = rf"^{day}([/.-])([a-zA-Z]{{3,10}})\2(\d?\d\d\d)$"
-    name = F.lower(F.regexp_extract(x, named, 3))
+        good = m.between(1, 12) & d.between(1, 31) & y.isNotNull()
+        return F.when(good, F.date_add(F.try_make_timestamp_ntz(y, m, F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)).cast("date"), d - 1))
+
+    name = F.lower(two)
     full, short = F.array(*map(F.lit, MONTHS)), F.array(*[F.lit(m[:3]) for m in MONTHS])
-    at = F.greatest(F.array_position(full, name), F.array_position(short, name))
-    out.append(F.when(x.rlike(named) & (at > 0), make(F.regexp_extract(x, named, 4), at, F.regexp_extract(x, named, 1))))
-    return F.coalesce(*out)
+    month = F.nullif(F.greatest(F.array_position(full, name), F.array_position(short, name)), F.lit(0)).cast("int")
+    alone = F.when(wide(one) >= 2, make(whole(one, 4), F.lit(1), F.lit(1)))
+    front = F.when((wide(one) >= 3) & by.isin("-", "/"), make(whole(one, 4), whole(two, 2), whole(three, 2)))
+    back = F.when((wide(three) >= 2) & by.isin("/", "."), make(whole(three, 4), whole(two, 2), whole(one, 2)))
+    named = F.when((wide(three) >= 3) & by.isin("-", "/", "."), make(whole(three, 4), month, whole(one, 2)))
+    return F.when(F.size(fields) == 1, alone).when(F.size(fields) == 3, F.coalesce(F.when(month.isNotNull(), named), front, back))
 
 
 def parse_points(x: Column, order: str = "latlon") -> Column:

@@ -32,8 +32,8 @@ def strip_literal(value: Column) -> Column:
 
 
 def token_blocking(tagged: DataFrame) -> DataFrame:
-    """Distinct tokens per entity. Entities with several values join them first."""
-    return tagged.select(F.explode(block_tokens(strip_literal(F.col("value")))).alias("token"), "dataset", "id")
+    """Distinct tokens per entity, whichever of its values they come from."""
+    return tagged.select(F.explode(block_tokens(strip_literal(F.col("value")))).alias("token"), "dataset", "id").distinct()
 
 
 def block_sizes(tokens: DataFrame) -> DataFrame:
@@ -98,8 +98,9 @@ def candidates(kept: DataFrame) -> DataFrame:
 
 def block_filtering(kept: DataFrame, n: int) -> DataFrame:
     """Per entity its n blocks with the fewest comparisons n(n-1)/2, then by token."""
-    comparisons = F.col("size") * (F.col("size") - 1) / 2
-    w = Window.partitionBy("dataset", "id").orderBy(comparisons, "token")
+    size = F.col("size").cast("decimal(19,0)")
+    comparisons = (size * (size - 1)).cast("decimal(38,0)")
+    w = Window.partitionBy("dataset", "id").orderBy(comparisons, "token")  # twice the comparisons: the same order
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -148,7 +149,7 @@ def comparison_pairs(pairs: DataFrame, tagged: DataFrame) -> DataFrame:
 def comparison_count(sizes: DataFrame) -> DataFrame:
     """Cross-dataset comparisons over all given blocks."""
     product = F.col("n_s").cast("decimal(19,0)") * F.col("n_t").cast("decimal(19,0)")
-    return sizes.agg(F.coalesce(F.sum(product.cast("decimal(38,0)")), F.lit(0)).cast("bigint").alias("comparisons"))
+    return sizes.agg(F.coalesce(F.sum(product.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("comparisons"))
 
 
 def blocking_report(tagged: DataFrame, links: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def blocking_report(tagged: DataFrame, links: DataFrame) -> DataFrame:
     n_t = F.coalesce(F.max(F.when(F.col("dataset") == "t", F.col("n"))), F.lit(0))
 
     def row(df: DataFrame, metric: str, value: Column) -> DataFrame:
-        return df.agg(value.cast("bigint").alias("value")).select(F.lit(metric).alias("metric"), "value")
+        return df.agg(value.cast("decimal(38,0)").alias("value")).select(F.lit(metric).alias("metric"), "value")
 
     rows = [
         row(best, "optimal_size", F.max("optimal")),
@@ -170,7 +171,7 @@ def blocking_report(tagged: DataFrame, links: DataFrame) -> DataFrame:
         row(kept, "blocks_after", F.count("*")),
         row(sides, "source_entities", n_s),
         row(sides, "target_entities", n_t),
-        row(sides, "all_pairs", n_s * n_t),
+        row(sides, "all_pairs", n_s.cast("decimal(19,0)") * n_t.cast("decimal(19,0)")),
         row(comparison_count(sizes), "comparisons_unpurged", F.max("comparisons")),
         row(comparison_count(kept), "comparisons_purged", F.max("comparisons")),
         row(links, "links", F.count("*")),

@@ -52,16 +52,22 @@ def complete_entities(triples: DataFrame, predicates: Sequence[str], wanted_clas
     return kept.select(F.col("subject").alias("id"), F.col("predicate").alias("prop"), strip_literal(F.col("object")).alias("value"))
 
 
-def aggregate_entities(triples: DataFrame) -> DataFrame:
-    """Nested entities: subject, part, pairs (sorted distinct predicate/object).
+def entity_pairs(triples: DataFrame) -> DataFrame:
+    """Entities in long form: each distinct (subject, predicate, object) once."""
+    return triples.select("subject", "predicate", "object").distinct()
 
-    An entity fills one row (part 0) up to PART_SIZE pairs; a larger one continues in
-    further parts, so no row or task holds an unbounded group.
+
+def aggregate_entities(triples: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """``entity_pairs`` nested: subject, part, pairs (sorted predicate/object).
+
+    An entity fills part 0 up to ``part_size`` pairs; a larger one continues in further
+    parts, so no row or task holds an unbounded group. Readers that need a whole
+    entity of any size read the long form.
     """
-    pairs = triples.select("subject", "predicate", "object").distinct()
+    pairs = entity_pairs(triples)
     n = materialize(pairs.groupBy("subject").agg(F.count("*").alias("n")), "subjects")
     rows = attach(pairs, n, "subject", "n", ["predicate", "object"])
-    part = F.pmod(F.xxhash64("predicate", "object"), F.ceil(F.col("n") / PART_SIZE)).cast("int")
+    part = F.pmod(F.xxhash64("predicate", "object"), F.ceil(F.col("n") / part_size)).cast("int")
     nested = F.sort_array(F.collect_list(F.struct("predicate", "object")))
     return rows.withColumn("part", part).groupBy("subject", "part").agg(nested.alias("pairs"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from entitylink.functions.common import once
 from entitylink.operators.entities import draw
 from entitylink.operators.evaluate import _with_prf
-from entitylink.operators.values import value_table
+from entitylink.operators.setjoin import exact_join
+from entitylink.operators.values import expand_links, value_members, value_table
 
 PAIR = ["source", "target"]
 
@@ -89,12 +90,13 @@ def controversy(votes: DataFrame, k: int, n: int, asked: DataFrame | None = None
 def gold_from_key(src: DataFrame, tgt: DataFrame, id_col: str, key: str, group: str, noise: int) -> DataFrame:
     """Gold links from a shared key, and per side and group some unlinked entities.
 
-    kind: link (source, target: smallest ids of the key), source_noise, target_noise.
+    kind: link (source, target: smallest ids of the key; n_source, n_target: how many
+    entities of each side have it, which ``gold_pairs`` lists), source_noise, target_noise.
     Noise is the first ``noise`` entities of a group in a fixed random order; the
     row_number limit reaches below the shuffle, so big groups are cut before it.
     """
     both = value_table(src, tgt, id_col, key).where((F.col("n_source") > 0) & (F.col("n_target") > 0))
-    links = both.select(F.lit("link").alias("kind"), F.col("source.id").alias("source"), F.col("target.id").alias("target"))
+    links = both.select(F.lit("link").alias("kind"), F.col("source.id").alias("source"), F.col("target.id").alias("target"), "n_source", "n_target")
 
     def extra(df: DataFrame, other: DataFrame, kind: str, side: str) -> DataFrame:
         lone = df.join(other.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
@@ -102,11 +104,17 @@ def gold_from_key(src: DataFrame, tgt: DataFrame, id_col: str, key: str, group:
         lone = lone.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= noise)
         none = F.lit(None).cast(df.schema[id_col].dataType)
         ids = (F.col(id_col), none) if side == "source" else (none, F.col(id_col))
-        return lone.select(F.lit(kind).alias("kind"), ids[0].alias("source"), ids[1].alias("target"))
+        return lone.select(F.lit(kind).alias("kind"), ids[0].alias("source"), ids[1].alias("target"), F.lit(0).cast("long").alias("n_source"), F.lit(0).cast("long").alias("n_target"))
 
     return links.unionByName(extra(src, tgt, "source_noise", "source")).unionByName(extra(tgt, src, "target_noise", "target"))
 
 
+def gold_pairs(src: DataFrame, tgt: DataFrame, id_col: str, key: str) -> DataFrame:
+    """Every pair of entities with equal keys, in tiles."""
+    links = exact_join(src, tgt, id_col, key)
+    return expand_links(links, value_members(src, id_col, key), value_members(tgt, id_col, key)).select(*PAIR)
+
+
 def custom_join(
     src: DataFrame, tgt: DataFrame, id_col: str, candidates: DataFrame, scorer: Callable[[Column, Column], Column] | Column, theta: float
 ) -> DataFrame:

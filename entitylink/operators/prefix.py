@@ -55,7 +55,9 @@ def ordered_elements(
     ``stats``: ``element_stats(values)`` where it is already written.
     """
     stats = materialize(element_stats(values), "elements") if stats is None else stats
-    rank = F.col("df_s") * F.col("df_t") if by == "pairs" else F.col("entities")
+    # decimal: a product of two counts can pass 64 bits
+    product = F.col("df_s").cast("decimal(19,0)") * F.col("df_t").cast("decimal(19,0)")
+    rank = product.cast("decimal(38,0)") if by == "pairs" else F.col("entities")
     on = F.lit(True) if limit is None else (F.col("entities") > 1) & (F.col("entities") <= limit.scalar())
     stats = stats.withColumn("rank", rank).withColumn("on", on).drop("entities")
     rows = values.select(*IDS, F.size("elems").alias("n"), F.explode("elems").alias("elem"))

@@ -73,3 +73,25 @@ def test_purging_off_keeps_large_blocks(spark):
 def test_strip_literal(spark):
     df = spark.createDataFrame([('"a ""b"" c"^^xsd:string',), ("plain",)], "v string")
     assert [r.v for r in df.select(b.strip_literal(F.col("v")).alias("v")).collect()] == ["a b c", "plain"]
+
+
+def test_counts_past_64_bits(spark):
+    from decimal import Decimal
+
+    big = 5 * 10**9
+    sizes = spark.createDataFrame([("a", 2 * big, big, big), ("b", 4, 2, 2)], "token string, size long, n_s long, n_t long")
+    assert b.comparison_count(sizes).collect()[0].comparisons == Decimal(big * big + 4)
+    kept = sizes.withColumn("dataset", F.lit("s")).withColumn("id", F.lit(1))
+    assert [r.token for r in b.block_filtering(kept, 1).collect()] == ["b"]
+    product = F.col("n_s").cast("decimal(19,0)") * F.col("n_t").cast("decimal(19,0)")
+    assert sizes.select(F.max(product)).collect()[0][0] == big * big
+
+
+def test_entities_with_several_values_count_once(spark):
+    s = spark.createDataFrame([(1, "red gear"), (1, "red bolt"), (1, "red bolt")], "id long, v string")
+    t = spark.createDataFrame([(1, "red gear")], "id long, v string")
+    sizes = {r.token: (r.size, r.n_s, r.n_t) for r in b.block_sizes(b.token_blocking(b.tag(s, t, "id", "v"))).collect()}
+    assert sizes == {"red": (2, 1, 1), "gear": (2, 1, 1), "bolt": (1, 1, 0)}
+    values = linker.set_values(s, t, "id", "v", lambda v: tokens.block_tokens(v))
+    stats = linker._per_entity(linker.element_stats(values), s, t, "id", "v")
+    assert {r.elem: r.entities for r in stats.collect()} == {"red": 2, "gear": 2, "bolt": 1}

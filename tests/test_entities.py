@@ -86,10 +86,24 @@ def test_parse_triples(spark):
     assert got == [("s", "p", '"a \\"q\\" literal"^^<t>'), ("s", "p", "o")]
 
 
-def test_large_entities_continue_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(en, "PART_SIZE", 5)
+def test_literals_keep_their_last_characters(spark):
+    lines = ['<s> <p> "x".', '<s> <p> "y" . ', '<s> <p> "z"^^<t>.', '<s> <p> "a. b"@en .', "<s> <p> bare .", "_:b <p> <o> .", "# note", " "]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r.object for r in rdf.parse_triples(df).collect()] == ['"x"', '"y"', '"z"^^<t>', '"a. b"@en']
+    assert [r.value for r in rdf.rejected_lines(df).collect()] == ["<s> <p> bare .", "_:b <p> <o> ."]
+
+
+@pytest.mark.parametrize(
+    "x,want",
+    [("2^10 m", "2^10 m"), ("a^b^^c d", "a^b^^c d"), ('"5"^^xsd:int', '"5"'), ('"5"^^<http://x#int>', '"5"'), ("x^", "x^"), (None, None)],
+)
+def test_only_a_closing_datatype_is_cut(spark, x, want):
+    assert one(spark, lambda c: prep.apply(c, []), x) == want
+
+
+def test_large_entities_continue_in_parts(spark):
     rows = [("hot", "p", str(i)) for i in range(40)] + [("cold", "p", "1"), ("cold", "p", "1")]
-    df = en.aggregate_entities(spark.createDataFrame(rows, "subject string, predicate string, object string")).collect()
+    df = en.aggregate_entities(spark.createDataFrame(rows, "subject string, predicate string, object string"), part_size=5).collect()
     assert sum(len(r.pairs) for r in df if r.subject == "hot") == 40 and len([r for r in df if r.subject == "hot"]) > 1
     assert [len(r.pairs) for r in df if r.subject == "cold"] == [1]
 

@@ -70,3 +70,23 @@ def test_number_repeats(spark):
 
 def test_block_tokens(spark):
     assert one(spark, lambda a, b: tokens.block_tokens(a), 'The "Café", the 2nd\nrow') == ["the", "caf", "2nd", "row"]
+
+
+def test_random_ratcliff_equals_the_textbook():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = ("".join(rng.choice("abcd e") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        want = SequenceMatcher(None, x, y, autojunk=False).ratio() if x or y else 0.0
+        assert strings._ratcliff(x, y) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("measure", [strings.jaro, strings.jaro_winkler, strings.ratcliff])
+def test_a_missing_value_has_no_similarity(spark, measure):
+    from entitylink.functions import rules
+
+    rows = spark.createDataFrame([("ab", None), (None, "ab"), (None, None), ("abcd", "abcd")], "a string, b string")
+    got = rows.select(measure("a", "b").alias("s")).withColumn("r", rules.atom(F.col("s"), 0.5)).collect()
+    assert [r.s for r in got[:3]] == [None] * 3 and [r.r for r in got[:3]] == [0.0] * 3 and got[3].s == 1.0
