@@ -161,7 +161,13 @@ def perturb_points(spark, sf):
     return _flat(_polygons(spark, sf).select("id", learn.slide_points(F.col("pts"), 0.25).alias("pts")))
 
 
-@query("perturb_random")
+@query(
+    "perturb_random",
+    SQL_POINTS + """, kept AS (SELECT id, lat, lon, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos FROM pts
+  WHERE pos = 0 OR ('0x' || substr(md5(id || '|' || pos), 1, 7))::BIGINT / 268435456.0::DOUBLE >= 0.3)
+SELECT id, pos, round(lat + (('0x' || substr(md5(id || '|' || pos || '|0'), 1, 7))::BIGINT / 268435456.0::DOUBLE * 2 - 1) * 0.5, 6) AS lat,
+  round(lon + (('0x' || substr(md5(id || '|' || pos || '|1'), 1, 7))::BIGINT / 268435456.0::DOUBLE * 2 - 1) * 0.5, 6) AS lon FROM kept""",
+)
 def perturb_random(spark, sf):
     dropped = _polygons(spark, sf).select("id", learn.drop_points(F.col("id"), F.col("pts"), 0.3).alias("pts"))
     return _flat(dropped.select("id", learn.jitter_points(F.col("id"), F.col("pts"), 0.5).alias("pts")))

@@ -149,7 +149,32 @@ def jaro_winkler_join(spark, sf):
     return _round(editjoin.jaro_winkler_join(*pages(spark, sf), "id", "title", 0.87))
 
 
-@query("ratcliff_join")
+# Maximal runs of equal characters on the diagonals of a pair; an open segment takes
+# the longest part of a run inside it and leaves two segments.
+SQL_RATCLIFF = f"""WITH RECURSIVE {SQL_PAGES.replace("regexp_extract(html, '<title>([^<]*)</title>', 1) AS value", "lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS value")}, {SQL_VALUES},
+cs AS (SELECT source, value, unnest(range(1, length(value) + 1)) AS i FROM vs), ct AS (SELECT target, value, unnest(range(1, length(value) + 1)) AS j FROM vt),
+hs AS (SELECT source, substr(value, i, 1) AS c, count(*) AS n FROM cs GROUP BY ALL), ht AS (SELECT target, substr(value, j, 1) AS c, count(*) AS n FROM ct GROUP BY ALL),
+pairs AS (SELECT source, target, any_value(length(vs.value)) AS a, any_value(length(vt.value)) AS b, any_value(n_source) AS n_source, any_value(n_target) AS n_target
+  FROM hs JOIN ht USING (c) JOIN vs USING (source) JOIN vt USING (target) GROUP BY source, target
+  HAVING 2 * sum(least(hs.n, ht.n)) >= 0.75 * (any_value(length(vs.value)) + any_value(length(vt.value)))),
+eq AS (SELECT source, target, i, j FROM pairs JOIN cs USING (source) JOIN ct USING (target) WHERE substr(cs.value, i, 1) = substr(ct.value, j, 1)),
+runs AS (SELECT source, target, min(i) AS i, min(j) AS j, count(*) AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY source, target, i - j ORDER BY i) AS g FROM eq) GROUP BY source, target, i - j, g),
+open_(source, target, i, k, j, m) AS (
+  SELECT source, target, 1::BIGINT, (a + 1)::BIGINT, 1::BIGINT, (b + 1)::BIGINT FROM pairs
+  UNION ALL
+  SELECT source, target, s.i, s.k, s.j, s.m FROM (SELECT source, target, unnest([{{'i': i, 'k': -best.i, 'j': j, 'm': -best.j}},
+      {{'i': best.n - best.i, 'k': k, 'j': best.n - best.j, 'm': m}}]) AS s
+    FROM (SELECT *, (SELECT max({{'n': least(r.i + r.n, o.k, o.m - r.j + r.i) - greatest(r.i, o.i, o.j - r.j + r.i),
+        'i': -greatest(r.i, o.i, o.j - r.j + r.i), 'j': -(greatest(r.i, o.i, o.j - r.j + r.i) - r.i + r.j)}}) FROM runs r
+        WHERE r.source = o.source AND r.target = o.target) AS best FROM open_ o) WHERE best.n > 0)),
+taken AS (SELECT source, target, (SELECT max(least(r.i + r.n, o.k, o.m - r.j + r.i) - greatest(r.i, o.i, o.j - r.j + r.i)) FROM runs r
+  WHERE r.source = o.source AND r.target = o.target) AS n FROM open_ o),
+scored AS (SELECT source, target, n_source, n_target, 2 * sum(greatest(n, 0)) / (a + b)::DOUBLE AS sim FROM pairs JOIN taken USING (source, target) GROUP BY source, target, n_source, n_target, a, b)
+SELECT source, target, round(sim, 6) AS sim, n_source, n_target FROM scored WHERE sim >= 0.75"""
+
+
+@query("ratcliff_join", SQL_RATCLIFF)
 def ratcliff_join(spark, sf):
     return _round(editjoin.ratcliff_join(*pages(spark, sf), "id", "title", 0.75))
 

@@ -137,7 +137,28 @@ def _points(spark, sf):
     return o.where("st = 'F'").drop("st"), o.where("st <> 'F'").drop("st")
 
 
-@query("geo_point_join_ellipsoid")
+# Vincenty's inverse formula with a fixed number of steps on the ellipsoid of WGS84.
+_RAD = "pi() / 180"
+SQL_ELLIPSOID = SQL_PLACES + f""", p AS (SELECT a.id AS source, b.id AS target, a.lat AS la, b.lat AS lb, (b.lon - a.lon) * {_RAD} AS turn
+  FROM o a JOIN o b ON a.s AND NOT b.s AND b.lat BETWEEN a.lat - 0.19 AND a.lat + 0.19),
+u AS (SELECT source, target, turn - 2 * pi() * floor((turn + pi()) / (2 * pi())) AS l, atan((1 - f) * tan(la * {_RAD})) AS u1, atan((1 - f) * tan(lb * {_RAD})) AS u2
+  FROM p, (SELECT 1 / 298.257223563 AS f)),
+t AS (SELECT source, target, l, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM u),
+it AS (SELECT *, list_reduce(range(40), lambda lam, k: l + list_transform([{{'s': sqrt((c2 * sin(lam)) * (c2 * sin(lam)) + (c1 * s2 - s1 * c2 * cos(lam)) * (c1 * s2 - s1 * c2 * cos(lam))),
+      'c': s1 * s2 + c1 * c2 * cos(lam)}}], lambda x: list_transform([{{'a': CASE WHEN x.s = 0 THEN 0 ELSE c1 * c2 * sin(lam) / x.s END}}],
+      lambda y: list_transform([{{'q': 1 - y.a * y.a}}], lambda z: list_transform([{{'m': CASE WHEN z.q = 0 THEN 0 ELSE x.c - 2 * s1 * s2 / z.q END,
+        'k': 1 / 298.257223563 / 16 * z.q * (4 + 1 / 298.257223563 * (4 - 3 * z.q))}}],
+      lambda w: (1 - w.k) / 298.257223563 * y.a * (atan2(x.s, x.c) + w.k * x.s * (w.m + w.k * x.c * (2 * w.m * w.m - 1))))[1])[1])[1])[1], l) AS lam FROM t),
+e AS (SELECT *, sqrt((c2 * sin(lam)) * (c2 * sin(lam)) + (c1 * s2 - s1 * c2 * cos(lam)) * (c1 * s2 - s1 * c2 * cos(lam))) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM it),
+g AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa, 6378137 * (1 - 1 / 298.257223563) AS b FROM e),
+h AS (SELECT *, 1 - sa * sa AS q, (1 - sa * sa) * (6378137.0::DOUBLE * 6378137 - b * b) / (b * b) AS w FROM g),
+k AS (SELECT *, CASE WHEN q = 0 THEN 0 ELSE cs - 2 * s1 * s2 / q END AS m, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) AS aa,
+  w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS bb FROM h),
+far AS (SELECT source, target, b * aa * (atan2(ss, cs) - bb * ss * (m + bb / 4 * (cs * (2 * m * m - 1) - bb / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) / 1000 AS d FROM k)
+SELECT source, target, round(1 / (1 + d), 6) AS sim FROM far WHERE d <= 1 / 0.05::DOUBLE - 1"""
+
+
+@query("geo_point_join_ellipsoid", SQL_ELLIPSOID)
 def geo_point_join_ellipsoid(spark, sf):
     return _r(gj.point_join(*_points(spark, sf), "id", "p", THETA, "ellipsoid"))
 
@@ -164,8 +185,38 @@ LINK = """SELECT source, target, sum(d) AS d FROM (
   FROM d JOIN near_n USING (source, target)) WHERE k <= ceil(greatest(nx, ny)::DOUBLE / least(nx, ny)) GROUP BY ALL"""
 _shape_query("link", LINK)
 _shape_query("fair_surjection", LINK)
-_shape_query("surjection", None)
-_shape_query("frechet", None)
+SQL_SURJECTION = """, sized AS (SELECT source, target, nx, ny, CASE WHEN nx < ny THEN i ELSE j END AS k, CASE WHEN nx < ny THEN j ELSE i END AS l, d
+  FROM d JOIN near_n USING (source, target)),
+lists AS (SELECT source, target, k, list({'d': d, 'l': l}) AS a, least(any_value(nx), any_value(ny)) AS n FROM sized GROUP BY source, target, k),
+take(source, target, k, used, total) AS (
+  SELECT DISTINCT source, target, 0::BIGINT, []::BIGINT[], 0.0::DOUBLE FROM lists
+  UNION ALL
+  SELECT source, target, k, list_append(used, best.l), total + best.d FROM (
+    SELECT t.source, t.target, l.k, t.used, t.total, list_min(list_filter(l.a, lambda x: NOT list_contains(t.used, x.l))) AS best
+    FROM take t JOIN lists l ON l.source = t.source AND l.target = t.target AND l.k = t.k + 1)),
+done AS (SELECT t.* FROM take t JOIN (SELECT source, target, max(k) AS k FROM take GROUP BY ALL) USING (source, target, k)),
+rest AS (SELECT source, target, l, min(d) AS m FROM sized GROUP BY ALL),
+surjection AS (SELECT source, target, total + coalesce((SELECT sum(m) FROM rest r WHERE r.source = done.source AND r.target = done.target
+  AND NOT list_contains(used, l)), 0) AS d FROM done)
+"""
+# All monotone walks over the cells of a pair, with the largest distance on the way.
+SQL_FRECHET = """, walk(source, target, i, j, m) AS (
+  SELECT source, target, i, j, d FROM d WHERE i = 1 AND j = 1
+  UNION
+  SELECT w.source, w.target, d.i, d.j, greatest(w.m, d.d) FROM walk w JOIN d ON d.source = w.source AND d.target = w.target
+    AND (d.i, d.j) IN ((w.i + 1, w.j), (w.i, w.j + 1), (w.i + 1, w.j + 1))),
+frechet AS (SELECT source, target, min(m) AS d FROM walk JOIN near_n USING (source, target) WHERE i = nx AND j = ny GROUP BY ALL)
+"""
+
+
+def _walked(name: str, body: str):
+    @query(f"geo_{name}", SQL_SHAPES.replace("WITH ", "WITH RECURSIVE ", 1) + body + SQL_SIM.format(f"SELECT * FROM {name}"))
+    def run(spark, sf):
+        return _r(gj.shape_join(*_shapes(spark, sf), "id", "pts", THETA, name))
+
+
+_walked("surjection", SQL_SURJECTION)
+_walked("frechet", SQL_FRECHET)
 
 
 def _boxes(spark, sf):

@@ -140,8 +140,9 @@ def slide_points(pts: Column, t: float) -> Column:
 
 
 def _unit(*parts: Column) -> Column:
-    """Number in [0, 1) from a hash of its arguments."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
+    """Number in [0, 1) drawn by its arguments, the same on any engine."""
+    drawn = draw(*[p.cast("string") for p in parts])
+    return F.conv(F.substring(drawn, 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
 def drop_points(id_col: Column, pts: Column, probability: float) -> Column:

@@ -77,10 +77,10 @@ def test_random_ratcliff_equals_the_textbook():
     from difflib import SequenceMatcher
 
     rng = random.Random(5)
-    for _ in range(300):
-        x, y = ("".join(rng.choice("abcd e") for _ in range(rng.randint(0, 25))) for _ in range(2))
-        want = SequenceMatcher(None, x, y, autojunk=False).ratio() if x or y else 0.0
-        assert strings._ratcliff(x, y) == pytest.approx(want)
+    text = lambda: "".join(rng.choice("abcd e") for _ in range(rng.randint(0, 25)))
+    pairs = [(text(), text()) for _ in range(300)]
+    want = [SequenceMatcher(None, x, y, autojunk=False).ratio() if x or y else 0.0 for x, y in pairs]
+    assert strings._ratcliff(*map(list, zip(*pairs))).tolist() == pytest.approx(want)
 
 
 @pytest.mark.parametrize("measure", [strings.jaro, strings.jaro_winkler, strings.ratcliff])
