@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["blocking", "joins", "prep", "links", "entities", "io", "space"]
+MODULES = ["blocking", "joins", "prep", "links", "entities", "io", "space", "jobs"]
 
 
 def query(name: str, sql: str | None = None):

@@ -100,6 +100,22 @@ def _order_links(spark, sf):
 SQL_ORDER_LINKS = "WITH links AS (SELECT 'urn:o:' || l_orderkey AS source, 'urn:p:' || l_partkey AS target, l_quantity / 50 AS sim FROM lineitem)\n"
 
 
+@query(
+    "links_by_file_name",
+    SQL_ORDER_LINKS + """SELECT 'csv' AS kind, source, target, round(sim, 6) AS sim FROM links
+UNION ALL SELECT 'tsv', source, target, round(sim, 6) FROM links UNION ALL SELECT 'nt', source, target, 1.0::DOUBLE FROM links""",
+)
+def links_by_file_name(spark, sf):
+    """Written and read back with nothing but the file name to go by."""
+    out = None
+    for kind in ("csv", "tsv", "nt"):
+        path = shared_folder(spark, "links") + f".{kind}"
+        sinks.write_links(_order_links(spark, sf), path)
+        part = rdf.read_links(spark, path).select(F.lit(kind).alias("kind"), "source", "target", F.round("sim", 6).alias("sim"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("src_links_nt", SQL_ORDER_LINKS + "SELECT source, target, 1.0::DOUBLE AS sim FROM links")
 def src_links_nt(spark, sf):
     path = shared_folder(spark, "links-nt")
