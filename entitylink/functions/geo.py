@@ -5,6 +5,8 @@ Points are structs with lat and lon in degrees; distances are kilometres.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -73,8 +75,9 @@ def _nearest(xs: Column, ys: Column) -> Column:
     return F.transform(xs, lambda x: F.array_min(F.transform(ys, lambda y: haversine(x, y))))
 
 
-def _all(xs: Column, ys: Column) -> Column:
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: haversine(x, y))))
+def _each(xs: Column, ys: Column, fold: Callable[[Column], Column]) -> Column:
+    """For each x a fold of its distances to all y; one row of distances at a time."""
+    return F.transform(xs, lambda x: fold(F.transform(ys, lambda y: haversine(x, y))))
 
 
 def hausdorff(xs: Column, ys: Column) -> Column:
@@ -86,15 +89,15 @@ def symmetric_hausdorff(xs: Column, ys: Column) -> Column:
 
 
 def set_min(xs: Column, ys: Column) -> Column:
-    return F.array_min(_all(xs, ys))
+    return F.array_min(_each(xs, ys, F.array_min))
 
 
 def set_max(xs: Column, ys: Column) -> Column:
-    return F.array_max(_all(xs, ys))
+    return F.array_max(_each(xs, ys, F.array_max))
 
 
 def set_avg(xs: Column, ys: Column) -> Column:
-    return _sum(_all(xs, ys)) / (F.size(xs) * F.size(ys))
+    return _sum(_each(xs, ys, _sum)) / (F.size(xs) * F.size(ys))
 
 
 def mean_point(xs: Column) -> Column:

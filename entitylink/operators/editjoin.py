@@ -186,8 +186,11 @@ def monge_elkan_join(src, tgt, id_col, value: Column | str, theta: float, near:
     need = F.greatest(up(k * ((theta - near) / (1 - near))), F.lit(1))
     head = F.filter(F.slice("w", F.lit(1), k - need + 1), lambda e: e.cost > 0)
     head = ranked.select("source", F.explode(F.array_distinct(F.transform(head, lambda e: e.word))).alias("word"))
-    head = attach(head, cost.select("word", "n_source"), "word", "n_source", ["source"]).drop("n_source")
-    reach = head.join(similar.select(F.col("source").alias("word"), F.col("target").alias("key")), "word")
+    fan = similar.groupBy(F.col("source").alias("word")).agg(F.count("*").alias("n_keys"))
+    fan = materialize(cost.select("word", "n_source").join(fan, "word"), "fan")  # rows of both sides of each word
+    head = attach(head, fan, "word", "n_source", ["source"])
+    partners = similar.select(F.col("source").alias("word"), F.col("target").alias("key")).join(fan, "word")
+    reach = pair_join(head, partners, "word", "source", "key", "n_source", "n_keys")
     none_s = F.lit(None).cast(values.schema["source"].dataType).alias("source")
     none_t = F.lit(None).cast(values.schema["target"].dataType).alias("target")
     keys = reach.select("source", none_t, "key").distinct()

@@ -105,7 +105,11 @@ def shape_join(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, theta: flo
         mean = [df.select(id_col, F.array(geo.mean_point(F.col(pts))).alias("m")) for df in (src, tgt)]
         pairs = shape_pairs(*mean, id_col, "m", km)
     else:
-        pairs = shape_pairs(src, tgt, id_col, pts, km)
+        # Hausdorff: every source point has a near target point, so has the first one.
+        # The largest distance: all points are near each other, so are the first ones.
+        one = src.withColumn(pts, F.slice(pts, 1, 1)) if distance in ("hausdorff", "sym_hausdorff", "max") else src
+        other = tgt.withColumn(pts, F.slice(pts, 1, 1)) if distance == "max" else tgt
+        pairs = shape_pairs(one, other, id_col, pts, km)
     return _scored(with_shapes(pairs, src, tgt, id_col, pts), measure(F.col("pts_s"), F.col("pts_t")), km)
 
 

@@ -77,18 +77,32 @@ def value_members(df: DataFrame, id_col: str, value: Column | str) -> DataFrame:
 
 
 def expand_links(links: DataFrame, src_members: DataFrame, tgt_members: DataFrame) -> DataFrame:
-    """Entity pairs behind value links; a pair reached twice keeps the larger sim."""
-    one = F.lit(1)
+    """Entity pairs behind value links; a pair reached twice keeps the larger sim.
+
+    Both steps are tiled by the links of a value and the entities behind it, so neither
+    a value with very many links nor one with very many entities meets in one task.
+    """
     rows = links.select(
         F.struct(F.col("source").alias("id"), F.col("key_s").alias("h")).alias("source"),
         F.struct(F.col("target").alias("id"), F.col("key_t").alias("h")).alias("target"),
         "sim",
-        one.alias("_one"),
         "n_source",
         "n_target",
     )
-    src = src_members.select(F.col("rep").alias("source"), F.col("member").alias("_s"), one.alias("_one"), F.col("n").alias("n_source"))
-    rows = pair_join(rows, src, "source", "target", "_s", "_one", "n_source")
-    tgt = tgt_members.select(F.col("rep").alias("target"), F.col("member").alias("_t"), one.alias("_one"), F.col("n").alias("n_target"))
-    rows = pair_join(rows.withColumn("_one", one), tgt, "target", "_s", "_t", "_one", "n_target")
+    rows = materialize(rows, "value-links")
+
+    def weighed(rows: DataFrame, side: str, weight: Column, n: str) -> tuple[DataFrame, DataFrame]:
+        """Rows and (value, rows that hold it) with the rows' number attached."""
+        many = materialize(rows.groupBy(side).agg(F.sum(weight).alias("_rows"), F.count("*").alias("_links"), F.max(n).alias(n)), "weights")
+        return attach(rows.drop(n), many, side, "_links", ["source", "target"]).drop("_links"), many.drop("_links")
+
+    rows, many = weighed(rows, "source", F.lit(1), "n_source")
+    src = src_members.select(F.col("rep").alias("source"), F.col("member").alias("_s"), "n")
+    src = src.join(many, "source").drop("n")
+    rows = pair_join(rows, src, "source", "target", "_s", "_rows", "n_source")
+    sums = links.groupBy(F.struct(F.col("target").alias("id"), F.col("key_t").alias("h")).alias("target"))
+    sums = materialize(sums.agg(F.sum("n_source").alias("_rows"), F.max("n_target").alias("n_target")), "weights")
+    rows = attach(rows.select("target", "_s", "sim"), sums, "target", "_rows", ["_s"])
+    tgt = tgt_members.select(F.col("rep").alias("target"), F.col("member").alias("_t")).join(sums, "target")
+    rows = pair_join(rows, tgt, "target", "_s", "_t", "_rows", "n_target")
     return rows.groupBy(F.col("_s").alias("source"), F.col("_t").alias("target")).agg(F.max("sim").alias("sim"))

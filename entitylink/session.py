@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Called with every plan that is about to be written by ``materialize``.
+ON_MATERIALIZE: list[Callable[[DataFrame], None]] = []
+# Folders made since the innermost ``scratch`` began.
+_made: list[list[str]] = []
+
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -43,15 +50,39 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_base()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owner of the intermediate copies made inside: they are deleted at its end, so write
+    or collect the result before that.
+
+        with scratch(spark):
+            link_by_tokens(...).write.parquet(out)
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _made.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result that several later steps read, and read it back.
 
     The copy lives in the shared folder, so losing executors does not lose it, and
-    the plans built on it stay short. Nothing passes through the driver.
+    the plans built on it stay short. Nothing passes through the driver. The copy
+    stays until the folder is cleaned, or the ``scratch`` around the job ends.
     """
+    for check in ON_MATERIALIZE:
+        check(df)
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
