@@ -18,6 +18,9 @@ from entitylink.session import materialize
 
 IDS = ["source", "target"]
 EPS = 1e-9
+# One shared element more is asked for in the prefixes per so many needed in all: the
+# prefixes grow by as many elements, and far fewer pairs share enough of them.
+EXTRA = 16
 
 
 def up(x: Column) -> Column:
@@ -25,6 +28,11 @@ def up(x: Column) -> Column:
     return F.ceil(x - EPS).cast("int")
 
 
+def extra(alpha: Column) -> Column:
+    """Shared elements asked for in the prefixes of a pair that needs ``alpha`` in all."""
+    return F.greatest(F.floor(alpha / EXTRA), F.lit(1)).cast("int")
+
+
 def element_stats(values: DataFrame) -> DataFrame:
     """Per element: values holding it on each side, and entities behind them."""
     return (
@@ -67,7 +75,8 @@ def ordered_elements(
     )
     hidden = F.col("n") - F.size("arr")
     rows = rows.withColumn("hidden", hidden)
-    length = F.col("n") - F.greatest(need(F.col("n")), F.lit(1)) + 1 - F.col("hidden")
+    least = F.greatest(need(F.col("n")), F.lit(1))
+    length = F.col("n") - least + (extra(least) if limit is None else F.lit(1)) - F.col("hidden")
     length = F.greatest(F.least(length, F.size(F.filter("arr", lambda e: e.on))), F.lit(0))
     rows = rows.select(
         *IDS,
@@ -87,14 +96,37 @@ def prefix_pairs(
     ordered: DataFrame,
     alpha: Callable[[Column, Column], Column],
     size_ok: Callable[[Column, Column], Column],
+    limited: bool = False,
 ) -> DataFrame:
     """Distinct (source, target) that may share ``alpha(a, b)`` elements.
 
-    ``size_ok(a, b)``: sizes that can qualify. The shared prefix elements of a pair
-    are counted: whichever prefix ends first in the global order, everything shared
-    up to there is counted and the rest of that side bounds what can follow. The
-    count is a partial aggregate, so rows shrink before the shuffle.
+    ``size_ok(a, b)``: sizes that can qualify. A pair that shares ``alpha`` has its first
+    k shared elements among the first n - alpha + k of both sides, for that pair's own
+    alpha; only those positions meet, and k of them have to.
+
+    ``limited``: the prefixes were cut by a block limit, so they need not hold k. Then
+    every prefix element meets and the count bounds the overlap: whichever prefix ends
+    first in the global order, everything shared up to there is counted and the rest
+    of that side bounds what can follow. Either count is a partial aggregate, so rows
+    shrink before the shuffle.
     """
+    return _limited_pairs(ordered, alpha, size_ok) if limited else _tight_pairs(ordered, alpha, size_ok)
+
+
+def _tight_pairs(ordered, alpha, size_ok) -> DataFrame:
+    rows = ordered.select(*IDS, "n", "hidden", F.posexplode("prefix").alias("pos", "e"))
+    rows = rows.select(*IDS, "n", (F.col("hidden") + F.col("pos") + 1).alias("at"), "e.elem", "e.df_s", "e.df_t")
+    left = rows.where(F.col("source").isNotNull()).select("source", F.col("n").alias("n_x"), F.col("at").alias("at_x"), "elem", "df_s", "df_t")
+    right = rows.where(F.col("target").isNotNull()).select("target", F.col("n").alias("n_y"), F.col("at").alias("at_y"), "elem", "df_s", "df_t")
+    a, b = F.col("n_x"), F.col("n_y")
+    need = F.greatest(alpha(a, b), F.lit(1))
+    fits = size_ok(a, b) & (F.col("at_x") <= a - need + extra(need)) & (F.col("at_y") <= b - need + extra(need))
+    pairs = pair_join(left, right, "elem", "source", "target", "df_s", "df_t", fits)
+    pairs = pairs.groupBy("source", "target").agg(F.count("*").alias("shared"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"))
+    return pairs.where(F.col("shared") >= extra(need)).select("source", "target")
+
+
+def _limited_pairs(ordered, alpha, size_ok) -> DataFrame:
     rest = F.col("n") - F.col("hidden") - F.size("prefix")
     rows = ordered.select(*IDS, "n", "last", rest.alias("rest"), F.explode("prefix").alias("e"))
     rows = rows.select(*IDS, "n", "last", "rest", "e.elem", "e.df_s", "e.df_t")

@@ -71,7 +71,7 @@ def set_links(
 ) -> DataFrame:
     """Value links (source, target, sim) for ``set_values`` output."""
     ordered = ordered_elements(values, measure.need, by, limit, stats)
-    pairs = prefix_pairs(ordered, measure.alpha, measure.size_ok)
+    pairs = prefix_pairs(ordered, measure.alpha, measure.size_ok, limit is not None)
     sides = with_sides(pairs, ordered, n=F.col("n"), arr=F.col("arr"))
     overlap = F.size(F.array_intersect("arr_s", "arr_t"))
     scored = sides.select("source", "target", measure.sim(overlap, F.col("n_s"), F.col("n_t")).alias("sim"))
