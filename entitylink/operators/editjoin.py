@@ -41,28 +41,40 @@ def _sides_as_keys(values: DataFrame, keys: Column) -> DataFrame:
     return s.unionByName(rows.where(F.col("target").isNotNull()).select(none_s, "target", "key"))
 
 
-def shorten(text: Column, k: int) -> Column:
-    """Every string left after deleting up to ``k`` characters."""
-    out = F.array(text)
-    for _ in range(k):
-        out = F.array_distinct(
-            F.concat(
-                out,
-                F.flatten(
-                    F.transform(
-                        out,
-                        lambda x: F.when(
-                            F.char_length(x) > 0,
-                            F.transform(
-                                F.sequence(F.lit(1), F.char_length(x)),
-                                lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))),
-                            ),
-                        ).otherwise(F.array().cast("array<string>")),
-                    )
-                ),
-            )
-        )
-    return out
+def _part(n: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of part ``i`` of k + 1 near-equal parts of ``n`` characters."""
+    at = F.floor(i * n / (k + 1)).cast("int")
+    return at, F.floor((i + 1) * n / (k + 1)).cast("int") - at
+
+
+def edit_parts(text: Column, k: int) -> Column:
+    """Keys of a value's k + 1 parts: its length, the part's number, the part."""
+    n = F.char_length(text)
+
+    def key(i: Column) -> Column:
+        at, size = _part(n, i, k)
+        return F.concat_ws(":", n.cast("string"), i.cast("string"), F.substring(text, at + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), key)
+
+
+def edit_reach(text: Column, k: int) -> Column:
+    """Keys of ``edit_parts`` that a value within ``k`` edits of ``text`` can have: k edits
+    leave one of k + 1 parts whole, at most k places from where it was."""
+    n = F.char_length(text)
+
+    def of_part(m: Column, i: Column) -> Column:
+        at, size = _part(m, i, k)
+        first, last = F.greatest(at - k, F.lit(0)), F.least(at + k, n - size)
+        head = F.concat_ws(":", m.cast("string"), i.cast("string"), F.lit(""))
+        found = F.transform(F.sequence(first, F.greatest(last, first)), lambda p: F.concat(head, F.substring(text, p + 1, size)))
+        return F.when(last >= first, found).otherwise(F.array().cast("array<string>"))
+
+    def of_length(m: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: of_part(m, i)))
+
+    lengths = F.sequence(F.greatest(n - k, F.lit(0)), n + k)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def levenshtein_join(src: DataFrame, tgt: DataFrame, id_col: str, value: Column | str, theta: float, q: int = 2) -> DataFrame:
@@ -73,9 +85,13 @@ def levenshtein_join(src: DataFrame, tgt: DataFrame, id_col: str, value: Column
     grams = values.select("source", "target", "n_source", "n_target", tok.gram_bag(F.col("value"), q).alias("elems"))
     ordered = ordered_elements(grams, lambda n: n - k * q)
     pairs = prefix_pairs(ordered, lambda a, b: F.greatest(a, b) - k * q, lambda a, b: F.abs(a - b) <= k)
-    # Two short values may share no gram; deleting k characters from each meets.
+    # Two short values may share no gram; a part of one stands in the other.
     short = values.where(F.char_length("value") <= k * q + q - 1)
-    pairs = pairs.unionByName(key_pairs(_sides_as_keys(short, shorten(F.col("value"), k)))).distinct()
+    none_s = F.lit(None).cast(values.schema["source"].dataType).alias("source")
+    none_t = F.lit(None).cast(values.schema["target"].dataType).alias("target")
+    keys = short.where(F.col("source").isNotNull()).select("source", none_t, F.explode(edit_parts(F.col("value"), k)).alias("key"))
+    reach = short.where(F.col("target").isNotNull()).select(none_s, "target", F.explode(edit_reach(F.col("value"), k)).alias("key"))
+    pairs = pairs.unionByName(key_pairs(keys.unionByName(reach))).distinct()
     edits = F.levenshtein("v_s", "v_t", k)
     found = with_sides(pairs, values, v=F.col("value")).withColumn("d", edits).where(F.col("d") >= 0)
     return with_counts(found.select("source", "target", (1 / (1 + F.col("d"))).alias("sim")), values)

@@ -70,7 +70,7 @@ def value_members(df: DataFrame, id_col: str, value: Column | str) -> DataFrame:
     """(member, rep, n): every entity with the key of a value it holds."""
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(F.sha2(value.cast("string"), 256).alias("hash"), F.xxhash64(value).alias("h"), F.col(id_col).alias("member"))
-    rows = rows.where(F.col("hash").isNotNull())
+    rows = materialize(rows.where(F.col("hash").isNotNull()), "hashes")  # ids and hashes: the values are read once
     reps = rows.groupBy("hash", "h").agg(F.min("member").alias("id"), F.count("*").alias("n"))
     reps = materialize(reps.select("hash", F.struct("id", "h").alias("rep"), "n"), "reps")
     return attach(rows, reps, "hash", "n", ["member"]).select("member", "rep", "n")

@@ -123,3 +123,16 @@ def test_result_does_not_depend_on_partitions(spark, sides):
 
     assert run(1) == run(13)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("theta", [0.15, 0.3])
+def test_levenshtein_of_short_values(spark, theta):
+    """Values of 0 to 12 characters, many edits."""
+    import random
+
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("ab c") for _ in range(rng.randint(0, 12)))
+    rows = [[(k, text()) for k in range(60)] for _ in range(2)]
+    short = tuple(spark.createDataFrame(r, "id long, v string") for r in rows)
+    want = brute(spark, short, lambda x, y: 1 / (1 + F.levenshtein(x, y)), theta)
+    assert want and expanded(editjoin.levenshtein_join(*short, "id", "v", theta), short) == want
