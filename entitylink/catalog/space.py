@@ -25,15 +25,21 @@ def _events(spark, sf):
     return e.where(clicks).select("id", "v"), e.where(~clicks).select("id", "v")
 
 
-@query(
-    "euclidean_join",
-    """WITH e AS (SELECT event_id AS id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 3600000000::DOUBLE AS x, value AS y, event_type IN ('click', 'view') AS s FROM events),
+SQL_EUCLIDEAN = """WITH e AS (SELECT event_id AS id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 3600000000::DOUBLE AS x, value AS y, event_type IN ('click', 'view') AS s FROM events),
 vs AS (SELECT x, y, min(id) AS source, count(*) AS n_source FROM e WHERE s GROUP BY x, y),
 vt AS (SELECT x, y, min(id) AS target, count(*) AS n_target FROM e WHERE NOT s GROUP BY x, y),
 d AS (SELECT source, target, n_source, n_target, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
   FROM vs a JOIN vt b ON b.x BETWEEN a.x - 0.251 AND a.x + 0.251 AND b.y BETWEEN a.y - 0.251 AND a.y + 0.251)
-SELECT source, target, round(1 / (1 + d), 6) AS sim, n_source, n_target FROM d WHERE d <= 0.25""",
-)
+SELECT source, target, round(1 / (1 + d), 6) AS sim, n_source, n_target FROM d WHERE d <= 0.25"""
+
+
+@query("euclidean_join_fine", SQL_EUCLIDEAN)
+def euclidean_join_fine(spark, sf):
+    """The same with cells a third as wide as the radius."""
+    return _r(rj.euclidean_join(*_events(spark, sf), "id", "v", 0.8, granularity=3))
+
+
+@query("euclidean_join", SQL_EUCLIDEAN)
 def euclidean_join(spark, sf):
     """Events by hour and value."""
     return _r(rj.euclidean_join(*_events(spark, sf), "id", "v", 0.8))

@@ -12,6 +12,7 @@ from entitylink.operators.entities import draw
 from entitylink.operators.evaluate import _with_prf
 from entitylink.operators.setjoin import exact_join
 from entitylink.operators.values import expand_links, value_members, value_table
+from entitylink.session import materialize
 
 PAIR = ["source", "target"]
 
@@ -50,6 +51,35 @@ def rank_rules(scored: DataFrame, gold: DataFrame, thetas: Sequence[float]) -> D
     return swept.where("best").select("rule", "theta", "precision", "recall", "f")
 
 
+def rank_joins(
+    src_props: DataFrame,
+    tgt_props: DataFrame,
+    gold: DataFrame,
+    measures: dict[str, Callable[[DataFrame, DataFrame, str, str, float], DataFrame]],
+    thetas: Sequence[float],
+) -> DataFrame:
+    """Run every measure over every pair of textual properties and rank the rules found.
+
+    ``measures``: joins (src, tgt, id column, value column, theta) that return value links.
+    One join runs per pair of properties and measure, at the smallest threshold; the
+    pairs of properties are few. ``rule`` reads measure(source property, target property).
+    """
+    pairs = property_pairs(src_props, tgt_props).where("kind = 'string'").orderBy("source_prop", "target_prop").collect()
+    scored = None
+    for pair in pairs:
+        s = materialize(src_props.where(F.col("prop") == pair.source_prop).select("id", "value"), "property")
+        t = materialize(tgt_props.where(F.col("prop") == pair.target_prop).select("id", "value"), "property")
+        members = value_members(s, "id", "value"), value_members(t, "id", "value")
+        for name, join in measures.items():
+            rule = F.lit(f"{name}({pair.source_prop},{pair.target_prop})")
+            links = expand_links(join(s, t, "id", "value", min(thetas)), *members).select(rule.alias("rule"), *PAIR, "sim")
+            scored = links if scored is None else scored.unionByName(links)
+    if scored is None:
+        none = "rule string, theta double, precision double, recall double, f double"
+        return src_props.sparkSession.createDataFrame([], none)
+    return rank_rules(materialize(scored, "scored"), gold, thetas)
+
+
 def property_kinds(props: DataFrame) -> DataFrame:
     """(prop, kind): number, date, points or string, when every value is one."""
     v = F.trim("value")
