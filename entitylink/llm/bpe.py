@@ -11,14 +11,15 @@ import json
 import re
 import unicodedata
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import regex
 
 _NONE = np.int64(2**62)
-# Words remembered by a task before it starts afresh; bounds its memory, not its results.
-REMEMBERED = 400_000
+# Words remembered by a worker, and how many of them, the first met and so mostly the
+# common ones, when it has too many or a task ends; bounds its memory, not its results.
+REMEMBERED, KEPT = 200_000, 50_000
 
 # The pre-token patterns of the two public vocabularies (fixed values). "Letter" and
 # "digit" are filled in for plain Latin text and in full.
@@ -89,14 +90,20 @@ class Encoder:
             np.minimum.at(least, [self.vocab[x] for x in side], np.arange(len(left)))
         self.one_place = least[self.merged] < np.arange(len(left))
         self.byte_of = {c: b for b, c in enumerate(symbols)}
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = Numbers()
         self.spelled: list[str] = []
         self.flat = np.zeros(0, np.int32)
         self.bounds = np.zeros(1, np.int64)
 
+    def shrink(self) -> None:
+        """Keep the first KEPT words."""
+        if len(self.known) > KEPT:
+            first = Numbers()
+            first.update(islice(self.known.items(), KEPT))
+            self.known, self.bounds = first, self.bounds[: KEPT + 1].copy()
+            self.flat = self.flat[: self.bounds[-1]].copy()
+            del self.spelled[KEPT:]
+
     def _pieces(self, text: str) -> list[str]:
         plain = _NOT_LATIN(text) is None
         if self.word_end:
@@ -175,7 +182,7 @@ class Encoder:
     def index(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
         """Numbers of the pre-tokens of each text, and the same in one array."""
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.shrink()
         number = self.known.__getitem__
         rows = [list(map(number, self.words(t))) for t in texts]
         if self.known.new:

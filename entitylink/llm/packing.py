@@ -139,6 +139,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) ->
                 for k in range(j - i):
                     packer.add(doc_ids[i + k], np.concatenate((ids[bounds[k] : bounds[k + 1]], end)))
                 yield table(packer.take())
+        enc.shrink()
         yield table(packer.finish())
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))

@@ -372,7 +372,9 @@ def redacted(docs: DataFrame, field: Field | None, mark: str = "[SECRET]") -> Da
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [cover(t, s) for t, s in zip(batch.column(at).to_pylist(), found(text_column(batch), field))]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for i, j, _, _ in slices(text_column(batch)):
+                part = batch.slice(i, j - i)
+                texts = [cover(t, s) for t, s in zip(part.column(at).to_pylist(), found(text_column(part), field))]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)

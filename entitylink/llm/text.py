@@ -65,6 +65,7 @@ def slices(col: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.nda
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()  # a worker lives on; what it no longer needs goes back
 
 
 # Anything but a letter of ASCII; bytes of other scripts count as letters.

@@ -30,6 +30,7 @@ def encoded(docs: DataFrame, path: str, text: bool = True) -> DataFrame:
                 ids, bounds, decoded = enc.encode_decode(col.slice(i, j - i).to_pylist())
                 rows = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), rows, pa.array(decoded)], schema=schema)
+        enc.shrink()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -51,6 +52,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
                 of_text = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(of_ids), pa.array(of_text)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        enc.shrink()
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, shape)
