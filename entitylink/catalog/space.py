@@ -281,3 +281,57 @@ AND sign((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * sign((
 )
 def topo_crosses(spark, sf):
     return gj.crossing_lines(*_shapes(spark, sf), "id", "pts")
+
+
+def _diamonds(spark, sf):
+    """Diamonds around the orders' places: size from priority and month."""
+    lat, lon = _place()
+    high = F.substring("o_orderpriority", 1, 1).cast("int") * 0.25 + 0.1
+    wide = (F.month("o_orderdate") % 3 + 1) * 0.3
+    corner = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
+    ring = F.array(corner(lat - high, lon), corner(lat, lon + wide), corner(lat + high, lon), corner(lat, lon - wide))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), ring.alias("pts"), F.col("o_orderstatus").alias("st"))
+    return o.where("st = 'F'").drop("st"), o.where("st <> 'F'").drop("st")
+
+
+_TURN = "sign(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+def _turns(a, b, c, d):
+    return _TURN.format(a=a, b=b, c=c) + " * " + _TURN.format(a=a, b=b, c=d)
+
+
+SQL_DIAMONDS = SQL_PLACES + f""", g AS (SELECT id, s, lat, lon, CAST(substr(o_orderpriority, 1, 1) AS INT) * 0.25::DOUBLE + 0.1::DOUBLE AS h, (month(o_orderdate) % 3 + 1) * 0.3::DOUBLE AS w
+  FROM o JOIN orders ON o_orderkey = id),
+corner AS (SELECT id, s, 0 AS k, lat - h AS y, lon AS x FROM g UNION ALL SELECT id, s, 1, lat, lon + w FROM g
+  UNION ALL SELECT id, s, 2, lat + h, lon FROM g UNION ALL SELECT id, s, 3, lat, lon - w FROM g),
+edge AS (SELECT c.id, c.y AS py, c.x AS px, d.y AS qy, d.x AS qx FROM corner c JOIN corner d ON d.id = c.id AND d.k = (c.k + 1) % 4),
+near AS (SELECT a.id AS source, b.id AS target FROM g a JOIN g b ON a.s AND NOT b.s
+  AND a.lat - a.h <= b.lat + b.h AND b.lat - b.h <= a.lat + a.h AND a.lon - a.w <= b.lon + b.w AND b.lon - b.w <= a.lon + a.w),
+cross_ AS (SELECT source, target,
+    bool_or({_turns("e.p", "e.q", "f.p", "f.q")} < 0 AND {_turns("f.p", "f.q", "e.p", "e.q")} < 0) AS pass,
+    bool_or({_turns("e.p", "e.q", "f.p", "f.q")} <= 0 AND {_turns("f.p", "f.q", "e.p", "e.q")} <= 0
+      AND greatest(f.py, f.qy) >= least(e.py, e.qy) AND least(f.py, f.qy) <= greatest(e.py, e.qy)
+      AND greatest(f.px, f.qx) >= least(e.px, e.qx) AND least(f.px, f.qx) <= greatest(e.px, e.qx)) AS meet
+  FROM near JOIN edge e ON e.id = source JOIN edge f ON f.id = target GROUP BY source, target),
+hit AS (SELECT source, target, c.id AS own, c.k, count(*) FILTER (WHERE (e.py > c.y) <> (e.qy > c.y) AND c.x < (e.qx - e.px) * (c.y - e.py) / nullif(e.qy - e.py, 0) + e.px) % 2 = 1 AS inside
+  FROM (SELECT source, target, source AS a, target AS b FROM near UNION ALL SELECT source, target, target, source FROM near)
+  JOIN corner c ON c.id = a JOIN edge e ON e.id = b GROUP BY ALL),
+corners AS (SELECT source, target, bool_and(inside) FILTER (WHERE own = source) AS all_s, bool_and(inside) FILTER (WHERE own = target) AS all_t,
+    bool_or(inside) AS any_, bool_or(inside AND k = 0) AS first FROM hit GROUP BY source, target),
+rel AS (SELECT source, target, meet OR first AS intersects, all_s AND NOT pass AS within, all_t AND NOT pass AS contains, pass OR any_ AS common
+  FROM cross_ JOIN corners USING (source, target))
+SELECT source, target, 1.0::DOUBLE AS sim FROM rel WHERE """
+
+
+def _polygon_query(relation: str, where: str):
+    @query(f"polygon_{relation}", SQL_DIAMONDS + where)
+    def run(spark, sf):
+        return gj.polygon_join(*_diamonds(spark, sf), "id", "pts", relation)
+
+
+_polygon_query("intersects", "intersects")
+_polygon_query("within", "within")
+_polygon_query("contains", "contains")
+_polygon_query("overlaps", "common AND NOT within AND NOT contains")
+_polygon_query("touches", "intersects AND NOT common")

@@ -171,3 +171,19 @@ def crossing_lines(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, degree
     pairs = box_pairs(*boxed, id_col, "box", degrees).select("source", "target")
     rows = with_shapes(pairs, src, tgt, id_col, pts)
     return rows.where(geo.lines_cross(F.col("pts_s"), F.col("pts_t"))).select("source", "target", F.lit(1.0).alias("sim"))
+
+
+def polygon_join(src: DataFrame, tgt: DataFrame, id_col: str, ring: str, relation: str, degrees: float = 1.0) -> DataFrame:
+    """Pairs of polygons (rings of points) in a relation, sim 1. Candidates: meeting
+    bounding boxes. ``disjoint`` is for given pairs: see ``relate_polygons``."""
+    if relation == "disjoint":
+        raise ValueError("disjoint pairs are not listed; see relate_polygons")
+    boxed = [df.select(id_col, geo.bounding_box(F.col(ring)).alias("box")) for df in (src, tgt)]
+    pairs = box_pairs(*boxed, id_col, "box", degrees).select("source", "target")
+    return relate_polygons(pairs, src, tgt, id_col, ring, relation).withColumn("sim", F.lit(1.0))
+
+
+def relate_polygons(links: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, ring: str, relation: str) -> DataFrame:
+    """Keep the given links whose polygons stand in a relation, ``disjoint`` included."""
+    rows = with_shapes(links, src, tgt, id_col, ring)
+    return rows.where(geo.polygon_relation(relation, F.col("pts_s"), F.col("pts_t"))).select(*links.columns)
