@@ -18,7 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<""", re.S)
+# A tag ends at a ">" outside quotes; where quotes do not close soon, at the next ">". No
+# part scans past a "<" outside quotes, so the time is linear on broken pages too.
+_PIECE = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^\s/<>]*(?:"[^"]{0,4000}"|'[^']{0,4000}'|[^'"<>])*>|</?[a-zA-Z][^<>]*>|[^<]+|<""", re.S
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>=/])|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)

@@ -64,3 +64,14 @@ def test_awkward_pages(spark):
     empty = table(spark, [])
     assert html.extracted(empty, html.trained(empty)).count() == 0
     assert html.main_text("<p>words of text</p>", html.trained(empty)) == "words of text"
+
+
+def test_broken_pages_take_linear_time(spark):
+    import time
+
+    w = weights(spark)
+    began = time.monotonic()
+    for page in ("<div>" * 20_000 + "x" + "</div>" * 20_000, "<" * 200_000, "<a " * 50_000, "<p title='" * 20_000 + ">", "<!--" * 50_000, "<!x" * 50_000):
+        html.main_text(page, w)
+    assert time.monotonic() - began < 20
+    assert html.main_text(f'<p data-x="{"y" * 100_000}">kept</p>', w) == "kept"
