@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entitylink.llm.sampling import first_by_hash
 from entitylink.llm.text import hashes_of, slices, text_column, word_bounds, word_hashes
 from entitylink.session import materialize
 
@@ -291,8 +292,8 @@ def fitted(windows: list[tuple[bytes, bytes]], rounds: int = 150, rate: float =
 
 
 def trained(docs: DataFrame, limit: int = SAMPLE) -> Field | None:
-    """Field fitted on at most ``limit`` texts with base spans and ``limit`` of all, the first
-    by md5 of the text. None if no text has a base span."""
+    """Field fitted on at most ``limit`` distinct texts with base spans and ``limit`` of all, the
+    first by md5. None if no text has a base span."""
     schema = pa.schema([("text", pa.string())])
 
     def with_spans(batches):
@@ -303,13 +304,9 @@ def trained(docs: DataFrame, limit: int = SAMPLE) -> Field | None:
                 keep = [t for t, h in zip(texts, holds_hex(data, offsets)) if base_spans(t, h)]
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], schema=schema)
 
-    def first(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("order", F.md5(F.col("text").cast("binary")))
-        return rows.orderBy("order").limit(limit).select("text")
-
     texts = docs.select("text").where("text is not null")
-    # the shortest form of a text that orders and limits is its md5: texts themselves stay put until chosen
-    sample = first(texts.mapInArrow(with_spans, "text string")).unionByName(first(texts))
+    marked = materialize(texts.mapInArrow(with_spans, "text string"), "with-spans")
+    sample = first_by_hash(marked, F.col("text"), limit).unionByName(first_by_hash(texts, F.col("text"), limit))
     sample = materialize(sample, "labelled")
     windows = sample.mapInArrow(_training_windows, "values binary, tags binary").distinct().collect()  # from at most 2 * limit texts
     return fitted(sorted((bytes(r[0]), bytes(r[1])) for r in windows))

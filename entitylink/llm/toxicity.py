@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entitylink.llm.sampling import first_by_hash
 from entitylink.llm.text import NOT_LETTER, hashes_of, shingle_hashes, slices, text_column, word_bounds, word_hashes
 from entitylink.session import materialize
 
@@ -224,7 +225,7 @@ def trained(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMP
     holds, the first by md5 of doc_id. Rows with a null id or label teach nothing."""
     own = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = own.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+    own = first_by_hash(materialize(own, "labels"), F.col("doc_id"), limit)
     sample = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")  # at most ``limit`` rows
     sample = materialize(sample, "labelled")
     words = lexicon(found_insults(sample))
