@@ -20,8 +20,10 @@ from entitylink.session import materialize
 
 BANDS = 32
 PER_BAND = 2
-# Ids up to this many are broadcast (8 bytes each); beyond that the join shuffles.
+# Ids up to this many are broadcast (40 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
+# What makes two texts one class: two sums over the distinct shingle hashes, and their number.
+CONTENT = ["h1", "h2", "n_shingles"]
 
 _U = np.uint64
 _rng = np.random.default_rng(7)
@@ -37,6 +39,16 @@ def _distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows) if rows else values, np.concatenate(([0], np.cumsum([len(r) for r in rows])))
 
 
+def _content(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """h1 and h2 of each row of distinct values; 0 for an empty one."""
+    full = np.flatnonzero(np.diff(bounds))
+    h1, h2 = np.zeros(len(bounds) - 1, np.uint64), np.zeros(len(bounds) - 1, np.uint64)
+    if len(full):
+        h1[full] = np.add.reduceat(values, bounds[full])
+        h2[full] = np.add.reduceat(mix(values + _U(1)), bounds[full])
+    return h1, h2
+
+
 def band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A row of band keys for each (non-empty) run of shingle hashes."""
     keys = np.empty((len(starts), BANDS), np.uint64)
@@ -58,12 +70,8 @@ def _sign(batches):
             values, bounds = _distinct(values, bounds)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
-            h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            keys = np.zeros((0, BANDS), np.uint64)
-            if len(full):
-                h1[full] = np.add.reduceat(values, bounds[full])
-                h2[full] = np.add.reduceat(mix(values + _U(1)), bounds[full])
-                keys = band_keys(values, bounds[full])
+            h1, h2 = _content(values, bounds)
+            keys = band_keys(values, bounds[full]) if len(full) else np.zeros((0, BANDS), np.uint64)
             at = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))
             columns = [ids.slice(i, len(n)), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands]
@@ -71,65 +79,68 @@ def _sign(batches):
 
 
 def _sets(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     for batch in batches:
         ids = batch.column(0)
         for i, values, bounds in row_shingles(text_column(batch)):
             values, bounds = _distinct(values, bounds)
+            h1, h2 = _content(values, bounds)
             rows = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, len(rows)), rows], schema=schema)
+            columns = [ids.slice(i, len(rows)), pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), rows]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the full sets of the named documents, written.
+    """(node, shingles): the full set of each class in ``ids`` (node, doc_id, h1, h2,
+    n_shingles), one row each however often its text stands in ``docs``, written.
 
     ``ids`` is broadcast only if it has at most ``BROADCAST_IDS`` rows, else joined.
     """
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_sets, "doc_id long, shingles array<long>")
-    return materialize(sets.dropDuplicates(["doc_id"]) if not small else sets, "sets")
+    hint = F.broadcast if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda ids: ids
+    wanted = docs.join(hint(ids.select("doc_id")), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(_sets, "doc_id long, n_shingles long, h1 long, h2 long, shingles array<long>")
+    sets = sets.dropDuplicates(["doc_id", *CONTENT])
+    return materialize(sets.join(hint(ids), ["doc_id", *CONTENT]).select("node", "shingles"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     o = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * o >= percent * (F.size("sa") + F.size("sb") - o)
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
 def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc_id, component) of the rows of buckets that hold several components."""
-    node = found.withColumnRenamed("node", "doc_id")
-    placed = buckets.join(node, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = materialize(placed.select("key", "doc_id", "component"), "placed")
+    """(key, node, component) of the rows of buckets that hold several components."""
+    placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed.select("key", "node", "component"), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return materialize(placed.join(materialize(split.select("key"), "split"), "key", "left_semi"), "open")
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components among ``rows`` (doc_id, component, n) that may be linked.
+    """Pairs of different components among ``rows`` (node, component, n) that may be linked.
 
-    Shingles are ordered by how many of these documents hold them. Linked sets share
+    Shingles are ordered by how many of these classes hold them. Linked sets share
     at least ``least`` = ceil(percent * (n + n_b) / (100 + percent)) shingles, so the first
     one they share has that many from it on in either order: its ranks are at most
-    n - least + 1 and n_b - least + 1. Only such shingles pair documents; no link is lost.
+    n - least + 1 and n_b - least + 1. Only such shingles pair classes; no link is lost.
     """
-    each = rows.join(sets, "doc_id").select("doc_id", "component", "n", F.explode("shingles").alias("s"))
+    each = rows.join(sets, "node").select("node", "component", "n", F.explode("shingles").alias("s"))
     spread = materialize(each.groupBy("s").agg(F.count("*").alias("df")), "spread")
-    order = Window.partitionBy("doc_id").orderBy("df", "s")
+    order = Window.partitionBy("node").orderBy("df", "s")
     each = each.join(spread, "s").withColumn("rank", F.row_number().over(order))
     need = F.expr(f"n - (({percent} * n + 99) div 100) + 1")  # at most: a partner of percent * n shingles
-    each = each.where((F.col("rank") <= need) & (F.col("df") > 1)).select("doc_id", "component", "n", "s", "rank")
+    each = each.where((F.col("rank") <= need) & (F.col("df") > 1)).select("node", "component", "n", "s", "rank")
     each = materialize(each, "rare")
-    other = each.select(*[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "rank")], "s")
+    other = each.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "rank")], "s")
     least = F.expr(f"({percent} * (n + n_b) + {99 + percent}) div {100 + percent}")
     fits = (F.col("rank") <= F.col("n") - least + 1) & (F.col("rank_b") <= F.col("n_b") - least + 1)
-    fits &= (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
+    fits &= (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
     pairs = each.join(other, "s").where(fits)
-    return pairs.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -138,7 +149,9 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     Documents are linked where 100 * intersection >= percent * union of their 5-word
     shingle sets; ``component_id`` is the smallest doc_id reachable.
 
-    Equal sets fold into one class first, so copies cost a row each and no pair. In
+    Equal sets fold into one class first, so copies cost a row each and no pair, be
+    they rows of one doc_id or of many. A class has a number of its own: a doc_id that
+    stands with several texts is in several classes. In
     every band bucket all classes are compared with the smallest one on full sets;
     where a bucket then still holds several components, pairs between those are
     found by their rarest shingles and compared as well. No bucket is capped.
@@ -149,32 +162,32 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign, SIGNED), "signed")
-    same = ["h1", "h2", "n_shingles"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-    rows = classes.select("doc_id", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    classes = usable.groupBy(*CONTENT).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
     leaders = materialize(leaders.select("key", "leader"), "leaders")
     buckets = materialize(rows.join(leaders, "key"), "buckets")
-    pairs = buckets.where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shingle_sets(docs, materialize(ids, "ids"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = shingle_sets(docs, materialize(classes.drop("bands").join(nodes, "node", "left_semi"), "ids"))
     links = materialize(confirmed(pairs, sets, percent), "links")
     found = components(links)
 
-    open_ = _placed(buckets, found).select("doc_id", "component").distinct()
-    open_ = materialize(open_.join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "rest")
+    open_ = _placed(buckets, found).select("node", "component").distinct()
+    open_ = materialize(open_.join(classes.select("node", F.col("n_shingles").alias("n")), "node"), "rest")
     more = materialize(_open_pairs(open_, sets, percent), "more")
     extra = materialize(confirmed(more, sets, percent), "extra")
     if not extra.isEmpty():
         found = components(links.unionByName(extra))
 
-    of_class = classes.select(*same, F.col("doc_id").alias("node")).join(found, "node", "left")
-    of_class = of_class.select(*same, F.coalesce("component", "node").alias("component"))
-    of_class = materialize(of_class, "of-class")
-    out = signed.drop("bands").join(of_class, same, "left")
+    of_class = classes.drop("bands").join(found, "node", "left")
+    of_class = materialize(of_class.select(*CONTENT, "doc_id", F.coalesce("component", "node").alias("root")), "placed-classes")
+    least = materialize(of_class.groupBy("root").agg(F.min("doc_id").alias("component")), "least")
+    of_class = materialize(of_class.join(least, "root").select(*CONTENT, "component"), "of-class")
+    out = signed.drop("bands").join(of_class, CONTENT, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

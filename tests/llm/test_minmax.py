@@ -76,6 +76,39 @@ def test_links_that_only_rare_shingles_find(spark):
     assert got == {i: g for i, (_, g) in groups(rows).items()}
 
 
+def test_repeated_rows_do_not_hide_links(spark, monkeypatch):
+    """Two linked texts that stand three times each and meet no bucket without a smaller
+    text that is linked with neither, on both sides of the broadcast bound."""
+    rng = random.Random(8)
+    parts = [" ".join(f"p{b}w{k}" for k in range(30)) for b in range(20)]
+    rows = [(i, " ".join(parts[b] for b in sorted(rng.sample(range(20), 14)))) for i in range(150)]
+    rows += [(1000 + t, " ".join(parts) + "".join(f" t{t}w{k}" for k in range(80))) for t in range(2)] * 3
+    want = {i: g for i, (_, g) in groups(rows).items()}
+    assert want[1001] == 1000
+    for bound in (minmax.BROADCAST_IDS, 1):
+        monkeypatch.setattr(minmax, "BROADCAST_IDS", bound)
+        got = minmax.near_groups(documents(spark, rows)).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_one_id_with_several_texts(spark):
+    """Texts under one doc_id are classes of their own; none hides the links of another."""
+    rng = random.Random(9)
+    chains = []
+    for c in range(2):
+        words, chain = [f"c{c}w{k}" for k in range(80)], []
+        for k in range(20):
+            words = words[:]
+            words[rng.randrange(80)] = f"c{c}n{k}"
+            chain.append(" ".join(words))
+        chains.append(chain)
+    rows = [(1000 - k, chains[0][k]) for k in range(20)] + [(1000 - k if k % 2 else 500 - k, chains[1][k]) for k in range(20)]
+    own = [groups(rows[:20]), groups(rows[20:])]
+    got = minmax.near_groups(documents(spark, rows)).collect()
+    want = sorted((i, g[i][1]) for part, g in zip((rows[:20], rows[20:]), own) for i, _ in part)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == want
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert minmax.near_groups(empty).count() == 0 and minmax.deduplicated(empty).count() == 0
