@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A tag ends at a ">" outside quotes; where quotes do not close soon, at the next ">". No
-# part scans past a "<" outside quotes, so the time is linear on broken pages too.
-_PIECE = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^\s/<>]*(?:"[^"]{0,4000}"|'[^']{0,4000}'|[^'"<>])*>|</?[a-zA-Z][^<>]*>|[^<]+|<""", re.S
-)
+# What is not a tag with quotes; a tag whose quotes do not close ends at the next ">".
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^<>]*>|[^<]+|<", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^\s/<>]*")
+_STOP = re.compile(r"""["'<>]""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_OTHER = re.compile(r"""(?<![^\s"'<>/=])(?!(?:class|id|role|style)[\s=])[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*')""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>=/])|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 # Elements whose text is never shown as text; their content is not parsed.
@@ -53,12 +53,35 @@ _PRIOR_WORD, _PRIOR_TAG = (4.0, 1.0), (1.0, 1.5)
 LEAST_TAG = -0.02
 
 
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """End of the tag at ``at``, at the first ">" outside quotes of any length; -1 if there
+    is no tag, or a "<" or the end of the page comes before that.
+
+    ``dead``: opening quotes of this page from which no tag ends. Each is followed once,
+    so the time is linear on broken pages too.
+    """
+    m = _TAG.match(html, at)
+    if not m:
+        return -1
+    opened = []
+    stop = _STOP.search(html, m.end())
+    while stop and stop[0] not in "<>" and stop.start() not in dead:
+        opened.append(stop.start())
+        close = html.find(stop[0], stop.end())
+        stop = _STOP.search(html, close + 1) if close >= 0 else None
+    if stop and stop[0] == ">":
+        return stop.end()
+    dead.update(opened)
+    return -1
+
+
 def _is_apart(tag: str, name: str, inside_article: bool) -> bool:
     """Whether an opening tag starts something that is not the article."""
     if name in _NEVER_APART:
         return False
     if name in APART:
         return not (name == "header" and inside_article)
+    tag = _OTHER.sub(" ", tag)  # what values of other attributes hold marks nothing
     if _HIDDEN.search(tag):
         return True
     for found in _MARKS.finditer(tag):
@@ -80,9 +103,12 @@ def pieces(html: str) -> list[tuple[str, str | None, bool, bool]]:
     at, size = 0, len(html)
     apart, depth = None, 0  # the element that stands apart, and how often it is open
     block, link, article = "body", 0, 0
+    dead: set[int] = set()
     while at < size:
-        m = _PIECE.match(html, at)
-        piece, at = m[0], m.end()
+        end = _tag_end(html, at, dead)
+        if end < 0:
+            end = _PIECE.match(html, at).end()
+        piece, at = html[at:end], end
         if piece[0] != "<" or piece == "<":
             if not piece.isspace():
                 kind = "w:apart" if apart else "w:a" if link else f"w:{block}"

@@ -75,3 +75,24 @@ def test_broken_pages_take_linear_time(spark):
         html.main_text(page, w)
     assert time.monotonic() - began < 20
     assert html.main_text(f'<p data-x="{"y" * 100_000}">kept</p>', w) == "kept"
+
+
+def test_quoted_values_of_any_length(spark):
+    w = weights(spark)
+    value = '<p>not text</p> > <div class=ad id="menu"> hidden ' * 200
+    assert html.main_text(f"<p data-x='{value}'>kept</p>", w) == "kept"
+    value = value.replace('"', "'")
+    assert html.main_text(f'<p data-x="{value}">kept</p><p data-y="{value}" class="ad">not</p><p>too</p>', w) == "kept too"
+    assert [r[0] for r in html.pieces(f'<p data-x="{value}" class="text">')] == ["t:p"]
+    assert html.counted(f'<article><p srcdoc="{value}">one two</p></article>') == html.counted("<article><p>one two</p></article>")
+
+
+def test_unclosed_quotes_take_linear_time(spark):
+    import time
+
+    began = time.monotonic()
+    for unit in ('<a" "', "<a \"'", "<a '\" ", '<a b="c', "<a b='\"", '<a x="" "', "<a '' y"):
+        for page in (unit * 100_000, unit * 100_000 + ">"):
+            html.pieces(page)
+    html.pieces("<p " + "y " * 500_000 + "y" * 500_000 + ">")
+    assert time.monotonic() - began < 30
