@@ -47,6 +47,14 @@ _NEVER_APART = frozenset("html body".split())
 _ARTICLE = frozenset("article main".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption article main section div body".split())
 
+# Tag names of HTML, obsolete ones included: their counts are always collected.
+HTML_TAGS = RAW | VOID | INLINE | APART | _NEVER_APART | _ARTICLE | _BLOCKS | frozenset(
+    "address applet audio basefont bgsound canvas caption center col colgroup datalist details dir dl fieldset frame frameset head hgroup image isindex"
+    " keygen legend listing marquee menuitem meter nobr noembed noframes ol optgroup option output param picture plaintext progress rb rtc search"
+    " selectedcontent slot spacer summary table tbody tfoot thead tr ul video xmp".split()
+)
+_FIXED = sorted({f"t:{end}{t}" for t in HTML_TAGS for end in ("", "/")})
+
 # Counts (inside, outside) added to what is seen, so that unseen kinds have a weight.
 _PRIOR = {"w:a": (1.0, 4.0), "w:body": (2.0, 1.0), "w:div": (3.0, 1.0), "w:li": (2.0, 1.0)}
 _PRIOR_WORD, _PRIOR_TAG = (4.0, 1.0), (1.0, 1.5)
@@ -208,9 +216,10 @@ def main_text(html: str, weights: dict[str, float]) -> str:
 
 
 def trained(pages: DataFrame) -> dict[str, float]:
-    """Weights from all ``pages`` (html) that mark their article. Kinds are tag names, so
-    rare invented ones could be many: those seen on fewer than 1 page in 10,000 keep
-    the weight of an unseen tag, which bounds what is collected."""
+    """Weights from all ``pages`` (html) that mark their article. Kinds are tag names;
+    those of HTML are counted in full. Rare invented ones could be many: those seen on
+    fewer than 1 page in 10,000 keep the weight of an unseen tag, which bounds what is
+    collected."""
     schema = pa.schema([("kind", pa.string()), ("inside", pa.bool_()), ("n", pa.int64()), ("pages", pa.int64())])
 
     def run(batches):
@@ -233,7 +242,8 @@ def trained(pages: DataFrame) -> dict[str, float]:
     counts = pages.select("html").mapInArrow(run, "kind string, inside boolean, n long, pages long")
     counts = counts.groupBy("kind", "inside").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
     shown = counts.where("kind = 'pages'").select(F.col("n").alias("all_pages"))
-    common = counts.where("kind <> 'pages'").join(F.broadcast(shown)).where("pages * 10000 >= all_pages").select("kind", "inside", "n")
+    kept = F.expr("pages * 10000 >= all_pages") | ~F.col("kind").startswith("t:") | F.col("kind").isin(_FIXED)
+    common = counts.where("kind <> 'pages'").join(F.broadcast(shown)).where(kept).select("kind", "inside", "n")
     return weights_of({(r["kind"], r["inside"]): r["n"] for r in common.collect()})
 
 

@@ -96,3 +96,12 @@ def test_unclosed_quotes_take_linear_time(spark):
             html.pieces(page)
     html.pieces("<p " + "y " * 500_000 + "y" * 500_000 + ">")
     assert time.monotonic() - began < 30
+
+
+def test_rare_tags_of_html_are_counted(spark):
+    """One page in 10,001 uses them: HTML's own tags have their counted weight, an
+    invented one that of an unseen tag."""
+    rare = "<article>" + "<dl><dt>a</dt><dd>b</dd></dl><x-own>c</x-own>" * 50 + "</article><ruby>d</ruby>"
+    plain = spark.range(10_000).selectExpr("id as page_id", "'u' as url", "'<article><p>one</p></article><p>two</p>' as html")
+    w = html.trained(plain.unionByName(spark.createDataFrame([(-1, "u", rare)], plain.schema)))
+    assert {"t:dl", "t:/dl", "t:dd", "t:ruby", "w:dd"} <= set(w) and "t:x-own" not in w
