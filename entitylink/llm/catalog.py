@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["minmax", "brown", "secrets", "html", "toxicity", "tokens", "shards", "sketch", "balltree", "packing", "divergence", "importance"]
+MODULES = ["minmax", "brown", "secrets", "html", "toxicity", "tokens", "shards", "sketch", "balltree", "packing", "languages", "divergence", "importance"]
 
 
 def query(name: str, sql: str | None = None):
