@@ -23,6 +23,8 @@ BANDS = 32
 PER_BAND = 2
 # Ids up to this many are broadcast (40 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
+# Shingles whose sets are compared inside one task (8 bytes each).
+TILE = 1 << 19
 # What makes two texts one class: two sums over the distinct shingle hashes, and their number.
 CONTENT = ["h1", "h2", "n_shingles"]
 
@@ -121,30 +123,115 @@ def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(placed.join(materialize(split.select("key"), "split"), "key", "left_semi"), "open")
 
 
-def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components among ``rows`` (node, component, n) that may be linked.
+def linked_forest(component: np.ndarray, n: np.ndarray, shingles: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of these sets as all their links would: a spanning
+    forest, so fewer than there are sets.
 
-    Shingles are ordered by how many of these classes hold them. Linked sets share
-    at least ``least`` = ceil(percent * (n + n_b) / (100 + percent)) shingles, so the first
-    one they share has that many from it on in either order: its ranks are at most
-    n - least + 1 and n_b - least + 1. Only such shingles pair classes; no link is lost.
+    ``shingles`` holds the sets one after the other, ``n`` their sizes. With ``side``, only
+    sets of different sides are compared. Shingles are ordered by how many sets hold them;
+    linked sets share at least ``least`` of them, so the first one they share has ranks of at
+    most n - least in either. Sets that are already joined are not compared.
+    """
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    _, ids, df = np.unique(shingles, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((ids, df[ids], owner))
+    ids, rank = ids[order], np.arange(len(ids)) - bounds[owner]
+    near = np.flatnonzero((rank <= (n - (percent * n + 99) // 100)[owner]) & (df[ids] > 1))
+    # of each shingle, the sets that hold it near their front, in order
+    near = near[np.argsort(ids[near], kind="stable")]
+    holder, place = owner[near], rank[near]
+    start = np.searchsorted(ids[near], ids[near])
+    by_set = np.argsort(holder, kind="stable")
+    entries = np.searchsorted(holder[by_set], np.arange(len(n) + 1))
+    root = np.unique(component, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    held = np.zeros(len(df), bool)
+
+    def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        size = last - first
+        return np.repeat(last - np.cumsum(size), size) + np.arange(int(size.sum()))
+
+    for b in range(len(n)):
+        own = by_set[entries[b] : entries[b + 1]]
+        hits = spans(start[own], own)
+        if not len(hits):
+            continue
+        other = holder[hits]
+        least = (percent * (n[other] + n[b]) + 99 + percent) // (100 + percent)
+        fits = (place[hits] <= n[other] - least) & (np.repeat(place[own], own - start[own]) <= n[b] - least) & (root[other] != root[b])
+        if side is not None:
+            fits &= side[other] != side[b]
+        other = np.unique(other[fits])
+        if not len(other):
+            continue
+        mine = ids[bounds[b] : bounds[b + 1]]
+        held[mine] = True
+        step = 16
+        while len(other):
+            now, other, step = other[:step], other[step:], 2 * step
+            shared = np.add.reduceat(held[ids[spans(bounds[now], bounds[now + 1])]], np.cumsum(n[now]) - n[now], dtype=np.int64)
+            for a in now[100 * shared >= percent * (n[now] + n[b] - shared)]:
+                if root[a] != root[b]:
+                    links.append((int(a), b))
+                    root[root == root[a]] = root[b]
+            other = other[root[other] != root[b]]
+        held[mine] = False
+    return links
+
+
+def _tile_links(rows: pa.Table, percent: int) -> pa.Table:
+    rows = rows.combine_chunks()
+    node, sets = rows["node"].to_numpy(), rows["shingles"].combine_chunks()
+    n = np.diff(np.asarray(sets.offsets)).astype(np.int64)
+    own = rows["own"].to_numpy()
+    side = own if rows["ta"][0].as_py() != rows["tb"][0].as_py() else None
+    links = linked_forest(rows["component"].to_numpy(), n, sets.flatten().to_numpy().view(np.uint64), percent, side)
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]})
+
+
+def _families(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, family) of those ``rows`` (node, component, n) that may be linked to one of another
+    component: classes that share a shingle near their front are of one family.
+
+    Shingles are ordered by how many of these classes hold them. Linked sets share at least
+    ``percent`` * n of them, so the first one they share is among the n - percent * n + 1
+    rarest of either. A shingle hangs its classes on the smallest one: no pair is made.
     """
     each = rows.join(sets, "node").select("node", "component", "n", F.explode("shingles").alias("s"))
-    spread = materialize(each.groupBy("s").agg(F.count("*").alias("df")), "spread")
-    order = Window.partitionBy("node").orderBy("df", "s")
-    each = each.join(spread, "s").withColumn("rank", F.row_number().over(order))
-    need = F.expr(f"n - (({percent} * n + 99) div 100) + 1")  # at most: a partner of percent * n shingles
-    each = each.where((F.col("rank") <= need) & (F.col("df") > 1)).select("node", "component", "n", "s", "rank")
-    each = materialize(each, "rare")
-    other = each.select(*[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "rank")], "s")
-    least = F.expr(f"({percent} * (n + n_b) + {99 + percent}) div {100 + percent}")
-    fits = (F.col("rank") <= F.col("n") - least + 1) & (F.col("rank_b") <= F.col("n_b") - least + 1)
-    fits &= (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
-    pairs = each.join(other, "s").where(fits)
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
+    spread = materialize(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "spread")
+    counted = each.join(spread, "s", "left")
+    order = Window.partitionBy("node").orderBy("df", "s")  # those of one class alone (null) come first
+    counted = counted.withColumn("rank", F.row_number().over(order))
+    need = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+    near = materialize(counted.where((F.col("rank") <= need) & F.col("df").isNotNull()).select("node", "component", "s"), "rare")
+    lead = near.groupBy("s").agg(F.min("node").alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    lead = materialize(lead.where("lo < hi").select("s", "lead"), "lead")
+    hooks = materialize(near.join(lead, "s").where("node != lead").select("lead", "node").distinct(), "hooks")
+    return components(hooks, "lead", "node", "families").select("node", F.col("component").alias("family"))
+
+
+def _open_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) between different components among ``rows`` (node, component, n), as many
+    as it takes to join all that are linked, and fewer than there are rows in the tiles.
+
+    Families of up to ``tile`` shingles are dealt to tasks by hash, many together. A larger
+    one is cut into parts of about ``tile`` shingles; each pair of parts is a task.
+    """
+    families = materialize(rows.join(_families(rows, sets, percent), "node"), "family-rows")
+    sizes = materialize(families.groupBy("family").agg(F.sum("n").alias("size")), "family-sizes")
+    total = sizes.where(F.col("size") <= tile).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = F.ceil(F.col("size") / tile).cast("int")
+    keyed = families.join(sizes, "family").withColumns({"parts": parts, "own": F.pmod(F.xxhash64("node"), parts).cast("int")})
+    bin_ = F.when(F.col("parts") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(2 * total // tile + 1)))
+    keyed = keyed.select(bin_.alias("bin"), "own", "node", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t"))
+    keyed = keyed.select("bin", F.least("own", "t").alias("ta"), F.greatest("own", "t").alias("tb"), "own", "node", "component")
+    tiles = keyed.join(sets, "node").groupBy("bin", "ta", "tb")
+    return tiles.applyInArrow(lambda rows: _tile_links(rows, percent), "a long, b long")
+
+
+def near_groups(docs: DataFrame, percent: int = 75, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * intersection >= percent * union of their 5-word
@@ -153,9 +240,11 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     Equal sets fold into one class first, so copies cost a row each and no pair, be
     they rows of one doc_id or of many. A class has a number of its own: a doc_id that
     stands with several texts is in several classes. In
-    every band bucket all classes are compared with the smallest one on full sets;
-    where a bucket then still holds several components, pairs between those are
-    found by their rarest shingles and compared as well. No bucket is capped.
+    every band bucket all classes are compared on full sets with the one that has most
+    companions over all its buckets. Classes of buckets that then still hold several
+    components fall into families by their rarest shingles; inside families the sets are
+    compared in tiles of about ``tile`` shingles, and a tile hands on a spanning forest of
+    its links. No bucket is capped and no step lists the pairs of a group.
 
     Null or blank text has an empty set and is linked with nothing. A row without
     doc_id is linked with nothing: component_id null, kept. Repeated rows are equal
@@ -167,10 +256,15 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = usable.groupBy(*CONTENT).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = classes.select("node", F.explode("bands").alias("key"))
-    leaders = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    leaders = materialize(leaders.select("key", "leader"), "leaders")
-    buckets = materialize(rows.join(leaders, "key"), "buckets")
-    pairs = buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    buckets = materialize(rows.join(shared, "key"), "buckets")
+    weight = materialize(buckets.groupBy("node").agg(F.sum("members").alias("weight")), "weight")
+    lead = F.max(F.struct("weight", F.negative("node").alias("node")))
+    leaders = buckets.join(weight, "node").groupBy("key").agg(lead.alias("lead"))
+    leaders = materialize(leaders.select("key", F.negative("lead.node").alias("leader")), "leaders")
+    buckets = buckets.select("key", "node")
+    pairs = buckets.join(leaders, "key").where("node != leader")
+    pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = shingle_sets(docs, materialize(classes.drop("bands").join(nodes, "node", "left_semi"), "ids"))
@@ -179,9 +273,8 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     open_ = _placed(buckets, found).select("node", "component").distinct()
     open_ = materialize(open_.join(classes.select("node", F.col("n_shingles").alias("n")), "node"), "rest")
-    more = materialize(_open_pairs(open_, sets, percent), "more")
-    extra = materialize(confirmed(more, sets, percent), "extra")
-    if not extra.isEmpty():
+    if not open_.isEmpty():
+        extra = materialize(_open_links(open_, sets, percent, tile), "extra")
         found = components(links.unionByName(extra))
 
     of_class = classes.drop("bands").join(found, "node", "left")

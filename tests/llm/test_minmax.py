@@ -112,3 +112,57 @@ def test_one_id_with_several_texts(spark):
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert minmax.near_groups(empty).count() == 0 and minmax.deduplicated(empty).count() == 0
+
+
+def variants(seed, count, edits):
+    """Texts of 60 words with some of them exchanged; ``edits`` at least and at most."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(count):
+        own = base[:]
+        for k in rng.sample(range(60), rng.randint(*edits)):
+            own[k] = f"v{rng.randrange(10**9)}"
+        rows.append((10_000 - i, " ".join(own)))
+    return rows
+
+
+def test_forest_joins_what_all_links_join():
+    rng = np.random.default_rng(4)
+    for seed, count, edits in ((1, 300, (1, 3)), (2, 120, (2, 2)), (3, 60, (0, 1))):
+        texts = variants(seed, count, edits)
+        number = {}
+        sets = [np.array(sorted(number.setdefault(x, len(number)) for x in shingles(t)), np.uint64) for _, t in texts]
+        n, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+        for side in (None, rng.integers(0, 2, count)):
+            links = minmax.linked_forest(np.arange(count), n, flat, 75, side)
+            least = list(range(count))
+
+            def root(x):
+                while least[x] != x:
+                    x = least[x]
+                return x
+
+            def joined(pairs):
+                least[:] = range(count)
+                for a, b in pairs:
+                    x, y = sorted((root(a), root(b)))
+                    least[y] = x
+                return [root(k) for k in range(count)]
+
+            every = [(a, b) for a in range(count) for b in range(a) if side is None or side[a] != side[b]]
+            shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in every}
+            every = [p for p in every if 100 * shared[p] >= 75 * (n[p[0]] + n[p[1]] - shared[p])]
+            assert joined(links) == joined(every) and len(links) == count - len(set(joined(every)))
+            assert all((max(p), min(p)) in every for p in links)
+
+
+def test_large_families_of_near_copies(spark):
+    """Near copies that are mostly not linked to each other, with a passage all share, some
+    repeated; in one tile and in many."""
+    for count, edits, tile in ((300, (1, 3), minmax.TILE), (900, (1, 2), minmax.TILE), (300, (2, 3), 2000)):
+        rows = variants(count, count, edits) + [(i, f"{' '.join(f'p{k}' for k in range(40))} own{i} word{i}") for i in range(30)]
+        rows += rows[::7]
+        got = minmax.near_groups(documents(spark, rows), tile=tile).collect()
+        want = groups(rows)
+        assert len(got) == len(rows) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
