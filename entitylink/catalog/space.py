@@ -335,3 +335,107 @@ _polygon_query("within", "within")
 _polygon_query("contains", "contains")
 _polygon_query("overlaps", "common AND NOT within AND NOT contains")
 _polygon_query("touches", "intersects AND NOT common")
+
+
+# Parcels: customers as regions on a lattice, two and two on the same place, so that
+# neighbours share borders and corners. The shapes (lat, lon from the place),
+# the second ring a hole or an island; and the lines.
+PARCELS = [
+    [[(0, 0), (0, 2), (2, 2), (2, 0)]],
+    [[(0, 0), (0, 1), (2, 1), (2, 0)]],
+    [[(0, 0), (0, 3), (1, 3), (1, 1), (3, 1), (3, 0)]],
+    [[(1, 0), (2, 1), (1, 2), (0, 1)]],
+    [[(0, 0), (0, 3), (3, 3), (3, 0)], [(1, 1), (1, 2), (2, 2), (2, 1)]],
+    [[(0, 0), (0, 2), (2, 0)]],
+    [[(0, 0), (0, 1), (1, 1), (1, 0)], [(1, 1), (1, 2), (2, 2), (2, 1)]],
+]
+PATHS = [[(0, 0), (3, 3)], [(1, 0), (1, 2)], [(0, 0), (0, 2), (1, 2)], [(2, 0), (0, 2)], [(0, 1), (1, 1), (2, 2), (2, 0)]]
+
+
+def _points(shape, y, x):
+    return F.array(*[F.struct((y + p).cast("double").alias("lat"), (x + q).cast("double").alias("lon")) for p, q in shape])
+
+
+def _parcels(spark, sf):
+    c = table(spark, sf, "customer")
+    j = F.expr("c_custkey div 2")
+    y, x = j % 60, F.expr("c_custkey div 120")
+    kind, way = F.pmod("c_nationkey", F.lit(len(PARCELS))), F.pmod("c_nationkey", F.lit(len(PATHS)))
+    region = F.element_at(F.array(*[F.array(*[_points(r, y, x) for r in shape]) for shape in PARCELS[:1]]), 1)
+    for k, shape in enumerate(PARCELS):
+        region = F.when(kind == k, F.array(*[_points(r, y, x) for r in shape])).otherwise(region)
+    path = _points(PATHS[0], y, x)
+    for k, shape in enumerate(PATHS):
+        path = F.when(way == k, _points(shape, y, x)).otherwise(path)
+    return c.select(F.col("c_custkey").alias("id"), region.alias("rings"), path.alias("path"), (F.col("c_custkey") % 2 == 0).alias("s"))
+
+
+def _sides(spark, sf):
+    p = _parcels(spark, sf)
+    return p.where("s").select("id", "rings"), p.where("not s").select("id", "rings")
+
+
+def _values(shapes):
+    """(kind, part, py, px, qy, qx) of all edges of fixed rings, SQL."""
+    rows = [(k, *p, *q) for k, rings in enumerate(shapes) for r in rings for p, q in zip(r, r[1:] + r[:1])]
+    return ", ".join(str(r) for r in rows)
+
+
+# All borders run along the lattice or its diagonals, so quarter points of the lattice lie in
+# every face, edge and corner of whatever two shapes cut each other into: relations are
+# those of their sets of quarter points, 'in' or 'on' the border.
+SQL_PARCELS = f"""WITH edge(kind, py, px, qy, qx) AS (VALUES {_values(PARCELS)}),
+grid AS (SELECT a.i / 4::DOUBLE AS y, b.i / 4::DOUBLE AS x FROM range(13) a(i), range(13) b(i)),
+sample AS (SELECT kind, y, x,
+    bool_or((qx - px) * (y - py) = (qy - py) * (x - px) AND y BETWEEN least(py, qy) AND greatest(py, qy) AND x BETWEEN least(px, qx) AND greatest(px, qx)) AS on_,
+    count(*) FILTER ((py > y) <> (qy > y) AND x < (qx - px) * (y - py) / nullif(qy - py, 0) + px) % 2 = 1 AS in_
+  FROM edge, grid GROUP BY kind, y, x),
+parcel AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS s, c_nationkey % {len(PARCELS)} AS kind, c_nationkey % {len(PATHS)} AS way, (c_custkey // 2) % 60 AS oy, c_custkey // 120 AS ox FROM customer),
+pts AS (SELECT id, s, y + oy AS y, x + ox AS x, in_ AND NOT on_ AS inner_ FROM parcel JOIN sample USING (kind) WHERE in_ OR on_),
+size AS (SELECT id, count(*) FILTER (inner_) AS n FROM pts GROUP BY id),
+"""
+# A region lies within another if each of its inner points is there, inside or on the border.
+SQL_REGIONS = SQL_PARCELS + """meet AS (SELECT a.id AS source, b.id AS target, count(*) FILTER (a.inner_ AND b.inner_) AS both_,
+    count(*) FILTER (a.inner_ AND NOT b.inner_) AS a_on, count(*) FILTER (b.inner_ AND NOT a.inner_) AS b_on
+  FROM pts a JOIN pts b ON a.y = b.y AND a.x = b.x WHERE a.s AND NOT b.s GROUP BY a.id, b.id),
+rel AS (SELECT source, target, both_ > 0 AS common, both_ + a_on = m.n AND both_ > 0 AS within_, both_ + b_on = o.n AND both_ > 0 AS contains_
+  FROM meet JOIN size m ON m.id = source JOIN size o ON o.id = target)
+SELECT source, target, 1.0::DOUBLE AS sim FROM rel WHERE """
+
+
+def _region_query(relation: str, where: str):
+    @query(f"region_{relation}", SQL_REGIONS + where)
+    def run(spark, sf):
+        return gj.region_join(*_sides(spark, sf), "id", "rings", relation)
+
+
+_region_query("intersects", "true")
+_region_query("touches", "NOT common")
+_region_query("within", "within_")
+_region_query("contains", "contains_")
+_region_query("equals", "within_ AND contains_")
+_region_query("overlaps", "common AND NOT within_ AND NOT contains_")
+
+
+@query("region_disjoint_links", SQL_REGIONS.split("rel AS")[0].rstrip().rstrip(",") + """
+SELECT p.id AS source, q.id AS target FROM parcel p JOIN parcel q ON p.s AND NOT q.s AND q.oy = p.oy AND q.ox BETWEEN p.ox - 5 AND p.ox + 5
+ANTI JOIN meet ON source = p.id AND target = q.id""")
+def region_disjoint_links(spark, sf):
+    """Disjointness of given links: parcels of one row of the lattice, at most five columns apart."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 2 % 60").alias("y"), F.expr("c_custkey div 120").alias("x"))
+    s, t = c.where("id % 2 = 0").withColumn("x", F.explode(F.sequence(F.col("x") - 5, F.col("x") + 5))), c.where("id % 2 = 1")
+    links = s.withColumnRenamed("id", "source").join(t.withColumnRenamed("id", "target"), ["y", "x"]).select("source", "target")
+    return gj.relate_regions(links, *_sides(spark, sf), "id", "rings", "disjoint")
+
+
+_STEPS = ", ".join(str((k, p[0] + (q[0] - p[0]) * i / 12, p[1] + (q[1] - p[1]) * i / 12)) for k, w in enumerate(PATHS) for p, q in zip(w, w[1:]) for i in range(13))
+
+
+@query("region_line_crosses", SQL_PARCELS + f"""step AS (SELECT way, y::DOUBLE AS y, x::DOUBLE AS x FROM (VALUES {_STEPS}) v(way, y, x)),
+path AS (SELECT DISTINCT id, y + oy AS y, x + ox AS x FROM parcel JOIN step USING (way) WHERE NOT s AND (y * 4::DOUBLE) = floor(y * 4::DOUBLE) AND (x * 4::DOUBLE) = floor(x * 4::DOUBLE)),
+hit AS (SELECT path.id AS source, pts.id AS target, count(*) FILTER (inner_) AS inner_, count(*) AS n FROM path JOIN pts ON pts.s AND pts.y = path.y AND pts.x = path.x GROUP BY ALL)
+SELECT source, target, 1.0::DOUBLE AS sim FROM hit WHERE inner_ > 0 AND n < (SELECT count(*) FROM path WHERE path.id = source)""")
+def region_line_crosses(spark, sf):
+    """Paths of the odd customers against the parcels of the even ones."""
+    p = _parcels(spark, sf)
+    return gj.line_region_join(p.where("not s").select("id", F.col("path").alias("shape")), p.where("s").select("id", F.col("rings").alias("shape")), "id", "shape", "crosses")

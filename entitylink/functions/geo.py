@@ -262,75 +262,3 @@ def lines_cross(xs: Column, ys: Column) -> Column:
         F.struct(segments(xs).alias("x"), segments(ys).alias("y")),
         lambda b: F.exists(b.x, lambda s: F.exists(b.y, lambda t: cross(s, t))),
     )
-
-
-# Polygons: rings of points without a repeated last one; the ring closes itself.
-
-
-def _edges(ring: Column) -> Column:
-    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    return F.arrays_zip(ring.alias("p"), after.alias("q"))
-
-
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon))
-
-
-def _apart(s: Column, t: Column, axis: str) -> Column:
-    """Whether two segments share no value of one axis."""
-    lo, hi = F.least(s.p[axis], s.q[axis]), F.greatest(s.p[axis], s.q[axis])
-    return (F.greatest(t.p[axis], t.q[axis]) < lo) | (F.least(t.p[axis], t.q[axis]) > hi)
-
-
-def _meet(s: Column, t: Column) -> Column:
-    """Whether two segments share a point, ends included."""
-    across = (_turn(s.p, s.q, t.p) * _turn(s.p, s.q, t.q) <= 0) & (_turn(t.p, t.q, s.p) * _turn(t.p, t.q, s.q) <= 0)
-    return across & ~_apart(s, t, "lat") & ~_apart(s, t, "lon")
-
-
-def _pass(s: Column, t: Column) -> Column:
-    """Whether two segments cross at a point inside both."""
-    return (_turn(s.p, s.q, t.p) * _turn(s.p, s.q, t.q) < 0) & (_turn(t.p, t.q, s.p) * _turn(t.p, t.q, s.q) < 0)
-
-
-def inside(p: Column, edges: Column) -> Column:
-    """Whether an eastward ray from a point meets the ring an odd number of times."""
-
-    def hit(e: Column) -> Column:
-        at = (e.q.lon - e.p.lon) * (p.lat - e.p.lat) / F.nullif(e.q.lat - e.p.lat, F.lit(0.0)) + e.p.lon
-        return ((e.p.lat > p.lat) != (e.q.lat > p.lat)) & (p.lon < at)
-
-    return F.size(F.filter(edges, lambda e: F.coalesce(hit(e), F.lit(False)))) % 2 == 1
-
-
-def polygon_relation(relation: str, a: Column, b: Column) -> Column:
-    """Relations of two simple polygons. A corner on the other's border counts by the ray
-    rule of ``inside``."""
-    both = F.struct(a.alias("a"), b.alias("b"), _edges(a).alias("x"), _edges(b).alias("y"))
-    return once(both, lambda s: _POLYGON_RELATIONS[relation](s))
-
-
-def _any_edges(s: Column, test: Callable[[Column, Column], Column]) -> Column:
-    return F.exists(s.x, lambda e: F.exists(s.y, lambda f: test(e, f)))
-
-
-def _meets(s: Column) -> Column:
-    return _any_edges(s, _meet) | inside(F.get(s.a, F.lit(0)), s.y) | inside(F.get(s.b, F.lit(0)), s.x)
-
-
-def _holds(ring: Column, edges: Column, s: Column) -> Column:
-    return F.forall(ring, lambda p: inside(p, edges)) & ~_any_edges(s, _pass)
-
-
-def _common_inside(s: Column) -> Column:
-    return _any_edges(s, _pass) | F.exists(s.a, lambda p: inside(p, s.y)) | F.exists(s.b, lambda p: inside(p, s.x))
-
-
-_POLYGON_RELATIONS = {
-    "intersects": _meets,
-    "disjoint": lambda s: ~_meets(s),
-    "touches": lambda s: _meets(s) & ~_common_inside(s),
-    "within": lambda s: _holds(s.a, s.y, s),
-    "contains": lambda s: _holds(s.b, s.x, s),
-    "overlaps": lambda s: _common_inside(s) & ~_holds(s.a, s.y, s) & ~_holds(s.b, s.x, s),
-}

@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylink.functions import geo
+from entitylink.functions import geo, regions
 from entitylink.operators.editjoin import key_pairs
 from entitylink.operators.skew import attach, pair_join
 from entitylink.session import materialize
 
 
+# Side of the finest cells of the box grid, in degrees.
+FINEST = 2.0**-10
+
+
 def max_km(theta: float) -> float:
     """Largest distance with 1/(1 + d) >= theta."""
     return 1 / theta - 1
@@ -113,34 +117,54 @@ def shape_join(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, theta: flo
     return _scored(with_shapes(pairs, src, tgt, id_col, pts), measure(F.col("pts_s"), F.col("pts_t")), km)
 
 
-def box_pairs(src: DataFrame, tgt: DataFrame, id_col: str, box: str, degrees: float) -> DataFrame:
+def _levels(box: Column, finest: float) -> Column:
+    """Level of a box: the first one whose cells (``finest`` * 2**level degrees) are no smaller
+    than it."""
+    size = F.greatest(box.lat_hi - box.lat_lo, box.lon_hi - box.lon_lo)
+    return F.greatest(F.ceil(F.log2(size / finest)), F.lit(0)).cast("int")
+
+
+def box_pairs(src: DataFrame, tgt: DataFrame, id_col: str, box: str, finest: float = FINEST) -> DataFrame:
     """Pairs of meeting boxes with both boxes, each once.
 
-    A box is repeated into the grid cells it covers; a pair counts only in the cell of
-    the lower corner of its common part, so no deduplication is needed.
-    """
+    Grids of several levels: a box lives at the level of its own size, where it covers at
+    most four cells, and visits the coarser levels at which boxes live, at most four cells
+    each. So a box makes rows by the number of levels, whatever its extent, and small
+    boxes do not pile up in the cells of large ones. Two boxes are paired at the coarser of
+    their levels, in the cell of the lower corner of their common part alone.
 
-    def cells(df: DataFrame, name: str, suffix: str) -> DataFrame:
-        b = F.col(box)
-        span = lambda lo, hi: F.sequence(F.floor(lo / degrees), F.floor(hi / degrees))
-        rows = df.select(F.col(id_col).alias(name), b.alias(f"b_{suffix}"), F.explode(span(b.lat_lo, b.lat_hi)).alias("r"))
-        rows = rows.withColumn("c", F.explode(span(F.col(f"b_{suffix}.lon_lo"), F.col(f"b_{suffix}.lon_hi"))))
-        return rows.withColumn("key", F.concat_ws(":", F.col("r").cast("string"), F.col("c").cast("string")))
+    A box without extent or smaller than ``finest`` degrees lives at level 0; null boxes
+    meet nothing.
+    """
+    own = _levels(F.col(box), finest).alias("own")
+    sides = [df.select(F.col(id_col).alias(i), F.col(box).alias(b), own) for df, i, b in ((src, "source", "b_s"), (tgt, "target", "b_t"))]
+    lived = sides[0].select("own").unionByName(sides[1].select("own")).where("own is not null")
+    lived = lived.agg(F.collect_set("own")).scalar()
+
+    def cells(df: DataFrame, b: Column, side: str) -> DataFrame:
+        """Rows by cell; a pair meets under role "s" if the source lives at the level, else "t"."""
+        rows = df.withColumn("level", lived).withColumn("level", F.explode("level")).where("level >= own")
+        lives = F.col("level") == F.col("own")
+        # a source that lives here meets all targets; one that visits, those that live here
+        s, t = F.lit("s"), F.lit("t")
+        roles = F.when(lives, F.array(s)).otherwise(F.array(t)) if side == "s" else F.when(lives, F.array(s, t)).otherwise(F.array(s))
+        rows = rows.withColumn("role", F.explode(roles)).withColumn("cell", F.lit(finest) * F.pow(F.lit(2.0), F.col("level")))
+        span = lambda lo, hi: F.sequence(F.floor(lo / F.col("cell")), F.floor(hi / F.col("cell")))
+        rows = rows.withColumn("r", F.explode(span(b.lat_lo, b.lat_hi))).withColumn("c", F.explode(span(b.lon_lo, b.lon_hi)))
+        return rows.withColumn("key", F.concat_ws(":", "role", *[F.col(x).cast("string") for x in ("level", "r", "c")])).drop("own", "level", "role")
 
-    left, right = cells(src, "source", "s"), cells(tgt, "target", "t").drop("r", "c")
+    a, b = F.col("b_s"), F.col("b_t")
+    left, right = cells(sides[0], a, "s"), cells(sides[1], b, "t").drop("r", "c", "cell")
     counts = left.groupBy("key").agg(F.count("*").alias("n_s")).join(right.groupBy("key").agg(F.count("*").alias("n_t")), "key")
     counts = materialize(counts.withColumn("n", F.col("n_s") + F.col("n_t")), "cells")
     left = attach(left, counts, "key", "n", ["source"]).drop("n")
     right = attach(right, counts, "key", "n", ["target"]).drop("n")
-    a, b = F.col("b_s"), F.col("b_t")
-    home = (F.col("r") == F.floor(F.greatest(a.lat_lo, b.lat_lo) / degrees)) & (
-        F.col("c") == F.floor(F.greatest(a.lon_lo, b.lon_lo) / degrees)
-    )
+    home = (F.col("r") == F.floor(F.greatest(a.lat_lo, b.lat_lo) / F.col("cell"))) & (F.col("c") == F.floor(F.greatest(a.lon_lo, b.lon_lo) / F.col("cell")))
     pairs = pair_join(left, right, "key", "source", "target", "n_s", "n_t", home & geo.box_intersects(a, b))
     return pairs.select("source", "target", "b_s", "b_t")
 
 
-def topology_join(src: DataFrame, tgt: DataFrame, id_col: str, box: str, relation: str, degrees: float = 1.0) -> DataFrame:
+def topology_join(src: DataFrame, tgt: DataFrame, id_col: str, box: str, relation: str, finest: float = FINEST) -> DataFrame:
     """Pairs of boxes in a relation, sim 1.
 
     Every relation but ``disjoint`` needs the boxes to meet. Listing the disjoint pairs
@@ -148,13 +172,13 @@ def topology_join(src: DataFrame, tgt: DataFrame, id_col: str, box: str, relatio
     """
     if relation == "disjoint":
         raise ValueError("disjoint pairs are not listed; see disjoint_counts and relate")
-    pairs = box_pairs(src, tgt, id_col, box, degrees)
+    pairs = box_pairs(src, tgt, id_col, box, finest)
     return pairs.where(geo.BOX_RELATIONS[relation](F.col("b_s"), F.col("b_t"))).select("source", "target", F.lit(1.0).alias("sim"))
 
 
-def disjoint_counts(src: DataFrame, tgt: DataFrame, id_col: str, box: str, degrees: float = 1.0) -> DataFrame:
+def disjoint_counts(src: DataFrame, tgt: DataFrame, id_col: str, box: str, finest: float = FINEST) -> DataFrame:
     """(source, disjoint): all targets less the meeting ones."""
-    meeting = box_pairs(src, tgt, id_col, box, degrees).groupBy("source").agg(F.count("*").alias("n"))
+    meeting = box_pairs(src, tgt, id_col, box, finest).groupBy("source").agg(F.count("*").alias("n"))
     rows = src.select(F.col(id_col).alias("source")).join(meeting, "source", "left")
     return rows.select("source", (tgt.agg(F.count("*")).scalar() - F.coalesce("n", F.lit(0))).alias("disjoint"))
 
@@ -165,25 +189,53 @@ def relate(links: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, box: s
     return rows.where(geo.BOX_RELATIONS[relation](F.col("pts_s"), F.col("pts_t"))).select(*links.columns)
 
 
-def crossing_lines(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, degrees: float = 1.0) -> DataFrame:
+def crossing_lines(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, finest: float = FINEST) -> DataFrame:
     """Lines (point sequences) that cross, sim 1. Candidates: meeting bounding boxes."""
     boxed = [df.select(id_col, geo.bounding_box(F.col(pts)).alias("box")) for df in (src, tgt)]
-    pairs = box_pairs(*boxed, id_col, "box", degrees).select("source", "target")
+    pairs = box_pairs(*boxed, id_col, "box", finest).select("source", "target")
     rows = with_shapes(pairs, src, tgt, id_col, pts)
     return rows.where(geo.lines_cross(F.col("pts_s"), F.col("pts_t"))).select("source", "target", F.lit(1.0).alias("sim"))
 
 
-def polygon_join(src: DataFrame, tgt: DataFrame, id_col: str, ring: str, relation: str, degrees: float = 1.0) -> DataFrame:
-    """Pairs of polygons (rings of points) in a relation, sim 1. Candidates: meeting
-    bounding boxes. ``disjoint`` is for given pairs: see ``relate_polygons``."""
+def region_join(src: DataFrame, tgt: DataFrame, id_col: str, rings: str, relation: str, finest: float = FINEST) -> DataFrame:
+    """Pairs of regions (arrays of rings, holes and islands included) in an exact relation,
+    sim 1. Candidates: meeting bounding boxes. ``disjoint`` is for given pairs: see
+    ``relate_regions``."""
     if relation == "disjoint":
-        raise ValueError("disjoint pairs are not listed; see relate_polygons")
-    boxed = [df.select(id_col, geo.bounding_box(F.col(ring)).alias("box")) for df in (src, tgt)]
-    pairs = box_pairs(*boxed, id_col, "box", degrees).select("source", "target")
-    return relate_polygons(pairs, src, tgt, id_col, ring, relation).withColumn("sim", F.lit(1.0))
+        raise ValueError("disjoint pairs are not listed; see relate_regions")
+    return _region_links(src, tgt, id_col, rings, F.flatten(rings), regions.RELATIONS[relation], False, finest)
+
+
+def line_region_join(lines: DataFrame, areas: DataFrame, id_col: str, shape: str, relation: str = "crosses", finest: float = FINEST) -> DataFrame:
+    """Pairs of a line (array of points) and a region (array of rings), both in column
+    ``shape``, in a relation of ``regions.LINE_RELATIONS``, sim 1."""
+    if relation == "disjoint":
+        raise ValueError("disjoint pairs are not listed")
+    return _region_links(lines, areas, id_col, shape, F.col(shape), regions.LINE_RELATIONS[relation], True, finest)
+
+
+def _region_links(src: DataFrame, tgt: DataFrame, id_col: str, shape: str, points: Column, test: Callable, line: bool, finest: float) -> DataFrame:
+    boxed = src.select(id_col, geo.bounding_box(points).alias("box")), tgt.select(id_col, geo.bounding_box(F.flatten(shape)).alias("box"))
+    # relations cost far more than the bytes of a pair tell: keep as many tasks as shuffles have
+    tasks = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = box_pairs(*boxed, id_col, "box", finest).select("source", "target").repartition(tasks)
+    rows = regions.with_relation(with_shapes(pairs, src, tgt, id_col, shape), "pts_s", "pts_t", line)
+    return rows.where(test(F.col("mask"))).select("source", "target", F.lit(1.0).alias("sim"))
+
+
+def relate_regions(links: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, rings: str, relation: str) -> DataFrame:
+    """Keep the given links whose regions stand in a relation, ``disjoint`` included."""
+    rows = regions.with_relation(with_shapes(links, src, tgt, id_col, rings), "pts_s", "pts_t")
+    return rows.where(regions.RELATIONS[relation](F.col("mask"))).select(*links.columns)
+
+
+def polygon_join(src: DataFrame, tgt: DataFrame, id_col: str, ring: str, relation: str, finest: float = FINEST) -> DataFrame:
+    """``region_join`` of polygons given as one ring of points each."""
+    src, tgt = (df.select(id_col, F.array(ring).alias(ring)) for df in (src, tgt))
+    return region_join(src, tgt, id_col, ring, relation, finest)
 
 
 def relate_polygons(links: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, ring: str, relation: str) -> DataFrame:
-    """Keep the given links whose polygons stand in a relation, ``disjoint`` included."""
-    rows = with_shapes(links, src, tgt, id_col, ring)
-    return rows.where(geo.polygon_relation(relation, F.col("pts_s"), F.col("pts_t"))).select(*links.columns)
+    """``relate_regions`` of polygons given as one ring of points each."""
+    src, tgt = (df.select(id_col, F.array(ring).alias(ring)) for df in (src, tgt))
+    return relate_regions(links, src, tgt, id_col, ring, relation)
