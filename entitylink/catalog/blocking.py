@@ -8,6 +8,7 @@ from entitylink.catalog import query
 from entitylink.catalog.data import SQL_DOCUMENTS, documents
 from entitylink.operators import blocking as b
 from entitylink.plans import linker
+from entitylink.session import materialize
 
 THETA = 0.5
 KEEP_BLOCKS = 8
@@ -72,7 +73,7 @@ def block_purging_off(spark, sf):
 
 
 def _kept(spark, sf):
-    tokens = _tokens(spark, sf)
+    tokens = materialize(_tokens(spark, sf), "tokens")
     return b.purge(tokens, b.block_sizes(tokens))
 
 

@@ -32,8 +32,22 @@ def strip_literal(value: Column) -> Column:
 
 
 def token_blocking(tagged: DataFrame) -> DataFrame:
-    """Distinct tokens per entity, whichever of its values they come from."""
-    return tagged.select(F.explode(block_tokens(strip_literal(F.col("value")))).alias("token"), "dataset", "id").distinct()
+    """Distinct tokens per entity, whichever of its values they come from.
+
+    The tokens of one value are distinct already, so only entities with several rows are
+    made distinct; a count of the ids tells which these are.
+    """
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(block_tokens(strip_literal(F.col("value")))).alias("token"), "dataset", "id")
+
+    many = materialize(tagged.groupBy("dataset", "id").count().where("count > 1").select("dataset", "id"), "many-valued")
+    if many.isEmpty():
+        return tokens(tagged)
+    key = [F.col("dataset") == F.col("_dataset"), F.col("id").eqNullSafe(F.col("_id"))]
+    many = many.select(F.col("dataset").alias("_dataset"), F.col("id").alias("_id"))
+    once, more = (tagged.join(many, key, how) for how in ("left_anti", "left_semi"))
+    return tokens(once).unionByName(tokens(more).distinct())
 
 
 def block_sizes(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylink.operators.links import best_one_to_n, reverse
+from entitylink.session import materialize
 
 PAIR = ["source", "target"]
 
@@ -64,12 +65,17 @@ def prf_undirected(pred: DataFrame, gold: DataFrame) -> DataFrame:
 def pseudo_f(
     links: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, beta: float = 1.0, one_to_n: bool = False, symmetric: bool = True
 ) -> DataFrame:
-    """Quality without gold: how nearly one-to-one, and how much of both sides is linked."""
+    """Quality without gold: how nearly one-to-one, and how much of both sides is linked.
+    ``links`` is written once, so it is planned once."""
+    links = materialize(links.select(*PAIR, "sim"), "links")
     best = best_one_to_n(links) if one_to_n else links
     back = best_one_to_n(reverse(best)) if one_to_n else reverse(links)
-    sources = best.agg(F.countDistinct("source")).scalar()
-    targets = best.agg(F.countDistinct("target")).scalar()
-    linked = sources + back.agg(F.countDistinct("source")).scalar() if symmetric else sources
+    if one_to_n:
+        best, back = materialize(best, "best"), materialize(back, "back")
+    sides = best.agg(F.struct(F.countDistinct("source").alias("s"), F.countDistinct("target").alias("t"))).scalar()
+    sources, targets = sides.s, sides.t
+    # the sources of the reversed links are the targets
+    linked = sources + (back.agg(F.countDistinct("source")).scalar() if one_to_n else targets) if symmetric else sources
     entities = src.agg(F.countDistinct(id_col)).scalar() + tgt.agg(F.countDistinct(id_col)).scalar()
     q = F.count("*") * (2 if symmetric else 1)
     out = links.agg(q.alias("q")).select(_ratio(linked, F.col("q")).alias("precision"), _ratio(sources + targets, entities).alias("recall"))

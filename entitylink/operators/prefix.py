@@ -58,35 +58,40 @@ def ordered_elements(
 
     ``need(n)``: least overlap of a value of size n with any partner. Columns: source,
     target, n (all elements), hidden (elements only one side has; they come first in
-    the order and never join), last (rank of the last prefix element), arr, prefix. ``by='entities'`` orders by block size and
-    then ``limit`` (one row: optimal) turns larger blocks, and single-entity ones, off.
+    the order and never join), last (number of the last prefix element), arr (numbers of the
+    elements in the order), prefix. ``by='entities'`` orders by block size and then ``limit``
+    (one row: optimal) turns larger blocks off.
     ``stats``: ``element_stats(values)`` where it is already written.
     """
     stats = materialize(element_stats(values), "elements") if stats is None else stats
     # decimal: a product of two counts can pass 64 bits
     product = F.col("df_s").cast("decimal(19,0)") * F.col("df_t").cast("decimal(19,0)")
     rank = product.cast("decimal(38,0)") if by == "pairs" else F.col("entities")
-    on = F.lit(True) if limit is None else (F.col("entities") > 1) & (F.col("entities") <= limit.scalar())
-    stats = stats.withColumn("rank", rank).withColumn("on", on).drop("entities")
+    # Shareable elements get a number in the global order: a range sort, then numbers that
+    # rise from partition to partition. Rows carry the number in place of the element.
+    shared = stats.where((F.col("df_s") > 0) & (F.col("df_t") > 0)).orderBy(rank, "elem")
+    shared = materialize(shared.select("elem", "df_s", "df_t", "df", "entities", F.monotonically_increasing_id().alias("no")), "numbered")
     rows = values.select(*IDS, F.size("elems").alias("n"), F.explode("elems").alias("elem"))
-    rows = attach(rows, stats, "elem", "df", IDS).where((F.col("df_s") > 0) & (F.col("df_t") > 0))
-    rows = rows.groupBy(*IDS, "n").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "elem", "df_s", "df_t", "on"))).alias("arr")
-    )
-    hidden = F.col("n") - F.size("arr")
-    rows = rows.withColumn("hidden", hidden)
+    rows = attach(rows, shared.drop("entities"), "elem", "df", IDS)
+    rows = rows.groupBy(*IDS, "n").agg(F.array_sort(F.collect_list(F.struct("no", "df_s", "df_t"))).alias("arr"))
+    rows = rows.withColumn("hidden", F.col("n") - F.size("arr"))
     least = F.greatest(need(F.col("n")), F.lit(1))
     length = F.col("n") - least + (extra(least) if limit is None else F.lit(1)) - F.col("hidden")
-    length = F.greatest(F.least(length, F.size(F.filter("arr", lambda e: e.on))), F.lit(0))
+    if limit is not None:
+        # by block size: what the limit turns off comes last, but for blocks of one entity, which nothing shares
+        off = shared.where(F.col("entities") > limit.scalar()).agg(F.min("no")).scalar()
+        rows = rows.withColumn("_off", off)
+        length = F.least(length, F.size(F.filter("arr", lambda e: F.col("_off").isNull() | (e.no < F.col("_off")))))
+    rows = rows.withColumn("length", F.greatest(F.least(length, F.size("arr")), F.lit(0)))
     rows = rows.select(
         *IDS,
         "n",
         "hidden",
-        F.get("arr", length - 1).rank.alias("last"),
-        F.transform("arr", lambda e: e.elem).alias("arr"),
+        F.get("arr", F.col("length") - 1).no.alias("last"),
+        F.transform("arr", lambda e: e.no).alias("arr"),
         F.transform(
-            F.slice("arr", F.lit(1), length),
-            lambda e: F.struct(e.elem.alias("elem"), e.df_s.alias("df_s"), e.df_t.alias("df_t")),
+            F.slice("arr", F.lit(1), F.col("length")),
+            lambda e: F.struct(e.no.alias("elem"), e.df_s.alias("df_s"), e.df_t.alias("df_t")),
         ).alias("prefix"),
     )
     return materialize(rows, "ordered")
