@@ -13,8 +13,8 @@ from entitylink.llm.bpe import encoder
 from entitylink.llm.text import slices, text_column
 
 WINDOW = 1024
-# Open windows of a task at which they are poured together; bounds its memory.
-OPEN_WINDOWS = 4096
+# Open windows of a task at which they are settled early: at most 268 MB of ids.
+OPEN_WINDOWS = 65_536
 
 
 class Packer:
@@ -22,12 +22,19 @@ class Packer:
 
     A document's full windows stand alone. Its rest goes to the fill level, a new
     window included, where the sum over levels of (windows open at that level)**2
-    becomes smallest; ties go to the fuller window. Windows left open at the end are
-    poured together, and the last rest is cut at powers of two, which need no padding.
+    becomes smallest; ties go to the fuller window. At the end the fuller of the windows
+    left open keep their pieces and are filled up from the emptiest ones, and the last
+    rest is cut at powers of two, which need no padding. ``moved`` counts the ids that
+    left the window they were placed in.
+
+    With ``open_windows`` windows open, which takes rests that hardly fit each other, they
+    are settled the same way before the end, so a task's memory is bounded.
     """
 
-    def __init__(self, stream: int, window: int = WINDOW):
+    def __init__(self, stream: int, window: int = WINDOW, open_windows: int = OPEN_WINDOWS):
         self.window = window
+        self.open_windows = open_windows
+        self.n_open = self.moved = 0
         self.next_id = stream << 40
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
@@ -50,14 +57,16 @@ class Packer:
         level = len(change) - 1 - int(np.argmin(change[::-1]))
         pieces = self.open[level].pop() if level else []
         count[level] -= level > 0
+        self.n_open -= level > 0
         pieces.append(piece)
         if level + size == self.window:
             self._close(pieces)
             return
         self.open[level + size].append(pieces)
         count[level + size] += 1
-        if count.sum() >= OPEN_WINDOWS:
-            self._pour(final=False)
+        self.n_open += 1
+        if self.n_open >= self.open_windows:
+            self._settle(final=False)
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -66,29 +75,38 @@ class Packer:
             at += len(ids)
         self.next_id += 1
 
-    def _pour(self, final: bool) -> None:
-        """Empty the open windows, fullest first, into full ones."""
-        left = [w for level in range(self.window - 1, 0, -1) for w in self.open[level]]
+    def _settle(self, final: bool) -> None:
+        """Close the open windows: the emptiest give their pieces to the fullest."""
+        left = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.open[level]]
         self.open = [[] for _ in range(self.window)]
         self.count[:] = 0
-        pieces, filled = [], 0
-        for piece in (p for w in left for p in w):
-            doc_id, start, ids, n = piece
-            while filled + len(ids) >= self.window:
-                room = self.window - filled
-                self._close([*pieces, (doc_id, start, ids[:room], n)])
-                pieces, filled = [], 0
-                start, ids = start + room, ids[room:]
-            if len(ids):
-                pieces.append((doc_id, start, ids, n))
-                filled += len(ids)
+        self.n_open = 0
+        first, last = 0, len(left) - 1
+        while first < last:
+            filled, pieces = left[first]
+            while filled < self.window and first < last:
+                rest, giver = left[last]
+                doc_id, start, ids, n = giver.pop()
+                room = min(self.window - filled, len(ids))
+                pieces.append((doc_id, start, ids[:room], n))
+                filled, rest, self.moved = filled + room, rest - room, self.moved + room
+                if room < len(ids):
+                    giver.append((doc_id, start + room, ids[room:], n))
+                left[last] = (rest, giver)
+                last -= not rest
+            left[first] = (filled, pieces)
+            if filled == self.window:
+                self._close(pieces)
+                first += 1
+        if first > last:
+            return
+        filled, pieces = left[first]
         if not final:
-            if pieces:
-                self.open[filled].append(pieces)
-                self.count[filled] += 1
+            self.open[filled].append(pieces)
+            self.count[filled] = self.n_open = 1
             return
-        size = 1 << max(filled.bit_length() - 1, 0)
         while filled:
+            size = 1 << (filled.bit_length() - 1)
             room, part = size, []
             while room:
                 doc_id, start, ids, n = pieces.pop(0)
@@ -98,14 +116,13 @@ class Packer:
                 room -= min(room, len(ids))
             self._close(part)
             filled -= size
-            size = 1 << max(filled.bit_length() - 1, 0)
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
         return rows
 
     def finish(self) -> list[tuple]:
-        self._pour(final=True)
+        self._settle(final=True)
         return self.take()
 
 
@@ -114,8 +131,9 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) ->
 
     The ids of each row of ``docs`` (doc_id, text) and ``end_id`` after them are packed
     into sequences of at most ``window``; every id lies in one piece. Each task packs
-    the rows it reads, so nothing is shuffled and a lost task is repeated alone; its
-    rest is cut at powers of two, so no padding is left.
+    the rows it reads, so nothing is shuffled and a lost task is repeated alone; windows it
+    leaves open are settled among themselves and its rest is cut at powers of two, so no
+    padding is left.
 
     Null or empty text is its end id alone. A null doc_id is carried as null, repeated
     rows are packed each. An empty table gives no rows. Other columns are ignored.
