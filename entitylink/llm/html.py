@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entitylink.session import materialize
+
 # What is not a tag with quotes; a tag whose quotes do not close ends at the next ">".
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^<>]*>|[^<]+|<", re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^\s/<>]*")
@@ -241,9 +243,10 @@ def trained(pages: DataFrame) -> dict[str, float]:
 
     counts = pages.select("html").mapInArrow(run, "kind string, inside boolean, n long, pages long")
     counts = counts.groupBy("kind", "inside").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
-    shown = counts.where("kind = 'pages'").select(F.col("n").alias("all_pages"))
-    kept = F.expr("pages * 10000 >= all_pages") | ~F.col("kind").startswith("t:") | F.col("kind").isin(_FIXED)
-    common = counts.where("kind <> 'pages'").join(F.broadcast(shown)).where(kept).select("kind", "inside", "n")
+    counts = materialize(counts, "kinds")  # read twice, pages parsed once
+    all_pages = counts.where("kind = 'pages'").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    kept = (F.col("pages") * 10000 >= all_pages) | ~F.col("kind").startswith("t:") | F.col("kind").isin(_FIXED)
+    common = counts.where("kind <> 'pages'").where(kept).select("kind", "inside", "n")
     return weights_of({(r["kind"], r["inside"]): r["n"] for r in common.collect()})
 
 
