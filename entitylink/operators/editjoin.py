@@ -110,16 +110,24 @@ def _char_join(
     """Join on a measure that needs ``alpha(a, b)`` common characters."""
     values = materialize(value_table(src, tgt, id_col, value), "values")
     bags = values.select("source", "target", "n_source", "n_target", tok.char_bag(F.col("value")).alias("elems"))
+    return _scored(_char_pairs(bags, need, alpha), values, score, theta)
+
+
+def _char_pairs(bags: DataFrame, need: Callable[[Column], Column], alpha: Callable[[Column, Column], Column]) -> DataFrame:
+    """(source, target) with ``alpha(a, b)`` common elements."""
     ordered = ordered_elements(bags, need)
     pairs = prefix_pairs(ordered, alpha, lambda a, b: F.least(a, b) >= alpha(a, b))
     sides = with_sides(pairs, ordered, n=F.col("n"), arr=F.col("arr"))
     common = F.size(F.array_intersect("arr_s", "arr_t"))
-    pairs = sides.where(common >= alpha(F.col("n_s"), F.col("n_t"))).select("source", "target")
+    return sides.where(common >= alpha(F.col("n_s"), F.col("n_t"))).select("source", "target")
+
+
+def _scored(pairs: DataFrame, values: DataFrame, score: Callable[[Column, Column], Column], theta: float) -> DataFrame:
     scored = with_sides(pairs, values, v=F.col("value")).withColumn("sim", score(F.col("v_s"), F.col("v_t")))
     return with_counts(scored.where(F.col("sim") >= theta).select("source", "target", "sim"), values)
 
 
-def _jaro_bounds(theta: float):
+def _jaro_bounds(theta: float | Column):
     # m/a + m/b + 1 >= 3*theta bounds the common characters m, and m <= min(a, b).
     def need(n: Column) -> Column:
         return up(n * (3 * theta - 2))
@@ -135,11 +143,37 @@ def jaro_join(src, tgt, id_col, value: Column | str, theta: float) -> DataFrame:
     return _char_join(src, tgt, id_col, value, *_jaro_bounds(theta), strings.jaro, theta)
 
 
+def winkler_nodes(values: DataFrame) -> DataFrame:
+    """Values below the nodes of their prefix tree, one row per (value, depth).
+
+    A node is up to four leading non-digits; depth 0 is the root. ``source`` and ``target``
+    become struct(key, depth), the elements the value's characters marked with the node.
+    """
+    lead = F.char_length(F.regexp_extract(F.substring("value", 1, strings.WINKLER_LEAD), "^[^0-9]*", 0))
+    rows = values.withColumn("bag", tok.char_bag(F.col("value"))).withColumn("depth", F.explode(F.sequence(F.lit(0), lead)))
+    node = F.concat(F.col("depth").cast("string"), F.expr("substring(value, 1, depth)"))
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("key"), "depth")).alias(c) for c in ("source", "target")]
+    return rows.select(*sides, "n_source", "n_target", F.transform("bag", lambda c: F.concat(node, c)).alias("elems"))
+
+
+def winkler_pairs(values: DataFrame, theta: float) -> DataFrame:
+    """Candidate (source, target) of ``jaro_winkler_join``.
+
+    A pair with k equal leading non-digits is boosted by k tenths of what is missing, so it
+    needs a Jaro similarity of (theta - k/10) / (1 - k/10). At depth k only values below
+    one node meet, and under that bound; the root, where all meet, has the sharpest one.
+    """
+    depth = F.coalesce("source.depth", "target.depth") * 0.1
+    need, alpha = _jaro_bounds((theta - depth) / (1 - depth))
+    pairs = _char_pairs(winkler_nodes(values), need, alpha)
+    return pairs.select(F.col("source.key").alias("source"), F.col("target.key").alias("target")).distinct()
+
+
 def jaro_winkler_join(src, tgt, id_col, value: Column | str, theta: float) -> DataFrame:
     """Values are compared trimmed and upper-cased, so equal forms are one value."""
     value = F.col(value) if isinstance(value, str) else value
-    plain = min(theta, (theta - 0.4) / 0.6)  # the boost adds at most 0.4 of what is missing
-    return _char_join(src, tgt, id_col, strings.winkler_form(value), *_jaro_bounds(plain), strings.jaro_winkler, theta)
+    values = materialize(value_table(src, tgt, id_col, strings.winkler_form(value)), "values")
+    return _scored(winkler_pairs(values, theta), values, strings.jaro_winkler, theta)
 
 
 def ratcliff_join(src, tgt, id_col, value: Column | str, theta: float) -> DataFrame:
