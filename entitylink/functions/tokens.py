@@ -85,6 +85,11 @@ def qgrams(text: Column, q: int = 3) -> Column:
     return F.array_distinct(_substrings(t, q))
 
 
+def plain_grams(text: Column, q: int = 2) -> Column:
+    """Plain q-grams in order, repeats kept."""
+    return _substrings(text, q)
+
+
 def gram_bag(text: Column, q: int = 2) -> Column:
     """Bag of plain q-grams, numbered repeats (for edit distance)."""
     return number_repeats(_substrings(text, q))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions import strings
 from entitylink.functions import tokens as tok
+from entitylink.operators.editprefix import edit_pairs
 from entitylink.operators.prefix import ordered_elements, prefix_pairs, up, with_sides
 from entitylink.operators.setjoin import Measure, set_links
 from entitylink.operators.skew import attach, pair_join
@@ -81,10 +82,7 @@ def levenshtein_join(src: DataFrame, tgt: DataFrame, id_col: str, value: Column
     """sim = 1/(1 + edits), edits <= floor((1-theta)/theta)."""
     k = math.floor((1 - theta) / theta + 1e-9)
     values = materialize(value_table(src, tgt, id_col, value), "values")
-    # k edits change at most k*q grams, so a value with more grams shares the rest.
-    grams = values.select("source", "target", "n_source", "n_target", tok.gram_bag(F.col("value"), q).alias("elems"))
-    ordered = ordered_elements(grams, lambda n: n - k * q)
-    pairs = prefix_pairs(ordered, lambda a, b: F.greatest(a, b) - k * q, lambda a, b: F.abs(a - b) <= k)
+    pairs = edit_pairs(values, k, q)
     # Two short values may share no gram; a part of one stands in the other.
     short = values.where(F.char_length("value") <= k * q + q - 1)
     none_s = F.lit(None).cast(values.schema["source"].dataType).alias("source")

@@ -47,6 +47,16 @@ def element_stats(values: DataFrame) -> DataFrame:
     )
 
 
+def numbered_elements(stats: DataFrame, by: str = "pairs") -> DataFrame:
+    """Elements of both sides with their number in the global order, written out: a range sort,
+    then numbers that rise from partition to partition. Rows carry it in place of the element."""
+    # decimal: a product of two counts can pass 64 bits
+    product = F.col("df_s").cast("decimal(19,0)") * F.col("df_t").cast("decimal(19,0)")
+    rank = product.cast("decimal(38,0)") if by == "pairs" else F.col("entities")
+    shared = stats.where((F.col("df_s") > 0) & (F.col("df_t") > 0)).orderBy(rank, "elem")
+    return materialize(shared.select("elem", "df_s", "df_t", "df", "entities", F.monotonically_increasing_id().alias("no")), "numbered")
+
+
 def ordered_elements(
     values: DataFrame,
     need: Callable[[Column], Column],
@@ -63,14 +73,7 @@ def ordered_elements(
     (one row: optimal) turns larger blocks off.
     ``stats``: ``element_stats(values)`` where it is already written.
     """
-    stats = materialize(element_stats(values), "elements") if stats is None else stats
-    # decimal: a product of two counts can pass 64 bits
-    product = F.col("df_s").cast("decimal(19,0)") * F.col("df_t").cast("decimal(19,0)")
-    rank = product.cast("decimal(38,0)") if by == "pairs" else F.col("entities")
-    # Shareable elements get a number in the global order: a range sort, then numbers that
-    # rise from partition to partition. Rows carry the number in place of the element.
-    shared = stats.where((F.col("df_s") > 0) & (F.col("df_t") > 0)).orderBy(rank, "elem")
-    shared = materialize(shared.select("elem", "df_s", "df_t", "df", "entities", F.monotonically_increasing_id().alias("no")), "numbered")
+    shared = numbered_elements(materialize(element_stats(values), "elements") if stats is None else stats, by)
     rows = values.select(*IDS, F.size("elems").alias("n"), F.explode("elems").alias("elem"))
     rows = attach(rows, shared.drop("entities"), "elem", "df", IDS)
     rows = rows.groupBy(*IDS, "n").agg(F.array_sort(F.collect_list(F.struct("no", "df_s", "df_t"))).alias("arr"))

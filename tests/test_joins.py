@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitylink.functions import strings, tokens
-from entitylink.operators import editjoin, setjoin, skew
+from entitylink.operators import editjoin, editprefix, setjoin, skew
 from entitylink.operators.values import expand_links, value_members
 
 
@@ -136,3 +136,44 @@ def test_levenshtein_of_short_values(spark, theta):
     short = tuple(spark.createDataFrame(r, "id long, v string") for r in rows)
     want = brute(spark, short, lambda x, y: 1 / (1 + F.levenshtein(x, y)), theta)
     assert want and expanded(editjoin.levenshtein_join(*short, "id", "v", theta), short) == want
+
+
+@pytest.mark.parametrize("theta", [0.2, 0.3, 0.5])
+def test_levenshtein_of_edited_values(spark, theta):
+    """Values of 5 to 90 characters, many repeated grams, next to copies with a few edits."""
+    rng = random.Random(11)
+
+    def edited(t):
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(t))
+            t = rng.choice([t[:at] + t[at + 1 :], t[:at] + rng.choice("abz") + t[at:], t[:at] + rng.choice("abz") + t[at + 1 :]])
+        return t
+
+    first = ["".join(rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.choice([5, 9, 12, 20, 50, 90]))) for _ in range(60)]
+    rows = [list(enumerate(first)), list(enumerate(edited(t) for t in first))]
+    both = tuple(spark.createDataFrame(r, "id long, v string") for r in rows)
+    want = brute(spark, both, lambda x, y: 1 / (1 + F.levenshtein(x, y)), theta)
+    assert len(want) > 20 and expanded(editjoin.levenshtein_join(*both, "id", "v", theta), both) == want
+
+
+def test_grams_have_their_places(spark):
+    rows = spark.createDataFrame([("aaab",), ("xy",), ("x",), ("",)], "v string")
+    got = rows.select("v", editprefix.placed_grams(F.col("v"), 2).alias("g")).collect()
+    assert {r.v: [(e.elem, list(e.places)) for e in r.g] for r in got} == {"aaab": [("aa", [0, 1]), ("aa.2", []), ("ab", [2])], "xy": [("xy", [0])], "x": [], "": []}
+
+
+def test_least_edits(spark):
+    """Against the smallest set of edited characters that meets all grams."""
+    rng = random.Random(3)
+    rows = [(q, sorted(rng.sample(range(9), rng.randint(0, 6)))) for q in (1, 2, 3) for _ in range(20)]
+
+    def brute_force(q, places):
+        for n in range(len(places) + 1):
+            for at in itertools.combinations(range(12), n):
+                if all(any(p <= c < p + q for c in at) for p in places):
+                    return n
+
+    for q in (1, 2, 3):
+        mine = [p for r, p in rows if r == q]
+        df = spark.createDataFrame([(p[::-1],) for p in mine], "p array<int>").select("p", editprefix.least_edits(F.col("p"), q).alias("n"))
+        assert all(r.n == brute_force(q, sorted(r.p)) for r in df.collect())
