@@ -88,6 +88,58 @@ def symmetric_hausdorff(xs: Column, ys: Column) -> Column:
     return F.greatest(hausdorff(xs, ys), hausdorff(ys, xs))
 
 
+# Hausdorff distances up to a limit. Rounding gets this much room, in shares and in degrees or km.
+_ROOM, _LEAST = 1 + 1e-9, 1e-9
+
+
+def outline(pts: Column) -> Column:
+    """Bounds of a set for ``hausdorff_above``: the mean point, the distance ``km`` within which
+    all points lie from it, and the points that stand out in the four directions (``far``)."""
+    flip = F.transform(pts, lambda p: F.struct(p.lon.alias("lon"), p.lat.alias("lat")))
+    ends = [F.array_min(pts), F.array_max(pts), F.array_min(flip), F.array_max(flip)]
+    far = F.array(*[F.struct(e.lat.alias("lat"), e.lon.alias("lon")) for e in ends])
+    of = lambda c: F.struct(c.alias("centre"), F.array_max(F.transform(pts, lambda p: haversine(c, p))).alias("km"), far.alias("far"))
+    return once(mean_point(pts), of)
+
+
+def hausdorff_above(a: Column, b: Column) -> Column:
+    """A bound that the Hausdorff distance from a set to another is never below, from their
+    outlines: no point of the other is nearer to x than its circle is."""
+    return F.array_max(F.transform(a.far, lambda x: haversine(x, b.centre))) - b.km
+
+
+def _reach(xs: Column, km: float) -> Column:
+    """Points with how many degrees of longitude a point within ``km`` can be away."""
+    r = np.degrees(km / EARTH_KM) * _ROOM + _LEAST
+
+    def one(x: Column) -> Column:
+        steep = (F.abs(x.lat) + r >= 90) | F.lit(r >= 90)
+        reach = F.degrees(F.asin(F.least(np.sin(np.radians(min(r, 90))) / F.cos(F.radians(x.lat)), F.lit(1.0)))) * _ROOM + _LEAST
+        return F.struct(x.lat.alias("lat"), x.lon.alias("lon"), F.when(steep, F.lit(360.0)).otherwise(reach).alias("reach"))
+
+    return F.transform(xs, one)
+
+
+def _boxed(x: Column, y: Column, km: float) -> Column:
+    """Whether y may lie within ``km`` of x, without a distance."""
+    r = float(np.degrees(km / EARTH_KM) * _ROOM + _LEAST)
+    turn = F.pmod(y.lon - x.lon + 180, F.lit(360.0)) - 180
+    return (F.abs(y.lat - x.lat) <= r) & (F.abs(turn) <= x.reach)
+
+
+def all_near(xs: Column, ys: Column, km: float) -> Column:
+    """Whether every point of the first set has one of the second within ``km`` (and a rounding
+    error). Ends at the first point that has none, and for a point at the first one near."""
+    near = lambda x: F.exists(ys, lambda y: _boxed(x, y, km) & (haversine(x, y) <= km * _ROOM + _LEAST))
+    return F.forall(_reach(xs, km), lambda x: x.lat.isNull() | x.lon.isNull() | F.coalesce(near(x), F.lit(False)))
+
+
+def hausdorff_within(xs: Column, ys: Column, km: float) -> Column:
+    """``hausdorff`` where that is at most ``km``: distances only to points in the box around each."""
+    near = lambda x: F.filter(ys, lambda y: _boxed(x, y, km * _ROOM + _LEAST))
+    return F.array_max(F.transform(_reach(xs, km * _ROOM + _LEAST), lambda x: F.array_min(F.transform(near(x), lambda y: haversine(x, y)))))
+
+
 def set_min(xs: Column, ys: Column) -> Column:
     return F.array_min(_each(xs, ys, F.array_min))
 

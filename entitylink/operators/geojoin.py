@@ -114,9 +114,27 @@ def shape_join(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, theta: flo
         one = src.withColumn(pts, F.slice(pts, 1, 1)) if distance in ("hausdorff", "sym_hausdorff", "max") else src
         other = tgt.withColumn(pts, F.slice(pts, 1, 1)) if distance == "max" else tgt
         pairs = shape_pairs(one, other, id_col, pts, km)
+    if distance in ("hausdorff", "sym_hausdorff"):
+        return _near_sets(pairs, src, tgt, id_col, pts, km, both=distance == "sym_hausdorff")
     return _scored(with_shapes(pairs, src, tgt, id_col, pts), measure(F.col("pts_s"), F.col("pts_t")), km)
 
 
+def _near_sets(pairs: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, pts: str, km: float, both: bool) -> DataFrame:
+    """Pairs by Hausdorff distance, in both directions or from the source: outlines drop pairs before
+    any points are attached, then the first point without a near one ends a pair."""
+    bounds = [df.where(F.size(pts) > 0).select(id_col, geo.outline(F.col(pts)).alias("outline")) for df in (src, tgt)]
+    a, b = F.col("pts_s"), F.col("pts_t")
+    above = geo.hausdorff_above(a, b)
+    above = F.greatest(above, geo.hausdorff_above(b, a)) if both else above
+    # a set with missing coordinates may have no bound
+    open_ = with_shapes(pairs, *bounds, id_col, "outline").where(F.coalesce(above, F.lit(0.0)) <= km + 1e-6)
+    near = geo.all_near(a, b, km)
+    near = near & geo.all_near(b, a, km) if both else near
+    d = geo.hausdorff_within(a, b, km)
+    d = F.greatest(d, geo.hausdorff_within(b, a, km)) if both else d
+    return _scored(with_shapes(open_.select("source", "target"), src, tgt, id_col, pts).where(near), d, km)
+
+
 def _levels(box: Column, finest: float) -> Column:
     """Level of a box: the first one whose cells (``finest`` * 2**level degrees) are no smaller
     than it."""

@@ -91,6 +91,51 @@ def test_shape_join_equals_brute_force(spark, shapes, name, theta):
     assert want and set(got) == want and len(got) == len(want)
 
 
+@pytest.fixture(scope="module")
+def walks(spark):
+    """Lines of 1 to 120 points, many of them noisy copies of others, also over a pole and the date line."""
+    rng = random.Random(9)
+    starts = [(0, 0), (89.7, 10), (-89.9, 170), (10, 179.9), (60, 30)]
+    wrap = lambda y, x: (max(-90.0, min(90.0, y)), (x + 180) % 360 - 180)
+
+    def walk(lat, lon):
+        out = []
+        for _ in range(rng.choice([1, 30, 120])):
+            lat, lon = lat + rng.uniform(-0.05, 0.08), lon + rng.uniform(-0.05, 0.08)
+            out.append(wrap(lat, lon))
+        return out
+
+    first = [walk(*rng.choice(starts)) for _ in range(30)]
+    second = [[wrap(y + rng.uniform(-0.1, 0.1), x + rng.uniform(-0.1, 0.1)) for y, x in w] for w in first] + [walk(*rng.choice(starts)) for _ in range(10)]
+    return tuple(spark.createDataFrame(list(enumerate(x)), SHAPE).cache() for x in (first, second))
+
+
+@pytest.mark.parametrize("theta", [0.05, 0.01])
+@pytest.mark.parametrize("name", ["hausdorff", "sym_hausdorff"])
+def test_hausdorff_of_lines_equals_brute_force(spark, walks, name, theta):
+    s, t = walks
+    every = s.select(F.col("id").alias("source"), F.col("pts").alias("x")).crossJoin(t.select(F.col("id").alias("target"), F.col("pts").alias("y")))
+    d = geo.SET_DISTANCES[name](F.col("x"), F.col("y"))
+    want = {(r.source, r.target): r.d for r in every.select("source", "target", d.alias("d")).where(F.col("d") <= gj.max_km(theta)).collect()}
+    got = {(r.source, r.target): 1 / r.sim - 1 for r in gj.shape_join(s, t, "id", "pts", theta, name).collect()}
+    assert len(want) > 10 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+@pytest.mark.parametrize("name", ["hausdorff", "sym_hausdorff"])
+def test_sets_without_points(spark, name):
+    df = spark.createDataFrame([(1, []), (2, None), (3, [(1.0, 2.0)]), (4, [(1.0, 2.0), (1.0, 2.01)])], SHAPE)
+    got = {(r.source, r.target) for r in gj.shape_join(df, df, "id", "pts", 0.4, name).collect()}
+    assert got == {(3, 3), (3, 4), (4, 3), (4, 4)}
+    assert gj.shape_join(df.limit(0), df, "id", "pts", 0.4, name).collect() == []
+
+
+def test_outlines_never_pass_the_distance(spark, walks, shapes):
+    for s, t in (walks, shapes):
+        every = s.select(F.col("pts").alias("x")).crossJoin(t.select(F.col("pts").alias("y")))
+        rows = every.select(geo.hausdorff_above(geo.outline(F.col("x")), geo.outline(F.col("y"))).alias("above"), geo.hausdorff(F.col("x"), F.col("y")).alias("d"))
+        assert all(r.above <= r.d + 1e-6 for r in rows.collect())
+
+
 @pytest.mark.parametrize("dims,granularity", [(1, 1), (2, 1), (3, 1), (2, 3)])
 def test_euclidean_equals_brute_force(spark, dims, granularity):
     rng = random.Random(5)
