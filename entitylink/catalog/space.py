@@ -226,6 +226,11 @@ _walked("surjection", SQL_SURJECTION)
 _walked("frechet", SQL_FRECHET)
 
 
+@query("geo_frechet_continuous", None)
+def geo_frechet_continuous(spark, sf):
+    return _r(gj.line_join(*_shapes(spark, sf), "id", "pts", THETA))
+
+
 def _boxes(spark, sf):
     """Half-degree boxes: size from priority and month."""
     lat, lon = (F.floor(x * 2) / 2 for x in _place())

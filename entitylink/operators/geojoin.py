@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylink.functions import geo, regions
+from entitylink.functions import geo, lines, regions
 from entitylink.operators.editjoin import key_pairs
 from entitylink.operators.skew import attach, pair_join
 from entitylink.session import materialize
@@ -119,6 +119,16 @@ def shape_join(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, theta: flo
     return _scored(with_shapes(pairs, src, tgt, id_col, pts), measure(F.col("pts_s"), F.col("pts_t")), km)
 
 
+def line_join(src: DataFrame, tgt: DataFrame, id_col: str, pts: str, theta: float) -> DataFrame:
+    """Lines by continuous Frechet distance. Walks start together and end together, so the first
+    points find candidates and the last ones thin them before any line is attached."""
+    km = max_km(theta)
+    first, last = [[df.where(F.size(pts) > 0).select(id_col, F.array(F.element_at(pts, k)).alias("e")) for df in (src, tgt)] for k in (1, -1)]
+    ends = with_shapes(shape_pairs(*first, id_col, "e", km), *last, id_col, "e")
+    pairs = ends.where(geo.haversine(F.get("pts_s", F.lit(0)), F.get("pts_t", F.lit(0))) <= km + 1e-6).select("source", "target")
+    return _scored(with_shapes(pairs, src, tgt, id_col, pts), lines.continuous_frechet(F.col("pts_s"), F.col("pts_t"), km), km)
+
+
 def _near_sets(pairs: DataFrame, src: DataFrame, tgt: DataFrame, id_col: str, pts: str, km: float, both: bool) -> DataFrame:
     """Pairs by Hausdorff distance, in both directions or from the source: outlines drop pairs before
     any points are attached, then the first point without a near one ends a pair."""

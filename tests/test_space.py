@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entitylink.functions import geo
+from entitylink.functions import geo, lines
 from entitylink.operators import geojoin as gj
 from entitylink.operators import rangejoin as rj
 
@@ -121,6 +122,60 @@ def test_hausdorff_of_lines_equals_brute_force(spark, walks, name, theta):
     assert len(want) > 10 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def dense(w, step=15):
+    """A line with ``step`` points on each of its pieces, as vectors."""
+    v = lines._vectors([{"lat": y, "lon": x} for y, x in w])
+    return np.concatenate([v[:1]] + [a + (b - a) * np.arange(1, step + 1)[:, None] / step for a, b in zip(v, v[1:])])
+
+
+def discrete(p, q):
+    d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+    for i in range(len(p)):
+        for j in range(len(q)):
+            before = [d[x, y] for x, y in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if x >= 0 and y >= 0]
+            d[i, j] = max(d[i, j], min(before)) if before else d[i, j]
+    return d[-1, -1]
+
+
+def test_continuous_frechet_equals_fine_resampling(spark):
+    rng = random.Random(2)
+    line = lambda: [(50 + rng.uniform(-0.5, 0.5), 179.8 + rng.uniform(-0.5, 0.5)) for _ in range(rng.randint(1, 5))]
+    rows = [(k, line(), line()) for k in range(30)] + [(30, [(1.0, 1.0), (1.0, 2.0)], [(1.0, 1.0), (1.0, 1.5), (1.0, 1.5), (1.0, 2.0)])]
+    # near one course, with points at places of their own
+    course = lambda: [(x + rng.uniform(-0.05, 0.05), 2 * x) for x in (0.0, *sorted(rng.uniform(0, 2) for _ in range(rng.randint(0, 4))), 2.0)]
+    rows += [(k, course(), course()) for k in range(31, 45)]
+    df = spark.createDataFrame(rows, f"id long, x array<{POINT}>, y array<{POINT}>")
+    got = df.select("id", lines.continuous_frechet(F.col("x"), F.col("y")).alias("c"), lines.continuous_frechet(F.col("y"), F.col("x")).alias("r"), geo.frechet("x", "y").alias("d")).collect()
+    for r in got:
+        p, q = dense(rows[r.id][1]), dense(rows[r.id][2])
+        step = max([0.0, *(np.linalg.norm(w[1:] - w[:-1], axis=1).max() for w in (p, q) if len(w) > 1)])
+        fine = lines._arc(discrete(p, q))
+        assert fine - step - 1e-6 <= r.c <= fine + 1e-6 and r.c <= r.d + 1e-6 and r.c == pytest.approx(r.r, abs=1e-6)
+    assert sum(r.c < r.d - 1 for r in got) > 5
+    # the parallel leaves the great circle by 4 m, pieces by SAG each
+    assert got[30].c <= 0.005 + 2 * lines.SAG and got[30].d > 50
+
+
+def test_long_edges_follow_the_great_circle(spark):
+    far = [(0.0, 0.0), (0.0, 90.0)]
+    rows = [(1, far, [(0.0, x) for x in range(0, 91, 10)]), (2, far, [(0.0, 0.0), (45.0, 0.0), (0.0, 90.0)]), (3, [(0.0, 0.0)], far)]
+    df = spark.createDataFrame([(i, [tuple(map(float, p)) for p in x], [tuple(map(float, p)) for p in y]) for i, x, y in rows], f"id long, x array<{POINT}>, y array<{POINT}>")
+    got = {r.id: r.c for r in df.select("id", lines.continuous_frechet(F.col("x"), F.col("y")).alias("c")).collect()}
+    quarter = 6371 * np.pi / 2
+    assert got[1] <= 2 * lines.SAG and got[2] == pytest.approx(quarter / 2, abs=2 * lines.SAG) and got[3] == pytest.approx(quarter, abs=1e-6)
+
+
+def test_line_join_equals_brute_force(spark, shapes):
+    s, t = shapes
+    every = s.select(F.col("id").alias("source"), F.col("pts").alias("x")).crossJoin(t.select(F.col("id").alias("target"), F.col("pts").alias("y")))
+    every = every.select("source", "target", lines.continuous_frechet(F.col("x"), F.col("y")).alias("d"))
+    want = {(r.source, r.target): r.d for r in every.where(F.col("d") <= gj.max_km(0.02)).collect()}
+    got = {(r.source, r.target): 1 / r.sim - 1 for r in gj.line_join(s, t, "id", "pts", 0.02).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    odd = spark.createDataFrame([(1, []), (2, None), (3, [(None, 2.0), (1.0, 2.0)]), (4, [(1.0, 2.0)])], SHAPE)
+    assert {(r.source, r.target) for r in gj.line_join(odd, odd, "id", "pts", 0.5).collect()} == {(4, 4)}
+
+
 @pytest.mark.parametrize("name", ["hausdorff", "sym_hausdorff"])
 def test_sets_without_points(spark, name):
     df = spark.createDataFrame([(1, []), (2, None), (3, [(1.0, 2.0)]), (4, [(1.0, 2.0), (1.0, 2.01)])], SHAPE)
