@@ -45,6 +45,24 @@ def euclidean_join(spark, sf):
     return _r(rj.euclidean_join(*_events(spark, sf), "id", "v", 0.8))
 
 
+@query(
+    "euclidean_sets_join",
+    """WITH prices AS (SELECT o_custkey AS id, array_agg(DISTINCT o_totalprice::DOUBLE / 1000 ORDER BY o_totalprice::DOUBLE / 1000) AS ps FROM orders GROUP BY 1),
+e AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS s, ps, c_acctbal::DOUBLE / 100 AS b FROM customer JOIN prices ON id = c_custkey),
+v AS (SELECT ps, b, s, min(id) AS id, count(*) AS n FROM e GROUP BY ps, b, s),
+x AS (SELECT id, s, n, b, unnest(ps) AS p FROM v),
+d AS (SELECT a.id AS source, c.id AS target, a.n AS n_source, c.n AS n_target, sqrt(pow(min(abs(a.p - c.p)), 2) + pow(any_value(abs(a.b - c.b)), 2)) AS d
+  FROM x a JOIN x c ON a.s AND NOT c.s AND c.b BETWEEN a.b - 0.26 AND a.b + 0.26 GROUP BY a.id, c.id, a.n, c.n)
+SELECT source, target, round(1 / (1 + d), 6) AS sim, n_source, n_target FROM d WHERE d <= (1 - 0.8::DOUBLE) / 0.8""",
+)
+def euclidean_sets_join(spark, sf):
+    """Customers by balance and the nearest two of their order totals."""
+    prices = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set(F.col("o_totalprice").cast("double") / 1000).alias("ps"))
+    rows = table(spark, sf, "customer").join(prices, "c_custkey")
+    rows = rows.select(F.col("c_custkey").alias("id"), F.array(F.array(F.col("c_acctbal").cast("double") / 100), "ps").alias("v"), "c_mktsegment")
+    return _r(rj.euclidean_sets_join(rows.where("c_mktsegment = 'BUILDING'"), rows.where("c_mktsegment <> 'BUILDING'"), "id", "v", 0.8))
+
+
 @query(
     "numeric_range_join",
     f"""WITH ds AS (SELECT s_suppkey AS id, s_acctbal AS value FROM supplier), dt AS (SELECT c_custkey AS id, c_acctbal AS value FROM customer), {SQL_VALUES}

@@ -206,6 +206,27 @@ def test_euclidean_equals_brute_force(spark, dims, granularity):
     assert want and set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("dims", [1, 2])
+def test_euclidean_of_sets_equals_brute_force(spark, dims):
+    rng = random.Random(6)
+    draw = lambda: [[round(rng.uniform(-6, 6), 1) for _ in range(rng.choice([0, 1, 2, 3, 3]))] for _ in range(3)]
+    a = [(i, draw()) for i in range(60)] + [(60, [[1.0, 1.0], [2.0], [3.0]]), (61, [[1.0], [2.0], [3.0, 3.0]]), (62, None), (63, [])]
+    b = [(i, draw()) for i in range(60)] + [(60, [[None, 1.5], [2.0], [3.0]]), (61, [[None], [2.0], [3.0]])]
+    s, t = (spark.createDataFrame(x, "id long, v array<array<double>>") for x in (a, b))
+
+    def gap(x, y):
+        per = [[abs(p - q) for p in u for q in v if p is not None and q is not None] for u, v in zip(x or [], y)]
+        return sum(min(g) ** 2 for g in per) ** 0.5 if per and all(per) else 9
+
+    want = {(i, j): gap(x, y) for i, x in a for j, y in b if gap(x, y) <= 1 and i != 61}
+    got = {(r.source, r.target): (1 / r.sim - 1, r.n_source) for r in rj.euclidean_sets_join(s, t, "id", "v", 0.5, dims).collect()}
+    assert len(want) > 20 and got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(want[k]), 2 if k[0] == 60 else 1) for k in want)
+    same = {(r.source, r.target) for r in rj.euclidean_sets_join(s, t, "id", "v", 1.0, dims).collect()}
+    assert same == {(i, j) for i, x in a for j, y in b if gap(x, y) == 0 and i != 61}
+    assert (60, 60) in got and rj.euclidean_sets_join(s.limit(0), t, "id", "v", 0.5).collect() == []
+
+
 @pytest.mark.parametrize("measure,theta", [("exp", 0.9), ("day", 0.99), ("year", 0.9999), ("exp", 1.0)])
 def test_date_join(spark, measure, theta):
     import datetime as dt
