@@ -256,3 +256,46 @@ def test_crossing_lines(spark):
 def test_disjoint_is_not_listed(spark, shapes):
     with pytest.raises(ValueError):
         gj.topology_join(*shapes, "id", "pts", "disjoint")
+
+
+def joins(df):
+    return [line.split(" Join ")[-1] for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Join " in f" {line.strip(' :+-')} " or "Aggregate" in line]
+
+
+@pytest.mark.parametrize("name", ["min", "max", "hausdorff", "mean"])
+def test_pairs_are_tested_where_they_are_found(spark, shapes, name):
+    """One join, and neither a list of pairs made distinct nor points attached to it afterwards."""
+    assert len(joins(gj.shape_join(*shapes, "id", "pts", 0.05, name))) == 1
+    assert len(joins(gj.line_join(*shapes, "id", "pts", 0.05))) == 1
+
+
+def test_regions_are_tested_where_their_boxes_meet(spark):
+    ring = "id long, r array<struct<lat:double,lon:double>>"
+    squares = [[(i, [(0.31 * i + d, 0.0), (0.31 * i + d, 1.0), (0.31 * i + 1.0 + d, 1.0), (0.31 * i + 1.0 + d, 0.0)]) for i in range(20)] for d in (0.0, 0.1)]
+    found = gj.polygon_join(*[spark.createDataFrame(x, ring) for x in squares], "id", "r", "overlaps")
+    assert len([x for x in joins(found) if "Aggregate" not in x]) == 1  # the levels are counted in subqueries
+    want = {(i, j) for i in range(20) for j in range(20) if abs(0.31 * i - 0.31 * j - 0.1) < 1}
+    got = [(r.source, r.target) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_large_and_incomplete_shapes_join_like_carried_ones(spark, shapes, monkeypatch):
+    s, t = shapes
+    carried = {(r.source, r.target): r.sim for r in gj.shape_join(s, t, "id", "pts", 0.05, "sum_of_min").collect()}
+    monkeypatch.setattr(gj, "CARRIED", 2)
+    mixed = [(r.source, r.target, r.sim) for r in gj.shape_join(s, t, "id", "pts", 0.05, "sum_of_min").collect()]
+    assert carried and {x[:2] for x in mixed} == carried.keys() and len(mixed) == len(carried)
+    assert all(carried[x[:2]] == pytest.approx(x[2], abs=1e-9) for x in mixed)
+    hole = spark.createDataFrame([(1, [(0.0, 0.0), (None, 1.0)])], SHAPE)
+    whole = spark.createDataFrame([(2, [(0.0, 0.1), (5.0, 5.0)])], SHAPE)
+    assert [(r.source, r.target) for r in gj.shape_join(hole, whole, "id", "pts", 0.05, "min").collect()] == [(1, 2)]
+
+
+def test_distances_of_few_points(spark):
+    rng = random.Random(5)
+    few = lambda: [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(rng.randint(1, 5))]
+    df = spark.createDataFrame([(few(), few()) for _ in range(60)], f"x array<{POINT}>, y array<{POINT}>")
+    names = [n for n in geo.SET_DISTANCES if n != "mean"]
+    one = [geo.SET_DISTANCES[n](F.col("x"), F.col("y")).alias(n) for n in names]
+    for r in df.select(*one, *[geo.few_points(n)(F.col("x"), F.col("y")).alias(f"{n}_few") for n in names]).collect():
+        assert all(r[n] == pytest.approx(r[f"{n}_few"], abs=1e-9) for n in names)
