@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitylink.functions import strings, tokens
-from entitylink.operators import editjoin, editprefix, setjoin, skew
+from entitylink.operators import editjoin, editprefix, setjoin, skew, tilejoin
 from entitylink.operators.values import expand_links, value_members
 
 
@@ -177,3 +177,35 @@ def test_least_edits(spark):
         mine = [p for r, p in rows if r == q]
         df = spark.createDataFrame([(p[::-1],) for p in mine], "p array<int>").select("p", editprefix.least_edits(F.col("p"), q).alias("n"))
         assert all(r.n == brute_force(q, sorted(r.p)) for r in df.collect())
+
+
+@pytest.mark.parametrize("join,theta", [(setjoin.jaccard_join, 0.5), (setjoin.overlap_join, 3), (editjoin.jaro_join, 0.85), (editjoin.jaro_winkler_join, 0.9), (editjoin.ratcliff_join, 0.75)])
+def test_pairs_are_not_shuffled(sides, join, theta):
+    plan = join(*sides, "id", "v", theta)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "hashpartitioning(source" not in plan and "hashpartitioning(target" not in plan
+
+
+@pytest.mark.parametrize("name,theta", [("jaccard", 0.4), ("cosine", 0.5), ("overlap", 4)])
+def test_tiles_of_any_size_find_the_same(spark, monkeypatch, name, theta):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(1, 40))) for _ in range(160)]
+    both = [spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 2 == k], "id long, v string") for k in (0, 1)]
+    run = lambda: {tuple(r) for r in setjoin.set_join(*both, "id", "v", tokens.bag, setjoin.Measure(name, theta)).collect()}
+    whole = run()
+    monkeypatch.setattr(tilejoin, "PART", 512)
+    monkeypatch.setattr(tilejoin, "LOOK", 0)
+    assert whole and run() == whole
+    monkeypatch.setattr(tilejoin, "LOOK", 1 << 30)
+    monkeypatch.setattr(tilejoin, "TILE", 1 << 9)
+    assert run() == whole
+
+
+def test_bounds_before_scoring():
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("ab cÜ1中") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 70])))
+    x = [text() for _ in range(400)]
+    y = [t if rng.random() < 0.1 else "".join(c for c in t if rng.random() < 0.8) or text() for t in x]
+    for of, exact, theta in ((strings.jaro_of, strings._jaro, 0.8), (strings.ratcliff_of, strings._ratcliff, 0.75)):
+        p, q = ([t.lower() for t in z] if of is strings.ratcliff_of else z for z in (x, y))
+        want = [float(exact([a], [b])[0]) for a, b in zip(p, q)]
+        assert [w if w >= theta else 0 for w in want] == [g if g >= theta else 0 for g in of(x, y, theta).tolist()]
