@@ -6,11 +6,14 @@ Token tables have columns token, dataset ('s' or 't'), id.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylink.functions.tokens import block_tokens
+from entitylink.operators.prefix import numbered_elements
 from entitylink.operators.skew import attach, pair_join
+from entitylink.operators.tilejoin import Test, tile_links
 from entitylink.session import materialize
 
 
@@ -103,11 +106,25 @@ def purge(tokens: DataFrame, sizes: DataFrame, purging: bool = True) -> DataFram
 
 
 def candidates(kept: DataFrame) -> DataFrame:
-    """Distinct (source, target) pairs that share a kept block."""
-    cross = kept.where((F.col("n_s") > 0) & (F.col("n_t") > 0))
-    left = cross.where("dataset = 's'").select("token", F.col("id").alias("source"), "n_s", "n_t")
-    right = cross.where("dataset = 't'").select("token", F.col("id").alias("target"), "n_s", "n_t")
-    return pair_join(left, right, "token", "source", "target", "n_s", "n_t").select("source", "target").distinct()
+    """Distinct (source, target) pairs that share a kept block.
+
+    Entities travel to tiles with the numbers of their blocks, so each pair is found once, in
+    the tile of its two parts, and no list of pairs is shuffled or made distinct.
+    """
+    cross = materialize(kept.where((F.col("n_s") > 0) & (F.col("n_t") > 0)), "kept-tokens")
+    stats = cross.groupBy(F.col("token").alias("elem")).agg(
+        F.first("n_s").alias("df_s"), F.first("n_t").alias("df_t"), F.first("size").alias("df"), F.first("size").alias("entities")
+    )
+    numbers = materialize(numbered_elements(stats).select(F.col("elem").alias("token"), F.col("no").cast("int").alias("no"), "df"), "blocks")
+    rows = attach(cross.select("token", "dataset", "id"), numbers, "token", "df", ["dataset", "id"])
+    # a struct: an entity without an id is one too
+    rows = rows.groupBy("dataset", F.struct("id").alias("e")).agg(F.array_sort(F.collect_list("no")).alias("arr"))
+    ids = [F.when(F.col("dataset") == x, F.col("e")).alias(side) for x, side in (("s", "source"), ("t", "target"))]
+    size, one = F.size("arr"), F.lit(1)
+    entities = rows.select(*ids, one.alias("n_source"), one.alias("n_target"), size.alias("n"), size.alias("kept"), "arr")
+    any_shared = Test(1.0, lambda a, b, lead: np.ones(np.broadcast(a, b).shape, dtype=np.int64), lambda o, a, b: o)
+    pairs = tile_links(materialize(entities, "entity-blocks"), any_shared)
+    return pairs.select(F.col("source.id").alias("source"), F.col("target.id").alias("target"))
 
 
 def block_filtering(kept: DataFrame, n: int) -> DataFrame:

@@ -70,6 +70,21 @@ def test_purging_off_keeps_large_blocks(spark):
     assert b.candidates(kept).count() == 900
 
 
+def test_candidates_are_found_in_tiles(spark):
+    """Each pair once, also of an entity without an id, and no list of pairs made distinct."""
+    rows = [(f"w{(i * j) % 11}", d, i if i else None) for d in "st" for i in range(25) for j in range(1, 4)]
+    tokens_ = spark.createDataFrame(sorted(set(rows), key=str), "token string, dataset string, id long")
+    kept = b.purge(tokens_, b.block_sizes(tokens_), purging=False)
+    pairs = b.candidates(kept)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source" not in plan and "Aggregate" not in plan
+    blocks = {d: {} for d in "st"}
+    for token, d, i in rows:
+        blocks[d].setdefault(i, set()).add(token)
+    want = [(i, j) for i, x in blocks["s"].items() for j, y in blocks["t"].items() if x & y]
+    assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
+
+
 def test_strip_literal(spark):
     df = spark.createDataFrame([('"a ""b"" c"^^xsd:string',), ("plain",)], "v string")
     assert [r.v for r in df.select(b.strip_literal(F.col("v")).alias("v")).collect()] == ["a b c", "plain"]
