@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,15 @@ def test_bounds_before_scoring():
         p, q = ([t.lower() for t in z] if of is strings.ratcliff_of else z for z in (x, y))
         want = [float(exact([a], [b])[0]) for a, b in zip(p, q)]
         assert [w if w >= theta else 0 for w in want] == [g if g >= theta else 0 for g in of(x, y, theta).tolist()]
+
+
+def test_rows_of_a_tile_score_like_pairs():
+    rng = random.Random(9)
+    x, y = (["".join(rng.choice("ab cÜ1中") for _ in range(rng.choice([0, 1, 5, 30, 62, 63]))) for _ in range(n)] for n in (40, 90))
+    y += [t[:20] + "b" + t[22:] for t in x if len(t) > 22]
+    held = strings.JaroPairs(x, y, 0.6)
+    i, j = np.divmod(np.arange(len(x) * len(y)), len(y))
+    got = [s if s >= 0.6 else 0 for s in held(i, j).tolist()]
+    want = [float(s) if s >= 0.6 else 0 for a in x for t in y for s in strings._jaro([a], [t])]
+    assert held.fits and got == want and any(want)
+    assert not strings.JaroPairs(x, [*y, "a" * 64], 0.6).fits
