@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitylink.functions import rules, strings
+from entitylink.operators import entities as en
 from entitylink.plans import linker
 from entitylink.plans.rule_joins import And, Atom, Minus, Or, Xor, link_by_rule, rule_pairs
 
@@ -69,6 +70,18 @@ def test_best_targets_equal_the_blocked_job(spark, purging):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_triples_are_linked_by_a_rule_without_listing_blocks(spark, monkeypatch):
+    """A rule given as joins finds what the same rule finds as a column, and no block lists its pairs."""
+    sides = [en.to_triples(people(spark, k, 40).where("name is not null and year is not null").dropDuplicates(["id"]), "id", ["name", "year"], "urn:P", "urn:") for k in (3, 4)]
+    side = linker.Side("urn:P", {"urn:name": ("name", []), "urn:year": ("year", [])})
+    same = F.when(F.col("year_s") == F.col("year_t"), 1.0).otherwise(0.0)
+    column = rules.all_of(rules.atom(strings.jaro("name_s", "name_t"), 0.7), rules.atom(same, 1.0))
+    want = sorted(map(tuple, linker.link_triples(*sides, side, side, column, 0.7).collect()))
+    monkeypatch.setattr(linker.blocking, "candidates", None)
+    got = linker.link_triples(*sides, side, side, And(Atom("jaro", "name", 0.7), YEAR), 0.7)
+    assert sorted(map(tuple, got.select("source", "target", "sim").collect())) == want and want
+
+
 def test_empty_sides(spark):
     none = people(spark, 1, 3).where("false")
     assert link_by_rule(none, people(spark, 2, 9), "id", And(NAME, YEAR), 0.3).count() == 0
