@@ -201,6 +201,25 @@ def test_tiles_of_any_size_find_the_same(spark, monkeypatch, name, theta):
     assert run() == whole
 
 
+def test_expanded_pairs_are_grouped_only_for_entities_with_several_values(spark):
+    one = spark.createDataFrame([(i, f"red w{i % 3}") for i in range(12)], "id long, v string")
+    more = one.unionByName(spark.createDataFrame([(5, "red w0"), (6, "red w0"), (50, "blue")], one.schema))
+
+    def run(s, t):
+        links = setjoin.jaccard_join(s, t, "id", "v", 0.3)
+        return expand_links(links, value_members(s, "id", "v"), value_members(t, "id", "v"))
+
+    for s, t in itertools.product((one, more), repeat=2):
+        got = run(s, t)
+        assert ("max(sim" in got._jdf.queryExecution().optimizedPlan().toString()) == (s is more or t is more)
+        want = {}
+        for x, y in itertools.product(s.collect(), t.collect()):
+            sim = 1.0 if x.v == y.v else 0.0 if "blue" in (x.v, y.v) else 1 / 3
+            want[x.id, y.id] = max(want.get((x.id, y.id), 0), sim)
+        rows = [((r.source, r.target), r.sim) for r in got.collect()]
+        assert len(rows) == len(dict(rows)) and dict(rows) == {k: pytest.approx(v) for k, v in want.items() if v}
+
+
 def test_bounds_before_scoring():
     rng = random.Random(5)
     text = lambda: "".join(rng.choice("ab cÜ1中") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 70])))
