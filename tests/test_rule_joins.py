@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions import rules, strings
 from entitylink.operators import entities as en
-from entitylink.plans import linker
+from entitylink.plans import linker, rule_joins
 from entitylink.plans.rule_joins import And, Atom, Minus, Or, Xor, link_by_rule, rule_pairs
 
 NAMES = ["martha stone", "marhta stone", "martha stones", "dixon", "dickson", "cold widget", "cold gadget", "blue widget", "", None]
@@ -70,6 +70,18 @@ def test_best_targets_equal_the_blocked_job(spark, purging):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_equal_entities_are_one_until_the_pairs_are_found(spark, monkeypatch):
+    """Copies make no pairs inside a rule; an entity with several rows is none."""
+    s, t = (spark.createDataFrame([(i, "a", str(i % 2)) for i in range(20)] + [(99, "a", "0"), (99, "b", "1")], "id long, name string, year string") for _ in "st")
+    inner, seen = rule_joins._rule_pairs, []
+    monkeypatch.setattr(rule_joins, "_rule_pairs", lambda *p: seen.append(inner(*p)) or seen[-1])
+    got = {(r.source, r.target): r.sim for r in rule_pairs(And(NAME, YEAR), s, t, "id").collect()}
+    values = {i: ({"a"}, {str(i % 2)}) for i in range(20)} | {99: ({"a", "b"}, {"0", "1"})}
+    want = {(i, j) for i, x in values.items() for j, y in values.items() if x[0] & y[0] and x[1] & y[1]}
+    assert got == dict.fromkeys(want, 1.0)
+    assert max(df.count() for df in seen) <= 9
+
+
 def test_triples_are_linked_by_a_rule_without_listing_blocks(spark, monkeypatch):
     """A rule given as joins finds what the same rule finds as a column, and no block lists its pairs."""
     sides = [en.to_triples(people(spark, k, 40).where("name is not null and year is not null").dropDuplicates(["id"]), "id", ["name", "year"], "urn:P", "urn:") for k in (3, 4)]
