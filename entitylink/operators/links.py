@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entitylink.session import materialize
+
 PAIR = ["source", "target"]
+# Links that one task groups, on average: bounds its memory whatever the input.
+GROUPED = 1 << 20
+
+
+def dealt(links: DataFrame) -> DataFrame:
+    """Links by their pair, in more parts than shuffles have where those would pass GROUPED.
+
+    The links are counted, so hand over something cheap to read again.
+    """
+    parts = math.ceil(links.count() / GROUPED)
+    few = parts <= int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return links if few else links.repartition(parts, *PAIR)
 
 
 def unique_links(links: DataFrame) -> DataFrame:
     """Insert rule: a pair given twice keeps its larger similarity."""
-    return links.groupBy(*PAIR).agg(F.max("sim").alias("sim"))
+    return dealt(links).groupBy(*PAIR).agg(F.max("sim").alias("sim"))
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -22,7 +38,8 @@ def links_and(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def links_or(a: DataFrame, b: DataFrame) -> DataFrame:
-    return unique_links(a.select(*PAIR, "sim").unionByName(b.select(*PAIR, "sim")))
+    a, b = (materialize(x.select(*PAIR, "sim"), "links") for x in (a, b))
+    return unique_links(a.unionByName(b))
 
 
 def links_minus(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -31,8 +48,8 @@ def links_minus(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def links_xor(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs in exactly one of the two: one shuffle, a pair seen once survives."""
-    rows = a.select(*PAIR, "sim", F.lit(1).alias("m")).unionByName(b.select(*PAIR, "sim", F.lit(2).alias("m")))
-    both = rows.groupBy(*PAIR).agg(F.max("sim").alias("sim"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    a, b = (materialize(x.select(*PAIR, "sim"), "links").withColumn("m", F.lit(m)) for x, m in ((a, 1), (b, 2)))
+    both = dealt(a.unionByName(b)).groupBy(*PAIR).agg(F.max("sim").alias("sim"), F.min("m").alias("lo"), F.max("m").alias("hi"))
     return both.where("lo = hi").select(*PAIR, "sim")
 
 

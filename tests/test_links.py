@@ -99,3 +99,15 @@ def test_controversy(spark):
     asked = spark.createDataFrame([(3, "d")], "source long, target string")
     got = learn.controversy(votes, 4, 5, asked).collect()
     assert [(r.source, r.target, r.sim) for r in got] == [(1, "a", 0.5), (2, "c", 0.25)]
+
+
+@pytest.mark.parametrize("join", [lk.links_or, lk.links_xor])
+def test_many_links_are_grouped_in_more_parts(spark, monkeypatch, join):
+    sides = [spark.createDataFrame([(i, i * j % 7, j / 10) for i in range(n) for j in (1, 2)], "source long, target long, sim double") for n in (30, 20)]
+    a, b = map(lk.unique_links, sides)
+    few = sorted(map(tuple, join(a, b).collect()))
+    monkeypatch.setattr(lk, "GROUPED", 5)
+    a, b = map(lk.unique_links, sides)
+    assert a.rdd.getNumPartitions() == 12 and b.rdd.getNumPartitions() == 8
+    many = join(a, b)
+    assert many.rdd.getNumPartitions() > 12 and sorted(map(tuple, many.collect())) == few and few
