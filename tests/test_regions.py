@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from entitylink.functions import geo, regions
 from entitylink.operators import geojoin as gj
+from entitylink.operators import values
 
 POINT = "struct<lat:double,lon:double>"
 REGION = f"id long, r array<array<{POINT}>>"
@@ -197,3 +198,24 @@ def test_boxes_of_all_sizes_meet_once(spark, finest, monkeypatch):
     want = {(r["source"], r["target"]) for r in every.where(geo.box_intersects(F.col("x"), F.col("y"))).collect()}
     assert len(want) > 300 and set(got) == want and len(got) == len(want)
     assert max(laid) <= 300 * 4 * 20
+
+
+def test_copies_of_a_region_are_tested_as_one(spark, monkeypatch):
+    """Ten copies of either side: one pair is tested, all links come out, and no row grows with the copies."""
+    s = spark.createDataFrame([(i, A) for i in range(10)] + [(90, None)], REGION)
+    t = spark.createDataFrame([(i, HALF) for i in range(100, 110)] + [(190, NEXT)], REGION)
+    tested = []
+    relation = gj.regions.with_relation
+
+    def counting(rows, *args):
+        tested.append(rows.count())
+        return relation(rows, *args)
+
+    monkeypatch.setattr(gj.regions, "with_relation", counting)
+    want = {(i, j) for i in range(10) for j in range(100, 110)}
+    for fold in (1000, 3):
+        monkeypatch.setattr(values, "FOLD", fold)
+        got = [(r["source"], r["target"]) for r in gj.region_join(s, t, "id", "r", "contains").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert tested[0] == 2 and tested[1] <= 40
+    assert max(len(r["id"]) for r in values.folded(s, "id", "r").collect()) < 10
