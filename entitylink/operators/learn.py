@@ -11,7 +11,7 @@ from entitylink.functions.common import once
 from entitylink.operators.entities import draw
 from entitylink.operators.evaluate import _with_prf
 from entitylink.operators.setjoin import exact_join
-from entitylink.operators.values import expand_links, value_members, value_table
+from entitylink.operators.values import expand_links, parted_links, value_members, value_table
 from entitylink.session import materialize
 
 PAIR = ["source", "target"]
@@ -23,15 +23,24 @@ def threshold_sweep(links: DataFrame, gold: DataFrame, thetas: Sequence[float],
     Links are scored once. Each is counted at the largest threshold it passes; the
     cumulative sums then run over the grid, not over the links.
     """
-    grid = sorted(float(t) for t in thetas)
     by = list(by)
-    step = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: F.col("sim") >= t))
     marked = gold.select(*PAIR).distinct().withColumn("g", F.lit(1))
     counts = (
         links.join(marked, PAIR, "left")
-        .groupBy(*by, step.alias("step"))
+        .groupBy(*by, _step(thetas).alias("step"))
         .agg(F.count("*").alias("n"), F.count("g").alias("hit"))
     )
+    return _swept(counts, marked.agg(F.count("*")).scalar(), thetas, by)
+
+
+def _step(thetas: Sequence[float]) -> Column:
+    """How many of the thresholds ``sim`` passes."""
+    return F.size(F.filter(F.array(*map(F.lit, sorted(map(float, thetas)))), lambda t: F.col("sim") >= t))
+
+
+def _swept(counts: DataFrame, n_gold: Column, thetas: Sequence[float], by: list[str]) -> DataFrame:
+    """``threshold_sweep`` of the links (n) and right links (hit) at each step."""
+    grid = sorted(float(t) for t in thetas)
     # at most one row per rule and threshold from here on
     cuts = counts.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))))
     passed = F.col("step") >= F.col("_cut")
@@ -39,7 +48,7 @@ def threshold_sweep(links: DataFrame, gold: DataFrame, thetas: Sequence[float],
         F.sum(F.when(passed, F.col("n")).otherwise(0)).alias("n_pred"), F.sum(F.when(passed, F.col("hit")).otherwise(0)).alias("tp")
     )
     cuts = cuts.withColumn("theta", F.element_at(F.array(*map(F.lit, grid)), F.col("_cut")))
-    cuts = cuts.withColumn("n_gold", marked.agg(F.count("*")).scalar())
+    cuts = cuts.withColumn("n_gold", n_gold)
     rated = _with_prf(cuts, *by, "theta")
     w = Window.partitionBy(*by).orderBy(F.desc("f"), F.desc("theta")) if by else Window.orderBy(F.desc("f"), F.desc("theta"))
     return rated.withColumn("best", F.row_number().over(w) == 1)
@@ -47,14 +56,17 @@ def threshold_sweep(links: DataFrame, gold: DataFrame, thetas: Sequence[float],
 
 def rank_rules(scored: DataFrame, gold: DataFrame, thetas: Sequence[float]) -> DataFrame:
     """Best threshold and F of each rule. scored: rule, source, target, sim."""
-    swept = threshold_sweep(scored, gold, thetas, ["rule"])
+    return _best(threshold_sweep(scored, gold, thetas, ["rule"]))
+
+
+def _best(swept: DataFrame) -> DataFrame:
     return swept.where("best").select("rule", "theta", "precision", "recall", "f")
 
 
 def rank_joins(
     src_props: DataFrame,
     tgt_props: DataFrame,
-    gold: DataFrame,
+    gold: DataFrame | tuple[DataFrame, DataFrame],
     measures: dict[str, Callable[[DataFrame, DataFrame, str, str, float], DataFrame]],
     thetas: Sequence[float],
 ) -> DataFrame:
@@ -63,21 +75,69 @@ def rank_joins(
     ``measures``: joins (src, tgt, id column, value column, theta) that return value links.
     One join runs per pair of properties and measure, at the smallest threshold; the
     pairs of properties are few. ``rule`` reads measure(source property, target property).
+    ``gold``: pairs, or (id, key) of both sides where every pair with equal keys is gold.
+
+    Entity pairs are counted behind their value links. Those of entities with several values
+    are listed, no others; nor are gold pairs that equal keys tell.
     """
     pairs = property_pairs(src_props, tgt_props).where("kind = 'string'").orderBy("source_prop", "target_prop").collect()
-    scored = None
+    keys, n_gold = _gold_keys(gold)
+    counts = None
     for pair in pairs:
         s = materialize(src_props.where(F.col("prop") == pair.source_prop).select("id", "value"), "property")
         t = materialize(tgt_props.where(F.col("prop") == pair.target_prop).select("id", "value"), "property")
-        members = value_members(s, "id", "value"), value_members(t, "id", "value")
+        members = [materialize(value_members(x, "id", "value"), "members") for x in (s, t)]
         for name, join in measures.items():
             rule = F.lit(f"{name}({pair.source_prop},{pair.target_prop})")
-            links = expand_links(join(s, t, "id", "value", min(thetas)), *members).select(rule.alias("rule"), *PAIR, "sim")
-            scored = links if scored is None else scored.unionByName(links)
-    if scored is None:
+            found = _counted(materialize(join(s, t, "id", "value", min(thetas)), "value-links"), *members, keys, _step(thetas))
+            found = found.select(rule.alias("rule"), "step", "n", "hit")
+            counts = found if counts is None else counts.unionByName(found)
+    if counts is None:
         none = "rule string, theta double, precision double, recall double, f double"
         return src_props.sparkSession.createDataFrame([], none)
-    return rank_rules(materialize(scored, "scored"), gold, thetas)
+    counts = materialize(counts.groupBy("rule", "step").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")), "counts")
+    return _best(_swept(counts, n_gold, thetas, ["rule"]))
+
+
+def _gold_keys(gold: DataFrame | tuple[DataFrame, DataFrame]) -> tuple[list[DataFrame], Column]:
+    """Gold as (id, key) of both sides, no pair with two equal keys, and the number of its pairs."""
+    if not isinstance(gold, DataFrame):
+        sides = [materialize(df.select("id", "key").dropna().distinct(), "gold") for df in gold]
+        if all(df.groupBy("id").count().where("count > 1").isEmpty() for df in sides):
+            sizes = [df.groupBy("key").agg(F.count("*").alias(n)) for df, n in zip(sides, "st")]
+            return sides, sizes[0].join(sizes[1], "key").agg(F.coalesce(F.sum(F.col("s") * F.col("t")), F.lit(0))).scalar()
+        gold = gold_pairs(*sides, "id", "key")
+    # a source is a key of its own
+    gold = materialize(gold.select(*PAIR).dropna().distinct(), "gold")
+    source = F.col("source").alias("key")
+    return [gold.select(F.col("source").alias("id"), source).distinct(), gold.select(F.col("target").alias("id"), source)], gold.agg(F.count("*")).scalar()
+
+
+def _counted(links: DataFrame, src_members: DataFrame, tgt_members: DataFrame, keys: list[DataFrame], step: Column) -> DataFrame:
+    """(step, n, hit): entity pairs behind value links, and how many of them are gold, in parts."""
+    *single, again = parted_links(links, src_members, tgt_members)
+    ends = [F.struct(F.col(c).alias("id"), F.col(k).alias("h")).alias(f"rep_{c[0]}") for c, k in (("source", "key_s"), ("target", "key_t"))]
+    rows = links.select(*ends, step.alias("step"), "n_source", "n_target")
+    n = F.col("n_source") * F.col("n_target")
+    if again is not None:
+        for x, df in zip("st", single):
+            rows = rows.join(df.groupBy(F.col("rep").alias(f"rep_{x}")).agg(F.count("*").alias(f"n_{x}")), f"rep_{x}")
+        n = F.col("n_s") * F.col("n_t")
+    held = []
+    for x, df, gold in zip("st", single, keys):
+        own = df.join(gold.withColumnRenamed("id", "member"), "member").groupBy(F.col("rep").alias(f"rep_{x}"), "key")
+        held.append(own.agg(F.count("*").alias(f"gold_{x}")))
+    hits = rows.select("rep_s", "rep_t", "step").join(held[0], "rep_s").join(held[1], ["rep_t", "key"])
+    none = F.lit(0).cast("long")
+    out = rows.groupBy("step").agg(F.sum(n).alias("n")).withColumn("hit", none)
+    out = out.unionByName(hits.groupBy("step").agg(F.sum(F.col("gold_s") * F.col("gold_t")).alias("hit")).withColumn("n", none))
+    if again is not None:
+        again = materialize(again, "many-valued-pairs")
+        s, t = (gold.select(F.col("id").alias(c), "key") for gold, c in zip(keys, PAIR))
+        hits = again.join(s, "source").join(t, ["target", "key"])
+        out = out.unionByName(again.groupBy(step.alias("step")).agg(F.count("*").alias("n")).withColumn("hit", none))
+        out = out.unionByName(hits.groupBy(step.alias("step")).agg(F.count("*").alias("hit")).withColumn("n", none))
+    return out
 
 
 def property_kinds(props: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from entitylink.operators import editjoin, learn, values
 from entitylink.operators import evaluate as ev
-from entitylink.operators import learn
 from entitylink.operators import links as lk
 
 
@@ -111,3 +111,50 @@ def test_many_links_are_grouped_in_more_parts(spark, monkeypatch, join):
     assert a.rdd.getNumPartitions() == 12 and b.rdd.getNumPartitions() == 8
     many = join(a, b)
     assert many.rdd.getNumPartitions() > 12 and sorted(map(tuple, many.collect())) == few and few
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_rank_joins_counts_pairs_behind_value_links(spark, many, monkeypatch):
+    """Against all pairs listed; entities with several values or keys included. Without them no pair is listed."""
+    names = ["ann", "anne", "bob", "rob", "zoe"]
+    sides = []
+    for shift in (0, 1):
+        props = [(i, "name", names[(i * (shift + 2)) % 5]) for i in range(20)]
+        keys = [(i, "k%d" % (i % 4)) for i in range(18)]
+        if many:
+            props += [(3, "name", "bob"), (4, "name", "annie")]
+            keys += [(5, "k3")] * (shift + 1)
+        sides.append((props, keys))
+    src, tgt = (spark.createDataFrame(p, "id long, prop string, value string") for p, _ in sides)
+    gold = [spark.createDataFrame(k, "id long, key string") for _, k in sides]
+    right = {(i, j) for i, a in sides[0][1] for j, b in sides[1][1] if a == b}
+    best = {}
+    for i, _, a in sides[0][0]:
+        for j, _, b in sides[1][0]:
+            d = editdistance(a, b)
+            if d <= 3:
+                best[i, j] = max(best.get((i, j), 0), 1 / (1 + d))
+    rated = []
+    for theta in (0.25, 0.5, 1.0):
+        found = {p for p, sim in best.items() if sim >= theta}
+        p, r = len(found & right) / len(found), len(found & right) / len(right)
+        rated.append((2 * p * r / (p + r), theta, p, r))
+    f, theta, p, r = max(rated)
+    listed = []
+    expanded = values._expanded
+    monkeypatch.setattr(values, "_expanded", lambda *a: listed.append(1) or expanded(*a))
+    measures = {"levenshtein": editjoin.levenshtein_join}
+    for form in (tuple(gold), spark.createDataFrame(sorted(right), "source long, target long")):
+        (got,) = learn.rank_joins(src, tgt, form, measures, [0.25, 0.5, 1.0]).collect()
+        assert (got.rule, got.theta) == ("levenshtein(name,name)", theta)
+        assert (got.precision, got.recall, got.f) == pytest.approx((p, r, f))
+    assert bool(listed) == many
+
+
+def editdistance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
