@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,22 @@ def test_pairs_of_number_sets_are_measured_where_they_are_found(spark):
         far = lambda x, y: sum(min(abs(p - q) for p in u for q in w) ** 2 for u, w in zip(x, y)) ** 0.5
         want = sorted((i, j) for i, x in a for j, y in b if far(x, y) <= 1)
         assert len(want) > 50 and sorted((r.source, r.target) for r in df.collect()) == want
+
+
+def test_frechet_works_on_many_pairs_at_a_time():
+    """Lines of all sizes in one batch, with missing ones between: values do not depend on what else is there,
+    and a batch takes a few array steps for each pair of sizes, not some for each pair of lines."""
+    rng = random.Random(3)
+    kind = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+    line = lambda n: [{"lat": 10 + rng.uniform(0, 0.1), "lon": 179.95 + rng.uniform(0, 0.1)} for _ in range(n)]
+    xs = [None, [], [{"lat": None, "lon": 1.0}], [None], [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 30.0}], *[line(rng.randint(1, 5)) for _ in range(600)]]
+    ys = xs[:5] + [line(rng.randint(1, 5)) for _ in xs[5:]]
+    steps = []
+    within = lines._FreeSpace.within
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines._FreeSpace, "within", lambda space, far: steps.append(len(far)) or within(space, far))
+        got = lines._distances(pa.array(xs, kind), pa.array(ys, kind), 9.0)
+    assert len(steps) < 1500 and max(steps) > 20
+    assert np.isnan(got[:4]).all() and got[4] == 0 and 0 < np.isnan(got[5:]).sum() < 600
+    for k in range(0, len(xs), 7):
+        assert np.array_equal(lines._distances(pa.array([xs[k]], kind), pa.array([ys[k]], kind), 9.0), got[k : k + 1], equal_nan=True)
