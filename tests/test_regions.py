@@ -5,6 +5,7 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,27 @@ def test_copies_of_a_region_are_tested_as_one(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
     assert tested[0] == 2 and tested[1] <= 40
     assert max(len(r["id"]) for r in values.folded(s, "id", "r").collect()) < 10
+
+
+def test_rings_worked_on_together_equal_the_exact_relation(spark, monkeypatch):
+    """Single rings of several sizes take their pairs many at a time, packed or not; others, and rings that
+    rounding could mislead, give the same bits as whole numbers do."""
+    rng = random.Random(4)
+    ring = lambda y, x, k: [(y + rng.randint(1, 4) * math.sin(2 * math.pi * i / k), x + rng.randint(1, 4) * math.cos(2 * math.pi * i / k)) for i in range(k)]
+    shapes = [[ring(rng.uniform(-3, 3), rng.uniform(-3, 3), rng.randint(3, 6))] for _ in range(120)]
+    shapes += [A, HALF, NEXT, CORNER, DIAMOND, RING, ISLANDS, ELL, [A[0] + A[0][:1]], [A[0][:1] + A[0]], INNER]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(shapes)], REGION).select(regions.flat_shape(F.col("r")).alias("f"))
+    flat = df.toArrow()["f"].combine_chunks()
+    edges, starts = (flat.field(c) for c in ("edges", "starts"))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(shapes)), np.arange(len(shapes))))
+    plain, packed = regions.Shapes(edges, starts), regions.Shapes.unpacked(regions.packed_shapes(edges, starts))
+    assert plain.ring.sum() == len(shapes) - 2 and (plain.ring == packed.ring).all()
+    whole = [0]
+    exact = regions.exact_relation
+    monkeypatch.setattr(regions, "exact_relation", lambda *x: whole.append(1) or exact(*x))
+    got = regions.row_relations(plain, plain, i, j, False)
+    assert 100 < len(whole) < len(i) / 5
+    assert (regions.row_relations(packed, plain, i, j, False) == got).all()
+    for k in [*range(0, len(i), 11), *np.flatnonzero((i >= 120) & (j >= 120))]:
+        assert regions._has(got[k], regions.MEET) == regions._has(exact(edges[i[k]].as_py(), edges[j[k]].as_py()), regions.MEET)
+        assert got[k] == exact(edges[i[k]].as_py(), edges[j[k]].as_py())
