@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from entitylink import session
 from entitylink.functions import strings, tokens
 from entitylink.operators import editjoin, editprefix, setjoin, skew, tilejoin
 from entitylink.operators.values import expand_links, value_members
@@ -241,3 +242,19 @@ def test_rows_of_a_tile_score_like_pairs():
     want = [float(s) if s >= 0.6 else 0 for a in x for t in y for s in strings._jaro([a], [t])]
     assert held.fits and got == want and any(want)
     assert not strings.JaroPairs(x, [*y, "a" * 64], 0.6).fits
+
+
+def test_monge_elkan_lists_no_pairs(spark, sides, monkeypatch):
+    """Tiles of few values and few numbers held give the links of one tile; rows that are shuffled
+    grow with the values, not with their pairs."""
+    want = sorted(map(tuple, editjoin.monge_elkan_join(*sides, "id", "v", 0.6).collect()))
+    monkeypatch.setattr(editjoin, "MONGE_SIDE", 20)
+    monkeypatch.setattr(editjoin, "MONGE_PART", 1)
+    monkeypatch.setattr(strings, "MONGE_HELD", 8)
+    assert want and sorted(map(tuple, editjoin.monge_elkan_join(*sides, "id", "v", 0.6).collect())) == want
+    monkeypatch.undo()
+    same = spark.range(3000).select("id", F.concat_ws(" ", F.lit("the common words"), F.col("id").cast("string")).alias("v"))
+    written = []
+    monkeypatch.setattr(session, "ON_MATERIALIZE", [lambda df: written.append(df.count())])
+    links = editjoin.monge_elkan_join(same, same, "id", "v", 0.99)
+    assert links.where("source = target").count() == 3000 and max(written) <= 3000
