@@ -244,3 +244,20 @@ def test_rings_worked_on_together_equal_the_exact_relation(spark, monkeypatch):
     for k in [*range(0, len(i), 11), *np.flatnonzero((i >= 120) & (j >= 120))]:
         assert regions._has(got[k], regions.MEET) == regions._has(exact(edges[i[k]].as_py(), edges[j[k]].as_py()), regions.MEET)
         assert got[k] == exact(edges[i[k]].as_py(), edges[j[k]].as_py())
+
+
+def test_copies_of_a_box_are_tested_as_one(spark, monkeypatch):
+    """Equal boxes go to their cells once; all links come out, those of ids that repeat or are missing too."""
+    box = "id long, b struct<lat_lo:double,lat_hi:double,lon_lo:double,lon_hi:double>"
+    one, beside = (0.0, 2.0, 0.0, 2.0), (0.0, 2.0, 2.0, 3.0)
+    ids = [1, 2, 2, None, *range(10, 40)]
+    s = spark.createDataFrame([(i, one) for i in ids] + [(9, None)], box)
+    t = spark.createDataFrame([(i, beside) for i in ids], box)
+    laid = []
+    pairs = gj.pair_join
+    monkeypatch.setattr(gj, "pair_join", lambda left, right, *args: laid.extend([left.count(), right.count()]) or pairs(left, right, *args))
+    key = lambda pair: tuple((x is not None, x or 0) for x in pair)
+    got = [(r["source"], r["target"]) for r in gj.topology_join(s, t, "id", "b", "touches").collect()]
+    assert sorted(got, key=key) == sorted(((i, j) for i in ids for j in ids), key=key)
+    assert gj.topology_join(s, t, "id", "b", "overlaps").count() == 0
+    assert max(laid) <= 20
