@@ -261,3 +261,9 @@ def test_copies_of_a_box_are_tested_as_one(spark, monkeypatch):
     assert sorted(got, key=key) == sorted(((i, j) for i in ids for j in ids), key=key)
     assert gj.topology_join(s, t, "id", "b", "overlaps").count() == 0
     assert max(laid) <= 20
+
+
+def test_regions_with_missing_coordinates_meet_nothing(spark):
+    gone, half = [[(None, None)] * 4], [[(0.0, None), *A[0][1:]]]
+    df = spark.createDataFrame([(1, A), (2, gone), (3, half), (4, None)], REGION)
+    assert [(r["source"], r["target"]) for r in gj.region_join(df, df, "id", "r", "intersects").collect()] == [(1, 1)]
